@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from nightglass.llm import bagminhash, bpe, cnn_quality, crf_secrets, ctph, html_mincut, packing, repetition, unigram_count
+from nightglass.llm import bagminhash, bpe, cnn_quality, crf_secrets, ctph, html_mincut, packing, recompression, repetition, unigram_count
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 UNIGRAM = public_tokenizers.path("piece_bpe_32k.model")
@@ -44,6 +44,10 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf_secrets.find_secrets(_table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_packing, op4_fingerprint, op5_html, op6_near_dedup, op8_secrets, op9_repetition, op10_token_counts)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_packing, op4_fingerprint, op5_html, op6_near_dedup, op7_substring_dedup, op8_secrets, op9_repetition, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -18,7 +19,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: a lost executor costs no recomputation."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/nightglass/{name}-{uuid.uuid4().hex}"
+    """Write ``df`` once as Parquet in the shared folder and read it back: a lost executor costs no recomputation.
+
+    What it was made from needs its shuffle files no longer; Spark deletes them
+    when both garbage collectors have run, which is asked for here.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/nightglass/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing will read again."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._shared_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
