@@ -274,11 +274,11 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]")
     return "".join([*out, text[at:]])
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Crf | None = None, redacted: bool = False) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Crf | None = None, redacted: bool = False, passing: tuple[str, ...] = ()) -> DataFrame:
     """Scan each whole text, without a shuffle.
 
-    Returns ``id_col``, n_assign, n_access, n_hex, base_sha256, spans, n_crf
-    and, with ``redacted``, redacted (the text without its secrets; null stays
+    Returns ``id_col``, n_assign, n_access, n_hex, base_sha256, spans, n_crf,
+    the ``passing`` columns unchanged and, with ``redacted``, redacted (the text without its secrets; null stays
     null).  Spans are kind:start:end in code points, by start and then kind.
     Null and empty texts have none.  Repeated rows each give a row, null ids
     stay null, other columns are not read, an empty table gives none.
@@ -286,6 +286,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     crf = model or train()
     kind = dict(docs.dtypes)[id_col]
     schema = f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long" + ", redacted string" * redacted
+    schema += "".join(f", `{c}` {dict(docs.dtypes)[c]}" for c in passing)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,6 +300,6 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf", *["redacted"] * redacted]
             cols = list(zip(*rows)) if rows else [[]] * len(names)
             kinds = {"base_sha256": pa.string(), "spans": pa.string(), "redacted": pa.string()}
-            yield pa.RecordBatch.from_pydict({id_col: column(batch, id_col)} | {c: pa.array(list(v), kinds.get(c, pa.int64())) for c, v in zip(names, cols)})
+            yield pa.RecordBatch.from_pydict({id_col: column(batch, id_col)} | {c: pa.array(list(v), kinds.get(c, pa.int64())) for c, v in zip(names, cols)} | {c: column(batch, c) for c in passing})
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([id_col, text_col, *passing])).mapInArrow(run, schema)
