@@ -8,7 +8,11 @@ gives the same parts without the quadratic scan.
 
 Encoded pre-tokens are cached as packed ids, so that a text costs one regular
 expression scan and one join; the cache is emptied when it holds ``CACHE``
-entries, which bounds a worker's memory at any size of corpus.
+entries, which bounds a worker's memory at any size of corpus.  The pre-tokens
+of a batch that aren't cached are encoded together: the rank arrays of all
+words of up to ``WIDTHS[-1]`` bytes are the rows of one numpy array, and each
+pass finds every row's minimum, deletes its boundary and refreshes its
+neighbours.
 """
 
 from __future__ import annotations
@@ -16,8 +20,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import struct
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,7 +34,9 @@ from pyspark.sql import DataFrame
 from nightglass.llm.textcore import column
 
 LONG = 400
-CACHE = 300_000
+WIDTHS = (6, 10, 16, 28)
+CACHE = 500_000
+BATCH_CHARS = 1_000_000
 _NONE = 1 << 60
 
 # Fixed value: how the public byte-level vocabularies split text before merging.
@@ -46,6 +54,21 @@ def byte_symbols() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+def _latin_split() -> re.Pattern:
+    """``SPLIT`` for texts of Latin-1 characters, on which Python's own engine is faster."""
+
+    def ranges(kind: str) -> str:
+        held = [c for c in range(256) if unicodedata.category(chr(c))[0] == kind]
+        return "".join(re.escape(chr(c)) for c in held)
+
+    letters, numbers = ranges("L"), ranges("N")
+    s = r"\t-\r \x85\xa0"
+    return re.compile(rf" ?[{letters}]+|'(?:[sdmt]|ll|ve|re)| ?[{numbers}]+| ?[^{s}{letters}{numbers}]+|[{s}]+(?![^{s}])|[{s}]+")
+
+
+_LATIN = _latin_split()
+
+
 class _Packed(dict):
     """Pre-token to packed ids; misses are encoded."""
 
@@ -87,6 +110,93 @@ class ByteBPE:
         self.split = regex.compile(SPLIT)
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.packed = _Packed(self.encode_word)
+        self._byte_id = np.array(self.byte_id, np.int64)
+        self._made = np.array(self.made, np.int64)
+        pairs = sorted(self.merges.items())
+        self._pairs, self._ranks = np.array([p for p, _ in pairs] or [-1], np.int64), np.array([r for _, r in pairs] or [_NONE], np.int64)
+
+    def pieces_of(self, text: str) -> list[str]:
+        """Pre-tokens of a text without special strings."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.split.findall(text)
+        return _LATIN.findall(text)
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self._pairs, key), len(self._pairs) - 1)
+        return np.where(self._pairs[at] == key, self._ranks[at], _NONE)
+
+    def _encode_rows(self, words: list[bytes], width: int) -> list[bytes]:
+        """``encode_word`` of words of ``width`` bytes at most, as rows of one array, packed."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ids = self._byte_id[np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width)]
+        ranks = self._rank(ids[:, :-1], ids[:, 1:])
+        columns = np.arange(width)
+        ranks[columns[:-1] >= sizes[:, None] - 1] = _NONE
+        done_ids, done_sizes = ids.copy(), sizes.copy()
+        row = np.arange(len(words))
+        while len(row):
+            at = ranks.argmin(1)
+            least = ranks[np.arange(len(row)), at]
+            go = least != _NONE
+            done_ids[row[~go]], done_sizes[row[~go]] = ids[~go], sizes[~go]
+            row, ids, ranks, sizes, at, least = row[go], ids[go], ranks[go], sizes[go] - 1, at[go], least[go]
+            if not len(row):
+                break
+            every = np.arange(len(row))
+            ids[every, at] = self._made[least]
+            after = np.minimum(columns + (columns > at[:, None]), width - 1)
+            ids = np.take_along_axis(ids, after, 1)
+            ranks = np.take_along_axis(ranks, np.minimum(columns[:-1] + (columns[:-1] >= at[:, None]), width - 2), 1)
+            ranks[columns[:-1] >= sizes[:, None] - 1] = _NONE
+            left = at > 0
+            ranks[every[left], at[left] - 1] = self._rank(ids[every[left], at[left] - 1], ids[every[left], at[left]])
+            right = at < sizes - 1
+            ranks[every[right], at[right]] = self._rank(ids[every[right], at[right]], ids[every[right], at[right] + 1])
+        flat = done_ids[columns < done_sizes[:, None]].astype("<u4").tobytes()
+        ends = (np.cumsum(done_sizes) * 4).tolist()
+        return [flat[i:j] for i, j in zip([0, *ends], ends)]
+
+    def learn(self, words: set[str]) -> None:
+        """Cache the words that aren't cached yet, encoded together."""
+        new = list(words - self.packed.keys())
+        if len(self.packed) + len(new) > CACHE:
+            self.packed.clear()
+            new = list(words)
+        raw = list(map(str.encode, new))
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        order = np.argsort(sizes, kind="stable")
+        bounds = np.searchsorted(sizes[order], [0, *WIDTHS], side="right")
+        for width, lo, hi in zip(WIDTHS, bounds, bounds[1:]):
+            for i in range(lo, hi, 1 << 14):
+                some = order[i : min(hi, i + (1 << 14))].tolist()
+                self.packed.update(zip([new[k] for k in some], self._encode_rows([raw[k] for k in some], width)))
+
+    def encode_many(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """``encode_packed`` of each text, learning the words of about ``BATCH_CHARS`` characters at a time."""
+        held: list[list[str] | str] = []
+        words: set[str] = set()
+        size = 0
+
+        def flush() -> Iterator[bytes]:
+            self.learn(words)
+            get = self.packed.__getitem__
+            for x in held:
+                yield self.encode_packed(x) if isinstance(x, str) else b"".join(map(get, x))
+
+        for text in texts:
+            if self.at_special and any(s in text for s in self.special):
+                held.append(text)
+            else:
+                held.append(self.pieces_of(text))
+                words.update(held[-1])
+            size += len(text)
+            if size >= BATCH_CHARS:
+                yield from flush()
+                held, words, size = [], set(), 0
+        yield from flush()
 
     def encode_word(self, word: bytes) -> list[int]:
         """The ids of one pre-token."""
@@ -128,7 +238,7 @@ class ByteBPE:
 
     def encode_packed(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers, special strings as their ids."""
-        get, split = self.packed.__getitem__, self.split.findall
+        get, split = self.packed.__getitem__, self.pieces_of
         if self.at_special and any(s in text for s in self.special):
             parts = self.at_special.split(text)
             return b"".join(struct.pack("<I", self.special[p]) if p in self.special else b"".join(map(get, split(p))) for p in parts)
@@ -164,8 +274,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         bpe = load(path)
         for batch in batches:
             n, digests, backs, ids, texts = [], [], [], [], []
-            for value in column(batch, text_col):
-                packed = bpe.encode_packed(value.as_py() or "")
+            for packed in bpe.encode_many(t.as_py() or "" for t in column(batch, text_col)):
                 got = np.frombuffer(packed, "<u4")
                 back = bpe.decode(got)
                 n.append(len(got))

@@ -131,8 +131,8 @@ def tokenised_pieces(docs: DataFrame, path: str, capacity: Capacity = Capacity()
         tokenizer, tail = bpe.load(path), int(end_id).to_bytes(4, "little")
         for batch in batches:
             owner, piece, start, length, crc = [], [], [], [], []
-            for row, text in enumerate(column(batch, text_col)):
-                packed = tokenizer.encode_packed(text.as_py() or "") + tail
+            for row, packed in enumerate(tokenizer.encode_many(t.as_py() or "" for t in column(batch, text_col))):
+                packed += tail
                 n = len(packed) // 4
                 at = 0
                 for k in range(-(-n // longest)):
