@@ -117,6 +117,14 @@ def fits_group(header: Column | str, group: str, shape: Column | None = None) ->
     return F.when(gate(header, group), struct) if group in GATES else struct
 
 
+def _among(names: list[str]):
+    return lambda c: c["keyword"].isin(*names)
+
+
+def _degrees(factor: int):
+    return lambda c: F.coalesce(T.parse_number(c["value"], "float").cast("double"), T.parse_sexagesimal(c["value"]) * factor)
+
+
 def xisf_group(cards: Column | str, group: str, xml: Column | None = None) -> Column:
     """One struct of the XISF dialect; mount, environment and wcs are null without any of their keywords."""
     cards, fields, some = X.col(cards), [], F.lit(False)
@@ -124,7 +132,7 @@ def xisf_group(cards: Column | str, group: str, xml: Column | None = None) -> Co
         names = aliases.split()
         raw = H.last_of(cards, names) if names else F.lit(None).cast("string")
         if names:
-            some = some | F.exists(cards, lambda c, names=names: c["keyword"].isin(*names))
+            some = some | F.exists(cards, _among(names))
         if kind == "f":
             value = T.parse_number(raw, "float")
         elif kind == "w":
@@ -135,8 +143,8 @@ def xisf_group(cards: Column | str, group: str, xml: Column | None = None) -> Co
             value = F.coalesce(T.parse_integer(raw, "bigint", signed=False), F.lit(1))
         elif kind in ("ra", "dec"):
             # a value that is neither keeps what came before, so the last good one counts
-            held = F.filter(cards, lambda c, names=names: c["keyword"].isin(*names))
-            each = F.transform(held, lambda c, k=kind: F.coalesce(T.parse_number(c["value"], "float").cast("double"), T.parse_sexagesimal(c["value"]) * (15 if k == "ra" else 1)))
+            held = F.filter(cards, _among(names))
+            each = F.transform(held, _degrees(15 if kind == "ra" else 1))
             good = F.filter(each, lambda v: v.isNotNull())
             value = F.when(F.size(good) > 0, F.element_at(good, -1))
         elif kind == "t":

@@ -42,7 +42,7 @@ def _leaves(c: Column, kind: T.DataType, path: str) -> list[Column]:
         return [leaf for f in kind.fields for leaf in _leaves(c.getField(f.name), f.dataType, f"{path}.{f.name}" if path else f.name)]
     if isinstance(kind, T.ArrayType):
         if isinstance(kind.elementType, T.StructType):
-            return [leaf for f in kind.elementType.fields for leaf in _each(F.transform(c, lambda e, n=f.name: e.getField(n)), f.dataType, f"{path}[].{f.name}")]
+            return [leaf for f in kind.elementType.fields for leaf in _each(F.transform(c, _field(f.name)), f.dataType, f"{path}[].{f.name}")]
         return _each(c, kind.elementType, f"{path}[]")
     if isinstance(kind, T.MapType):
         pairs = F.transform(F.map_entries(c), lambda e: F.struct(F.concat(F.lit(f"{path}."), e["key"].cast("string")).alias("element"), value_text(e["value"], kind.valueType).alias("value")))
@@ -50,6 +50,10 @@ def _leaves(c: Column, kind: T.DataType, path: str) -> list[Column]:
     return [F.array(F.struct(F.lit(path).alias("element"), value_text(c, kind).alias("value")))]
 
 
+def _field(name: str):
+    return lambda e: e.getField(name)
+
+
 def _each(items: Column, kind: T.DataType, path: str) -> list[Column]:
     if isinstance(kind, T.MapType):
         flat = F.flatten(F.transform(F.coalesce(items, F.expr("array()").cast(T.ArrayType(kind))), lambda m: F.coalesce(F.map_entries(m), F.expr("array()").cast(T.ArrayType(T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)]))))))

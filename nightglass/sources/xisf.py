@@ -23,18 +23,20 @@ def attribute(text: str, name: str) -> str | None:
 def xml_header(data: bytes, strict: bool = True) -> str:
     """The XML text.
 
-    Strict: ``<?xml`` must be there and the text be UTF-8.  Else the text may
-    start anywhere, broken characters are replaced, and a short header is read
-    as far as it goes.
+    Strict: the header must be whole, ``<?xml`` be there and the text UTF-8.
+    Else the text may start anywhere, broken characters are replaced, and a
+    short header counts as empty.
     """
     if data[:8] != SIGNATURE:
         raise FormatError("not an XISF file")
     if len(data) < 12:
         raise FormatError("XISF header size is missing")
     (size,) = struct.unpack_from("<I", data, 8)
-    raw = data[16 : 16 + size] if data[16:21] == b"<?xml" or b"<?xml" in data[16:32] else data[12 : 12 + size]
-    if strict and len(raw) < min(size, 1):
-        raise FormatError("XISF header is truncated")
+    raw = data[12 : 12 + size]
+    if len(raw) < size:
+        if strict:
+            raise FormatError("XISF header is truncated")
+        return ""
     at = raw.find(b"<?xml")
     if at < 0:
         if strict:
