@@ -57,24 +57,31 @@ class ByteCnn:
         flat = np.concatenate((self.embed[codes].ravel(), np.zeros((WIDTH - 1) * DIMS, np.float32)))
         return np.lib.stride_tricks.as_strided(flat, (len(codes), WIDTH * DIMS), (DIMS * 4, 4)).copy()
 
-    def block_maxima(self, codes: np.ndarray) -> np.ndarray:
-        """[blocks, FILTERS]: the filters' maxima over each block, through ReLU."""
+    def block_maxima(self, codes: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """[blocks, FILTERS]: the filters' maxima over each block, through ReLU.
+
+        A window reaches into the next block, but for the ``last`` blocks of
+        documents, where padding stands beyond.
+        """
         out = np.empty((len(codes) // BLOCK, FILTERS), np.float32)
         step = 512
         for i in range(0, len(out), step):
-            part = codes[i * BLOCK : (i + step) * BLOCK]
-            more = codes[(i + step) * BLOCK : (i + step) * BLOCK + WIDTH - 1]  # a window may reach into the next block
-            seen = self.windows(np.concatenate((part, more)))[: len(part)] @ self.filters
-            out[i : i + step] = seen.reshape(-1, BLOCK, FILTERS).max(1)
+            part = codes[i * BLOCK : (i + step) * BLOCK + WIDTH - 1]
+            n = min(step, len(out) - i) * BLOCK
+            seen = self.windows(part)[:n]
+            ends = (np.flatnonzero(last[i : i + step]) + 1) * BLOCK
+            for k in range(1, WIDTH):
+                seen[ends - k, k * DIMS :] = 0
+            out[i : i + step] = (seen @ self.filters).reshape(-1, BLOCK, FILTERS).max(1)
         return np.maximum(out + self.bias, 0)
 
     def score_block(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Probabilities of the documents between ``offsets``."""
         codes, first = _padded(data, offsets)
-        top = self.block_maxima(codes)
-        # a chunk is a block and the next one of its document; a single block is a chunk
-        last = np.zeros(len(top), bool)
+        last = np.zeros(int(first[-1]), bool)
         last[first[1:] - 1] = True
+        top = self.block_maxima(codes, last)
+        # a chunk is a block and the next one of its document; a single block is a chunk
         chunk = np.where(last[:, None], top, np.maximum(top, np.roll(top, -1, 0)))
         keep = ~last
         keep[first[:-1][np.diff(first) == 1]] = True
