@@ -305,7 +305,7 @@ def training_page(r: random.Random) -> tuple[str, set[str]]:
     menu = lambda: f"<nav{attr('navigation')}><ul>{''.join(f'<li>{link()}</li>' for _ in range(r.randint(3, 9)))}</ul></nav>" if r.random() < 0.7 else f"<div{named('navigation')}>{' | '.join(link() for _ in range(r.randint(3, 8)))}</div>"
     extras = [
         lambda: f"<div{named('advert')}>{sentence()}</div>", lambda: f"<aside{attr('side')}><h3>{words(1, 4)}</h3><p>{prose()}</p></aside>", lambda: f"<div{named('notice')}><p>{sentence()}</p><button>{words(1, 2)}</button></div>",
-        lambda: f"<div{named('side')}><ul>{''.join(f'<li>{link()}</li>' for _ in range(r.randint(2, 6)))}</ul></div>", lambda: f"<form><label>{words(1, 3)}</label><input><button>{words(1, 2)}</button></form>", lambda: f"<div{named('social')}>{link()} {link()}</div>",
+        lambda: f"<div{named(r.choice(('side', 'navigation', 'social')))}><ul>{''.join(f'<li>{r.choice((link, lambda: words(1, 5)))()}</li>' for _ in range(r.randint(2, 6)))}</ul></div>", lambda: f"<form><label>{words(1, 3)}</label><input><button>{words(1, 2)}</button></form>", lambda: f"<div{named('social')}>{link()} {link()}</div>",
         lambda: f"<div{r.choice((' hidden', ' style=\"display: none\"', ' aria-hidden=\"true\"'))}><p>{prose()}</p></div>", lambda: f"<section{named('comments')}><h3>{words(1, 3)}</h3>" + "".join(f"<div><b>{word()}</b><p>{prose()}</p></div>" for _ in range(r.randint(1, 4))) + "</section>",
     ]
     body = [keep(words(2, 9).capitalize(), r.choice(("h1", "h1", "h2")))]
@@ -331,7 +331,8 @@ def training_page(r: random.Random) -> tuple[str, set[str]]:
         inner = f'<div class="{r.choice(sorted(GOOD))}">{inner}</div>'
     else:
         inner = f"<{shell}>{inner}</{shell}>"
-    before = "".join(r.sample([menu(), *(f() for f in r.sample(extras, 3)), f"<header{attr('frame')}><p>{words(1, 6)}</p>{link()}</header>"], r.randint(1, 4)))
+    top = r.choice(("h1", "h2", "p", "div"))
+    before = "".join(r.sample([menu(), f"<div{named('frame')}><{top}>{words(1, 5)}</{top}>{r.choice((link(), menu()))}</div>", *(f() for f in r.sample(extras, 3)), f"<header{attr('frame')}><p>{words(1, 6)}</p>{link()}</header>"], r.randint(1, 4)))
     after = "".join(r.sample([*(f() for f in r.sample(extras, 4)), menu()], r.randint(0, 4)))
     foot = r.choice((f"<footer{attr('frame')}>&copy; {words(1, 4)} &middot; {sentence()}</footer>", f"<div{named('frame')}>&copy; {words(1, 6)} {link()}</div>", f"<footer><p>{sentence()}</p></footer>"))
     return f"<!DOCTYPE html><html><head><title>{words(2, 8)}</title><script>var t='<p>';</script></head><body>{before}{inner}{after}{foot}</body></html>", content
