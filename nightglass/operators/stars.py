@@ -45,18 +45,18 @@ def star_stats(stars: DataFrame, frame: str, top: int | None = None, order: Sequ
     With ``top`` the statistics are those of the brightest stars, and the count
     still that of all.  Expects the columns of ``with_shapes``.
     """
-    used = stars
-    if top is not None:
-        every = Window.partitionBy(frame)
-        used = stars.withColumn("_all", F.count(F.lit(1)).over(every))
-        used = brightest(used, frame, top, order)
-    count = F.count(F.lit(1)) if top is None else F.max("_all")
-    return used.groupBy(frame).agg(
-        count.alias("count"),
+    used = stars if top is None else brightest(stars, frame, top, order)
+    stats = used.groupBy(frame).agg(
+        F.count(F.lit(1)).alias("count"),
         upper_median("fwhm").alias("median_fwhm"), upper_median("eccentricity").alias("median_eccentricity"), F.stddev_pop("fwhm").alias("fwhm_std_dev"), F.stddev_pop("eccentricity").alias("eccentricity_std_dev"),
         upper_median("kron_radius").alias("median_kron_radius"), upper_median("flux_auto").alias("median_flux"), upper_median("snr").alias("median_snr"), upper_median("elongation").alias("median_elongation"), flagged_fraction().alias("flagged_fraction"),
         F.stddev_pop("kron_radius").alias("kron_radius_std_dev"), F.stddev_pop("flux_auto").alias("flux_std_dev"), F.stddev_pop("snr").alias("snr_std_dev"),
     )
+    if top is None:
+        return stats
+    # all stars are counted apart, so that only the brightest of each task are shuffled with their columns
+    counts = stars.groupBy(frame).agg(F.count(F.lit(1)).alias("count"))
+    return counts.join(stats.drop("count"), frame)
 
 
 def with_starless(frames: DataFrame, stats: DataFrame, frame: str) -> DataFrame:

@@ -52,7 +52,7 @@ def parse_card(raw: str) -> tuple[str, str | None, str | None]:
     return keyword, clean_value(value) if value else None, comment or None
 
 
-def header_cards(data: bytes, start: int, hdu: int) -> tuple[list[dict], int]:
+def header_cards(data, start: int, hdu: int) -> tuple[list[dict], int]:
     """The cards of the header at ``start``, and where its data begin."""
     cards, at = [], start
     while True:
@@ -87,9 +87,9 @@ def data_bytes(header: dict[str, str]) -> int:
     return -(-n // BLOCK) * BLOCK
 
 
-def all_cards(data: bytes, first_only: bool = False) -> tuple[list[dict], list[int]]:
-    """Cards of every HDU in order, and the primary image's shape."""
-    if not data.startswith(b"SIMPLE"):
+def all_cards(data, first_only: bool = False) -> tuple[list[dict], list[int]]:
+    """Cards of every HDU in order, and the primary image's shape, of bytes or of what is sliced like bytes."""
+    if data[:6] != b"SIMPLE":
         raise FormatError("not a FITS file")
     cards, shape, at, hdu = [], [], 0, 0
     while at < len(data) and len(data) - at >= BLOCK:

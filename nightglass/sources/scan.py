@@ -34,7 +34,7 @@ def status_of(e: Exception) -> tuple[str, str]:
     return ("skipped" if denied else "failed"), f"{type(e).__name__}: {e}"
 
 
-def decode_header(path: str, data: bytes) -> dict:
+def decode_header(path: str, data) -> dict:
     """One row of ``read_headers``."""
     row = {"path": path, "format": "xisf" if path.lower().endswith(".xisf") else "fits", "status": "ok", "error": None, "shape": None, "cards": None, "xml": None}
     try:
@@ -80,6 +80,56 @@ def read_headers(spark: SparkSession, path: str, recursive: bool = True) -> Data
     return _mapped(files, decode_header, S.SCAN)
 
 
+class _Slices:
+    """A file that is read where it is sliced."""
+
+    def __init__(self, file):
+        self.file = file
+
+    def __len__(self) -> int:
+        return self.file.size()
+
+    def __getitem__(self, part: slice) -> bytes:
+        start, stop, _ = part.indices(len(self))
+        self.file.seek(start)
+        return self.file.read(max(0, stop - start))
+
+
+def read_headers_only(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+    """``read_headers`` that reads headers and skips the pixels between them.
+
+    Spark lists the files and workers open them through ``pyarrow.fs``, which
+    must know the store; ``read_headers`` goes through Spark's own readers.
+    """
+    files = discover(spark, path, recursive).select("path")
+    kinds = spark.createDataFrame([], S.SCAN).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(kinds)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                try:
+                    store, inner = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+                    with store.open_input_file(inner) as file:
+                        row = decode_header(path, _Slices(file))
+                except OSError as e:
+                    status, error = status_of(e)
+                    row = {"path": path, "format": "xisf" if path.lower().endswith(".xisf") else "fits", "status": status, "error": error, "shape": None, "cards": None, "xml": None}
+                yield pa.RecordBatch.from_pylist([row], arrow)
+
+    return files.mapInArrow(run, S.SCAN)
+
+
+def stream_images(spark: SparkSession, path: str) -> DataFrame:
+    """``read_images`` over a directory as files arrive."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(path)
+    return _mapped(files.filter(is_supported("path")), decode_image, S.IMAGE)
+
+
 def read_images(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """Pixels of every supported file's primary image."""
     files = _files(spark, path, recursive).filter(is_supported("path"))

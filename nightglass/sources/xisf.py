@@ -20,8 +20,8 @@ def attribute(text: str, name: str) -> str | None:
     return text[at + len(mark) : end] if end >= 0 else None
 
 
-def xml_header(data: bytes, strict: bool = True) -> str:
-    """The XML text.
+def xml_header(data, strict: bool = True) -> str:
+    """The XML text of bytes, or of what is sliced like bytes.
 
     Strict: the header must be whole, ``<?xml`` be there and the text UTF-8.
     Else the text may start anywhere, broken characters are replaced, and a
@@ -31,7 +31,7 @@ def xml_header(data: bytes, strict: bool = True) -> str:
         raise FormatError("not an XISF file")
     if len(data) < 12:
         raise FormatError("XISF header size is missing")
-    (size,) = struct.unpack_from("<I", data, 8)
+    (size,) = struct.unpack("<I", data[8:12])
     raw = data[12 : 12 + size]
     if len(raw) < size:
         if strict:

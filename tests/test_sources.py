@@ -89,6 +89,24 @@ def test_scan_and_metadata(spark, collection):
     assert "M42" in reports.dump(a)
 
 
+def test_headers_only(spark, collection):
+    plain = {r["path"]: r for r in scan.read_headers(spark, str(collection)).collect()}
+    lazy = {r["path"]: r for r in scan.read_headers_only(spark, str(collection)).collect()}
+    assert plain == lazy
+
+
+def test_stream(spark, collection, tmp_path_factory):
+    out = D.detect_stars(scan.stream_images(spark, str(collection))).selectExpr("frame_id", "status", "size(stars) AS n")
+    done = out.writeStream.format("memory").queryName("frames").option("checkpointLocation", str(tmp_path_factory.mktemp("c"))).trigger(availableNow=True).start()
+    done.awaitTermination(60)
+    assert {r["frame_id"]: (r["status"], r["n"]) for r in spark.table("frames").collect()} == {"a.fits": ("ok", 3), "B.FIT": ("ok", 0), "c.xisf": ("ok", 0), "broken.fts": ("failed", 0)}
+
+
+def test_card_table(spark, collection):
+    cards = scan.card_table(scan.read_headers(spark, str(collection)), hdu=0)
+    assert cards.filter("keyword = 'OBJECT'").count() == 2
+
+
 def test_statistics(spark, collection, tmp_path_factory):
     out = tmp_path_factory.mktemp("out")
     s = reports.metadata_statistics(spark, str(collection), str(out))
