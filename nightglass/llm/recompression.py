@@ -23,10 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nightglass.llm import textcore as tc
+from nightglass.llm.packed import HOT, RECORDS, found_in, place_column, rows_of, unpacked
+from nightglass.llm.packed import shared as shared_records
 from nightglass.llm.shared import discard, materialise
 
 WINDOW, ROUNDS, WIDE = 13, 4, 5
@@ -150,50 +152,6 @@ class Stretches:
         return Stretches(start[head], start[tail], best[head], doc[head])
 
 
-def _place(ids: np.ndarray, groups: int) -> np.ndarray:
-    """The group of each id; ``_place_column`` is the same for a column."""
-    return ((ids ^ (ids >> 17)) % groups).astype(np.int32)
-
-
-def _place_column(key: Column, groups: int) -> Column:
-    return F.pmod(key.bitwiseXOR(F.shiftright(key, 17)), F.lit(groups)).cast("int")
-
-
-_RECORDS = "place int, names binary, ids binary, spots binary"
-
-
-def _rows(place: np.ndarray, names: np.ndarray, ids: np.ndarray, spots: np.ndarray) -> pa.RecordBatch:
-    """Records as a row for each place, packed."""
-    order = np.argsort(place, kind="stable")
-    place, names, ids, spots = place[order], names[order], ids[order], spots[order]
-    at = np.flatnonzero(np.diff(place, prepend=-1))
-    cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(at, np.append(at[1:], len(x)))], pa.binary())
-    return pa.RecordBatch.from_pydict({"place": pa.array(place[at], pa.int32()), "names": cut(names), "ids": cut(ids), "spots": cut(spots)})
-
-
-def _unpacked(batch: pa.RecordBatch, *columns: str) -> list[np.ndarray]:
-    kinds = {"names": np.uint64, "ids": np.int64, "spots": np.uint32}
-    return [np.frombuffer(b"".join(tc.column(batch, c).to_pylist()), kinds[c]) for c in columns]
-
-
-def _combined(names: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each name once, with its least and greatest id."""
-    order = np.argsort(names)
-    names, ids = names[order], ids[order]
-    at = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1]))) if len(names) else np.zeros(0, np.int64)
-    if not len(at):
-        return names, ids, ids
-    return names[at], np.minimum.reduceat(ids, at), np.maximum.reduceat(ids, at)
-
-
-def _found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each key is in the sorted table, and whether it is there."""
-    if not len(table):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return at, table[at] == keys
-
-
 @dataclass(frozen=True)
 class SubstringDedup:
     """``remove_repeats`` with its parameters.
@@ -206,98 +164,7 @@ class SubstringDedup:
 
     window: int = WINDOW
     places: int = 0
-    hot: float = 0.02
-
-    def shared(self, records: DataFrame, places: int, name: str, later: bool) -> DataFrame:
-        """Of the records (place, names, ids, spots), placed by name: those whose name several ids have, placed by id.
-
-        ``later``: only those with an id over the name's least.  Names are
-        combined to their least and greatest id in each map batch before they
-        are shuffled.  The names that several ids have are then looked up by
-        the records as they stream by, so that no task holds the records of a
-        name together.
-        """
-        spark, hot = records.sparkSession, self.hot
-
-        def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                names, least, most = _combined(*_unpacked(batch, "names", "ids"))
-                two = np.flatnonzero(least != most)
-                everything = np.concatenate((names, names[two]))
-                yield _rows((everything % np.uint64(places)).astype(np.int32), everything, np.concatenate((least, most[two])), np.zeros(len(everything), np.uint32))
-                yield pa.RecordBatch.from_pydict({"place": pa.array([-1], pa.int32()), "names": [b""], "ids": [b""], "spots": [b""]})
-
-        def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            parts = [_unpacked(b, "names", "ids") for b in batches]
-            names, ids = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            order = np.argsort(names)
-            once, least, most = _combined(names, ids)
-            many = least != most
-            if many.any():
-                start = np.searchsorted(names[order], once[many])
-                counts = np.searchsorted(names[order], once[many], side="right") - start
-                yield _rows((once[many] % np.uint64(places)).astype(np.int32), once[many], least[many], counts.astype(np.uint32))
-
-        sent = materialise(records.mapInArrow(combine, _RECORDS), f"{name}-sent")
-        batches_made = sent.filter("place < 0").count()
-        known = materialise(sent.filter("place >= 0").repartitionById(places, F.col("place")).mapInArrow(settle, _RECORDS), f"{name}-known")
-        discard(sent)
-        bound = max(16, int(hot * batches_made))
-
-        def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                names, ids, counts = _unpacked(batch, "names", "ids", "spots")
-                some = counts > 2 * bound
-                if some.any():
-                    yield pa.RecordBatch.from_pydict({"name": pa.array(names[some].view(np.int64)), "least": pa.array(ids[some])})
-
-        rows = known.mapInArrow(frequent, "name long, least long").collect()  # at most 1 / hot times a batch's names
-        hot_names = np.array([r["name"] for r in rows], np.int64).view(np.uint64)
-        hot_least = np.array([r["least"] for r in rows], np.int64)[np.argsort(hot_names)]
-        hot_names = np.sort(hot_names)
-
-        def wanted(names, ids, spots, table, least):
-            at, there = _found(table, names)
-            if later and len(table):
-                there &= ids > least[at]
-            return names[there], ids[there], spots[there]
-
-        def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                names, ids, spots = wanted(*_unpacked(batch, "names", "ids", "spots"), hot_names, hot_least)
-                if len(ids):
-                    yield _rows(_place(ids, places), names, ids, spots)
-
-        def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                names, ids, spots = _unpacked(batch, "names", "ids", "spots")
-                rest = ~_found(hot_names, names)[1]
-                yield _rows((names[rest] % np.uint64(places)).astype(np.int32), names[rest], ids[rest], spots[rest])
-
-        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table, least = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            for batch in batches:
-                ask = tc.column(batch, "ask").to_numpy(zero_copy_only=False).astype(bool)
-                first = int(np.searchsorted(ask, True))
-                if first:
-                    names, ids = _unpacked(batch.slice(0, first), "names", "ids")
-                    names, ids = np.concatenate((table, names)), np.concatenate((least, ids))
-                    order = np.argsort(names)
-                    table, least = names[order], ids[order]
-                if first < batch.num_rows:
-                    names, ids, spots = wanted(*_unpacked(batch.slice(first), "names", "ids", "spots"), table, least)
-                    if len(ids):
-                        yield _rows(_place(ids, places), names, ids, spots)
-
-        asked = records.mapInArrow(cold, _RECORDS) if len(hot_names) else records
-        both = known.withColumn("ask", F.lit(False)).unionByName(asked.withColumn("ask", F.lit(True)))
-        out = both.repartitionById(places, F.col("place")).sortWithinPartitions("ask").mapInArrow(look_up, _RECORDS)
-        if len(hot_names):
-            out = out.unionByName(records.mapInArrow(direct, _RECORDS))
-        out = materialise(out, f"{name}-shared")
-        discard(known)
-        return out
-
+    hot: float = HOT
 
 def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
@@ -339,27 +206,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for block in tc.blocks(tc.column(batch, "text")):
                 s = Stretches.of(block, block.word_hashes(), window)
                 if len(s.name):
-                    yield _rows((s.name % np.uint64(places)).astype(np.int32), s.name, ids[block.first + s.doc], np.zeros(len(s.name), np.uint32))
+                    yield rows_of((s.name % np.uint64(places)).astype(np.int32), s.name, ids[block.first + s.doc], np.zeros(len(s.name), np.uint32))
 
     some = rows.filter("id IS NOT NULL")
-    listed = materialise(some.select("id", "text").mapInArrow(name_stretches, _RECORDS), "stretches")
-    shared = how.shared(listed, places, "stretches", later=False)
+    listed = materialise(some.select("id", "text").mapInArrow(name_stretches, RECORDS), "stretches")
+    shared = shared_records(listed, places, "stretches", later=False, hot=how.hot)
     discard(listed)
 
     # texts equal to one with a smaller id
     digests = materialise(some.select("id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest")).filter("digest IS NOT NULL"), "digests")
-    first = digests.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    copies = digests.join(first.drop("last"), "digest").filter("id > first").select("id")
-    texts = some.withColumns({"place": _place_column(F.col("id"), places), "ask": F.lit(2)})
+    first = materialise(digests.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last"), "first")
+    copies = digests.join(first, "digest").filter("id > first").select("id")
+    texts = some.withColumns({"place": place_column(F.col("id"), places), "ask": F.lit(2)})
     dealt = (
         texts.unionByName(shared.select("place", "names", F.col("ids"), F.lit(0).alias("ask")), allowMissingColumns=True)
-        .unionByName(copies.withColumns({"place": _place_column(F.col("id"), places), "ask": F.lit(1)}), allowMissingColumns=True)
+        .unionByName(copies.withColumns({"place": place_column(F.col("id"), places), "ask": F.lit(1)}), allowMissingColumns=True)
         .select("place", "ask", "id", "text", "rest", "names", "ids")
         .repartitionById(places, F.col("place"))
         .sortWithinPartitions("ask")
     )
     result = f"id long, rest {rest_kind}, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    judged = f"{result}, text string, {_RECORDS}"
+    judged = f"{result}, text string, {RECORDS}"
 
     def arrow_schema(ddl: str, batch: pa.RecordBatch) -> pa.Schema:
         """The schema of ``ddl``'s columns, with the struct of passing columns as it came."""
@@ -393,7 +260,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             ask = tc.column(batch, "ask").to_numpy()
             a, b = np.searchsorted(ask, [1, 2])
             if a:
-                names, ids = _unpacked(batch.slice(0, a), "names", "ids")
+                names, ids = unpacked(batch.slice(0, a), "names", "ids")
                 pairs.append(tc.mix(names ^ tc.mix(ids.view(np.uint64))))
             if b > a:
                 copied.append(tc.column(batch.slice(a, b - a), "id").to_numpy())
@@ -408,9 +275,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for block in tc.blocks(text_col_):
                 ids = all_ids[block.first : block.first + block.n]
                 words, at = block.word_hashes(), block.word_offsets
-                copy = _found(ready[1], ids)[1]
+                copy = found_in(ready[1], ids)[1]
                 s = Stretches.of(block, words, window)
-                hit = _found(ready[0], tc.mix(s.name ^ tc.mix(ids[s.doc].view(np.uint64))))[1] & ~copy[s.doc]
+                hit = found_in(ready[0], tc.mix(s.name ^ tc.mix(ids[s.doc].view(np.uint64))))[1] & ~copy[s.doc]
                 open_ = np.zeros(block.n, bool)
                 open_[s.doc[hit]] = True
                 long_enough = np.diff(at) >= window
@@ -427,14 +294,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 starts = np.repeat(first_ - np.cumsum(n) + n, n) + np.arange(n.sum())
                 grams = tc.ngram_hashes(words, window)[starts]
                 doc = block.word_doc[starts]
-                packed = _rows((grams % np.uint64(places)).astype(np.int32), grams, ids[doc], (starts - at[doc]).astype(np.uint32))
+                packed = rows_of((grams % np.uint64(places)).astype(np.int32), grams, ids[doc], (starts - at[doc]).astype(np.uint32))
                 yield pa.RecordBatch.from_arrays([packed.column(packed.schema.get_field_index(f.name)) if f.name in packed.schema.names else pa.nulls(packed.num_rows, f.type) for f in schema], schema=schema)
 
     table = materialise(dealt.mapInArrow(judge, judged), "judged")
-    discard(shared, digests)
+    discard(shared, digests, first)
     windows = table.filter("place IS NOT NULL").select("place", "names", "ids", "spots")
-    removed = how.shared(windows, places, "windows", later=True)
-    open_docs = table.filter("text IS NOT NULL").select("id", "text", "rest").withColumns({"place": _place_column(F.col("id"), places), "ask": F.lit(1)})
+    removed = shared_records(windows, places, "windows", later=True, hot=how.hot)
+    open_docs = table.filter("text IS NOT NULL").select("id", "text", "rest").withColumns({"place": place_column(F.col("id"), places), "ask": F.lit(1)})
     met = (
         open_docs.unionByName(removed.select("place", "ids", "spots", F.lit(0).alias("ask")), allowMissingColumns=True)
         .select("place", "ask", "id", "text", "rest", "ids", "spots")
@@ -449,7 +316,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             schema = arrow_schema(result, batch)
             b = int(np.searchsorted(tc.column(batch, "ask").to_numpy(), 1))
             if b:
-                ids, spots = _unpacked(batch.slice(0, b), "ids", "spots")
+                ids, spots = unpacked(batch.slice(0, b), "ids", "spots")
                 ids_.append(ids)
                 spots_.append(spots)
             if b == batch.num_rows:
