@@ -1,7 +1,9 @@
 """Profiles of metadata: which elements files have, and which values.
 
 A nested record is flattened to (file, element, value) by expressions made from
-its schema; one distinct and two aggregations with map-side combine follow.
+its schema.  Copies are dropped inside the record's row, so that counting files
+needs no distinct: each report is one aggregation with map-side combine, whose
+shuffle holds a row for each element or value and task.
 """
 
 from __future__ import annotations
@@ -66,19 +68,30 @@ def _none() -> Column:
 
 
 def flatten(records: DataFrame, file: str, columns: list[str] | None = None) -> DataFrame:
-    """(file, element, value) once for each leaf that has a text; raw headers and the file itself are left out."""
+    """(file, element, value, first) once for each leaf that has a text; raw headers and the file itself are left out.
+
+    ``records`` has one row for each file.  ``first`` marks one row of each
+    element of a file.  No shuffle.
+    """
     skipped = {file, "raw_headers", "cards", "xml"}
     names = columns or [c for c in records.columns if c not in skipped]
     leaves = [leaf for n in names for leaf in _leaves(F.col(n), records.schema[n].dataType, n)]
-    long = records.select(F.col(file).alias("file"), F.explode(F.concat(*leaves)).alias("e")).select("file", "e.element", "e.value")
-    return long.filter(F.col("value").isNotNull()).distinct()
+    some = F.array_distinct(F.filter(F.concat(*leaves), lambda e: e["value"].isNotNull()))
+    rows = records.select(F.col(file).alias("file"), some.alias("e"))
+    marked = F.transform("e", lambda e, i: F.struct(e["element"].alias("element"), e["value"].alias("value"), (F.array_position(F.col("e.element"), e["element"]) == i + 1).alias("first")))
+    return rows.select("file", F.explode(marked).alias("e")).select("file", "e.element", "e.value", "e.first")
+
+
+def _files_by_element(long: DataFrame, file: str, element: str) -> DataFrame:
+    """Files that have each element; a table without ``first`` may hold copies, which cost a distinct."""
+    once = long.filter("first") if "first" in long.columns else long.select(file, element).distinct()
+    return once.groupBy(F.col(element).alias("metadata_element")).agg(F.count(F.lit(1)).alias("files"))
 
 
 def element_presence(long: DataFrame, files: int | Column, file: str = "file", element: str = "element") -> DataFrame:
     """(metadata_element, files, percent_of_files), one row for each element."""
     total = F.lit(files) if isinstance(files, int) else files
-    made = long.select(file, element).distinct().groupBy(F.col(element).alias("metadata_element")).agg(F.count(F.lit(1)).alias("files"))
-    return made.withColumn("percent_of_files", X.format_percentage(X.percentage(F.col("files"), total)))
+    return _files_by_element(long, file, element).withColumn("percent_of_files", X.format_percentage(X.percentage(F.col("files"), total)))
 
 
 def tracked(long: DataFrame, varying: tuple[str, ...] = VARYING, element: str = "element") -> DataFrame:
@@ -88,9 +101,10 @@ def tracked(long: DataFrame, varying: tuple[str, ...] = VARYING, element: str =
 
 def value_distribution(long: DataFrame, varying: tuple[str, ...] = VARYING, file: str = "file", element: str = "element", value: str = "value") -> DataFrame:
     """(metadata_element, value, files, percent_of_element); each value once a file."""
-    used = tracked(long, varying, element).select(F.col(file).alias("file"), F.col(element).alias("metadata_element"), F.col(value).alias("value")).distinct()
-    values = used.groupBy("metadata_element", "value").agg(F.count(F.lit(1)).alias("files"))
-    held = used.select("file", "metadata_element").distinct().groupBy("metadata_element").agg(F.count(F.lit(1)).alias("_held"))
+    used = tracked(long, varying, element)
+    once = used if "first" in long.columns else used.select(file, element, value).distinct()
+    values = once.groupBy(F.col(element).alias("metadata_element"), F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("files"))
+    held = _files_by_element(used, file, element).withColumnRenamed("files", "_held")
     joined = values.join(held, "metadata_element")
     return joined.select("metadata_element", "value", "files", X.format_percentage(X.percentage(F.col("files"), F.col("_held"))).alias("percent_of_element"))
 

@@ -492,7 +492,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(LONG_SQL)
 def flatten_long(spark, sf_dir):
-    return R.flatten(records(spark, sf_dir), "path")
+    return R.flatten(records(spark, sf_dir), "path").drop("first")
 
 
 @query(f"SELECT element AS metadata_element, count(DISTINCT file) AS files, printf('%.6f', count(DISTINCT file)::DOUBLE / (SELECT count(*) FROM customer) * 100) AS percent_of_files FROM ({LONG_SQL}) AS l GROUP BY element")
@@ -511,7 +511,7 @@ def value_distribution(spark, sf_dir):
 
 @query(f"SELECT file, element, value FROM ({LONG_SQL}) AS l WHERE element <> 'exposure.ra'")
 def value_tracking_filter(spark, sf_dir):
-    return R.tracked(R.flatten(records(spark, sf_dir), "path"))
+    return R.tracked(R.flatten(records(spark, sf_dir), "path")).drop("first")
 
 
 @query("SELECT o_orderstatus AS status, count(*) AS files FROM orders GROUP BY o_orderstatus")

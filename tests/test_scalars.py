@@ -132,3 +132,35 @@ def test_quality(spark):
     assert Q.quality_scores(starless, clamp=True).first()["eccentricity_score"] == 1
     assert Q.quality_scores(df, X.QualityWeights(0, 0, 0, 0, 0, 0)).first()["overall_score"] == 0
     assert Q.frame_metrics(df.withColumn("path", F.lit("/x/a.fits")), "path").first()["frame_id"] == "a.fits"
+
+
+def test_profile_counts_files_once(spark):
+    """Four files, three with a filter, one of them with it twice: 75, and 66.67 to 33.33 of the three."""
+    from nightglass.operators import profile as R
+
+    long = spark.createDataFrame([("1", "filter.name", "Ha"), ("1", "filter.name", "Ha"), ("2", "filter.name", "Ha"), ("3", "filter.name", "OIII"), ("4", "exposure.ra", "1")], "file string, element string, value string")
+    assert {r[0]: r[2] for r in R.element_presence(long, 4).collect()} == {"filter.name": "75.000000", "exposure.ra": "25.000000"}
+    assert {(r[0], r[1]): r[3] for r in R.value_distribution(long).collect()} == {("filter.name", "Ha"): "66.666667", ("filter.name", "OIII"): "33.333333"}
+
+
+def test_flatten_arrays_and_maps(spark):
+    from nightglass.operators import profile as R
+
+    df = spark.createDataFrame([("f", [("a", " x "), ("a", "")], {"k": 1.5, "n": float("nan")}, True, [], b"", 0.1)], "path string, items array<struct<id:string,note:string>>, m map<string,double>, ok boolean, none array<int>, icc binary, f float")
+    got = {(r["element"], r["value"], r["first"]) for r in R.flatten(df, "path").collect()}
+    assert got == {("items[].id", "a", True), ("items[].note", "x", True), ("m.k", "1.5", True), ("ok", "true", True), ("icc", "<binary>", True), ("f", "0.10000000149011612", True)}
+
+
+def test_plans(spark):
+    """Columns and filters reach the scan, and profiles shuffle aggregates only."""
+    from nightglass.operators import profile as R
+
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    plan = ST.with_shapes(li.select(F.col("l_quantity").alias("a"), F.col("l_tax").alias("b"), F.lit(1.0).alias("flux"), F.lit(1.0).alias("flux_auto"), F.lit(1.0).alias("fluxerr_auto"))).filter("a > 10").select("fwhm")
+    text = plan._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<l_quantity:double,l_tax:double>" in text and "GreaterThan(l_quantity,10.0)" in text
+    c = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
+    text = R.element_presence(R.flatten(c, "c_custkey"), 10)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and "partial_count" in text
+    top = ST.brightest(li, "l_suppkey", 5, ["l_orderkey"], "l_extendedprice")._jdf.queryExecution().executedPlan().toString()
+    assert top.count("WindowGroupLimit") == 2
