@@ -102,6 +102,11 @@ def metadata_statistics(spark: SparkSession, path: str, out: str) -> Summary:
         headers.unpersist()
 
 
+def as_json(df: DataFrame) -> DataFrame:
+    """Each row as one JSON text, nulls left out."""
+    return df.select(F.to_json(F.struct("*")).alias("json"))
+
+
 def dump(row: Row | dict[str, Any]) -> str:
     """One file's metadata as text, in the schema's order; nulls are left out, and a binning of 1."""
     record = row.asDict(recursive=True) if isinstance(row, Row) else row

@@ -6,6 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+import nightglass.plans.synthetic  # noqa: F401
 from nightglass.plans.bindings import Q
 
 SF = "/root/testdata/sf0.001"

@@ -134,6 +134,12 @@ def test_quality(spark):
     assert Q.frame_metrics(df.withColumn("path", F.lit("/x/a.fits")), "path").first()["frame_id"] == "a.fits"
 
 
+def test_background_constructors(spark):
+    plain = one(spark, Q.background(F.lit(5.0), F.lit(1.0)))
+    assert (plain["min"], plain["max"], plain["uniformity"]) == (0, 0, 1)
+    assert one(spark, Q.background(F.lit(5.0), F.lit(1.0), F.lit(8.0), F.lit(10.0)))["uniformity"] == pytest.approx(0.8)
+
+
 def test_profile_counts_files_once(spark):
     """Four files, three with a filter, one of them with it twice: 75, and 66.67 to 33.33 of the three."""
     from nightglass.operators import profile as R

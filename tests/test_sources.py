@@ -87,6 +87,17 @@ def test_scan_and_metadata(spark, collection):
     assert c["color_management"]["color_space"] == "Gray" and len(c["attachments"]) == 1
     assert "OBJECT" in a["raw_headers"]
     assert "M42" in reports.dump(a)
+    assert any('"object_name":"M42"' in r["json"] for r in reports.as_json(M.metadata(headers.filter("status = 'ok'"))).collect())
+
+
+def test_command_line(spark, collection, tmp_path_factory, capsys):
+    assert reports.main(["stats", "--count", str(collection)]) == 0
+    assert capsys.readouterr().out.strip() == "4"
+    assert reports.main(["dump", str(collection / "a.fits")]) == 0
+    assert "M42" in capsys.readouterr().out
+    assert reports.main(["dump", str(collection / "broken.fts")]) == 1
+    assert reports.main(["stats", "--out", str(tmp_path_factory.mktemp("o")), str(collection)]) == 0
+    assert "Processed 3 of 4" in capsys.readouterr().out
 
 
 def test_headers_only(spark, collection):
