@@ -8,8 +8,8 @@ gives the same parts without the quadratic scan.
 
 Encoded pre-tokens are cached as packed ids, so that a text costs one regular
 expression scan and one join; the cache is emptied when it holds ``CACHE``
-entries, which bounds a worker's memory at any size of corpus.  The pre-tokens
-of a batch that aren't cached are encoded together: the rank arrays of all
+entries, and at a task's end, which bounds a worker's memory at any size of
+corpus.  The pre-tokens of a batch that aren't cached are encoded together: the rank arrays of all
 words of up to ``WIDTHS[-1]`` bytes are the rows of one numpy array, and each
 pass finds every row's minimum, deletes its boundary and refreshes its
 neighbours.
@@ -31,11 +31,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from nightglass.llm.textcore import column
+from nightglass.llm.textcore import column, tidied
 
 LONG = 400
 WIDTHS = (6, 10, 16, 28)
-CACHE = 500_000
+CACHE = 400_000
 BATCH_CHARS = 1_000_000
 _NONE = 1 << 60
 
@@ -270,6 +270,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     kind = dict(docs.dtypes)[id_col]
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
@@ -287,5 +288,6 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             if with_ids:
                 out |= {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_pydict(out)
+        bpe.packed.clear()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)

@@ -196,6 +196,7 @@ def score_quality(docs: DataFrame, net: ByteCnn, id_col: str = "doc_id", text_co
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in held) + ", score double, predicted int"
     names = list(dict.fromkeys([*held, text_col]))
 
+    @tc.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in tc.blocks(tc.column(batch, text_col)):

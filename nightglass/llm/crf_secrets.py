@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from nightglass.llm.textcore import column
+from nightglass.llm.textcore import column, tidied
 
 TRAINING_LINES = 4000
 KINDS = ("assign", "access", "hex", "crf")
@@ -288,6 +288,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long" + ", redacted string" * redacted
     schema += "".join(f", `{c}` {dict(docs.dtypes)[c]}" for c in passing)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []

@@ -116,6 +116,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     null, other columns are not read, an empty table gives none.
     """
 
+    @tc.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = tc.column(batch, id_col)
@@ -183,6 +184,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
     schema = f"`{id_col}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
+    @tc.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # (bucket, id, text), not followers, still without their next
 

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from nightglass.llm.textcore import column
+from nightglass.llm.textcore import column, tidied
 
 TRAINING_PAGES = 300
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title|head(?=[\s>]))\b(?:"[^"]*"|'[^']*'|[^'">])*>|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S | re.I)
@@ -377,6 +377,7 @@ def extract_pages(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...
     kinds = dict(pages.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", text string, n_chars long"
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [extract(t.as_py() or "", w) for t in column(batch, html_col)]

@@ -76,6 +76,7 @@ def shared(records: DataFrame, places: int, name: str, later: bool, hot: float =
     name together.
     """
 
+    @tc.tidied
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, least, most = _combined(*unpacked(batch, "names", "ids"))
@@ -84,6 +85,7 @@ def shared(records: DataFrame, places: int, name: str, later: bool, hot: float =
             yield rows_of((everything % np.uint64(places)).astype(np.int32), everything, np.concatenate((least, most[two])), np.zeros(len(everything), np.uint32))
             yield pa.RecordBatch.from_pydict({"place": pa.array([-1], pa.int32()), "names": [b""], "ids": [b""], "spots": [b""]})
 
+    @tc.tidied
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [unpacked(b, "names", "ids") for b in batches]
         names, ids = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -101,6 +103,7 @@ def shared(records: DataFrame, places: int, name: str, later: bool, hot: float =
     discard(sent)
     bound = max(LEAST_HOT, int(hot * batches_made))
 
+    @tc.tidied
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, ids, counts = unpacked(batch, "names", "ids", "spots")
@@ -119,18 +122,21 @@ def shared(records: DataFrame, places: int, name: str, later: bool, hot: float =
             there &= ids > least[at]
         return names[there], ids[there], spots[there]
 
+    @tc.tidied
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, ids, spots = wanted(*unpacked(batch, "names", "ids", "spots"), hot_names, hot_least)
             if len(ids):
                 yield rows_of(place_of(ids, places), names, ids, spots)
 
+    @tc.tidied
     def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, ids, spots = unpacked(batch, "names", "ids", "spots")
             rest = ~found_in(hot_names, names)[1]
             yield rows_of((names[rest] % np.uint64(places)).astype(np.int32), names[rest], ids[rest], spots[rest])
 
+    @tc.tidied
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, least = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from nightglass.llm import bpe
 from nightglass.llm.shared import materialise
-from nightglass.llm.textcore import column
+from nightglass.llm.textcore import column, tidied
 
 
 @dataclass(frozen=True)
@@ -127,6 +127,7 @@ def tokenised_pieces(docs: DataFrame, path: str, capacity: Capacity = Capacity()
     """
     longest = capacity.longest()
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, tail = bpe.load(path), int(end_id).to_bytes(4, "little")
         for batch in batches:
@@ -145,6 +146,7 @@ def tokenised_pieces(docs: DataFrame, path: str, capacity: Capacity = Capacity()
                     at += size
             ids = column(batch, id_col).take(pa.array(owner, pa.int64()))
             yield pa.RecordBatch.from_pydict({id_col: ids, "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+        tokenizer.packed.clear()
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, piece int, start long, length long, ids_crc32 long")
 
@@ -168,6 +170,7 @@ def assign(pieces: DataFrame, capacity: Capacity = Capacity(), id_col: str = "do
     names = [id_col, "piece", "start", "length", "ids_crc32"]
     schema = f"`{id_col}` {dict(pieces.dtypes)[id_col]}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, salt, rank = (column(batch, c).to_numpy() for c in ("length", "_salt", "_rank"))

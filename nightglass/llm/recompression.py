@@ -200,6 +200,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     places = how.places or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (32 << 20)))
 
+    @tc.tidied
     def name_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = tc.column(batch, "id").to_numpy()
@@ -251,6 +252,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         cols = {"id": ids.slice(block.first, block.n).take(pick), "rest": rests.slice(block.first, block.n).take(pick), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests_, pa.string()), "kept_text": pa.array(texts_ if with_text else [None] * len(which), pa.string())}
         return pa.RecordBatch.from_arrays([cols[f.name] if f.name in cols else pa.nulls(len(which), f.type) for f in schema], schema=schema)
 
+    @tc.tidied
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Finish documents without shared stretches, and copies; list the shared windows of the others."""
         pairs, copied = [], []
@@ -309,6 +311,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .sortWithinPartitions("ask")
     )
 
+    @tc.tidied
     def take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_, spots_ = [], []
         ready = None
@@ -338,6 +341,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     kept.append(~tc.covered(starts[starts <= n - window], window, n))
                 yield finished(block, kept, id_col_, rest_col, schema, np.arange(block.n))
 
+    @tc.tidied
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             schema = arrow_schema(result, batch)

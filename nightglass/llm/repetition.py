@@ -105,6 +105,7 @@ def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     extra = [*(f"dup_{size}gram_chars" for size, _ in rules.ngrams), "dup_line_chars"]
     schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, " + ", ".join(f"{c} long" for c in counts) + ", base_failed boolean, kept boolean, " + ", ".join(f"{c} long" for c in extra)
 
+    @tc.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = tc.column(batch, id_col)

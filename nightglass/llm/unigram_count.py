@@ -11,7 +11,7 @@ Text is normalised as the vocabulary's own tokenizer does: a space in front,
 then spaces become U+2581.  No piece runs from another character into U+2581
 (checked when the vocabulary is loaded; else texts stay whole), so the lattice
 falls apart there without any change of score, count or tie, and the parts'
-counts are cached, in a cache emptied at ``CACHE`` entries.
+counts are cached, in a cache emptied at ``CACHE`` entries and at a task's end.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from nightglass.llm.textcore import column
+from nightglass.llm.textcore import column, tidied
 
 CACHE = 300_000
 UNKNOWN_PENALTY = 10.0
@@ -145,10 +145,12 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """
     schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_tokens long, score double"
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = load(path)
         for batch in batches:
             found = [counter.count(t.as_py() or "") for t in column(batch, text_col)]
             yield pa.RecordBatch.from_pydict({id_col: column(batch, id_col), "n_tokens": pa.array([n for n, _ in found], pa.int64()), "score": pa.array([s for _, s in found], pa.float64())})
+        counter.counts.clear()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
