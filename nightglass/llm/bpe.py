@@ -37,6 +37,7 @@ LONG = 400
 WIDTHS = (6, 10, 16, 28)
 CACHE = 400_000
 BATCH_CHARS = 1_000_000
+CHUNK = 1 << 12
 _NONE = 1 << 60
 
 # Fixed value: how the public byte-level vocabularies split text before merging.
@@ -69,6 +70,25 @@ def _latin_split() -> re.Pattern:
 _LATIN = _latin_split()
 
 
+def _slot(key: np.ndarray, size: int) -> np.ndarray:
+    return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % size
+
+
+def _hashed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An open hash table of keys that aren't negative: a slot's key, -1 if free, and value."""
+    size = 1 << max(4, (4 * len(keys)).bit_length())
+    slots, held = np.full(size, -1, np.int64), np.full(size, _NONE, np.int64)
+    at, rest = _slot(keys, size), np.arange(len(keys))
+    while len(rest):
+        free = slots[at[rest]] < 0
+        slots[at[rest[free]]] = keys[rest[free]]  # of several for a slot the last one stays
+        won = slots[at[rest]] == keys[rest]
+        held[at[rest[won]]] = values[rest[won]]
+        rest = rest[~won]
+        at[rest] = (at[rest] + 1) % size
+    return slots, held
+
+
 class _Packed(dict):
     """Pre-token to packed ids; misses are encoded."""
 
@@ -112,8 +132,7 @@ class ByteBPE:
         self.packed = _Packed(self.encode_word)
         self._byte_id = np.array(self.byte_id, np.int64)
         self._made = np.array(self.made, np.int64)
-        pairs = sorted(self.merges.items())
-        self._pairs, self._ranks = np.array([p for p, _ in pairs] or [-1], np.int64), np.array([r for _, r in pairs] or [_NONE], np.int64)
+        self._slots, self._ranks = _hashed(np.array(list(self.merges), np.int64), np.array(list(self.merges.values()), np.int64))
 
     def pieces_of(self, text: str) -> list[str]:
         """Pre-tokens of a text without special strings."""
@@ -125,39 +144,62 @@ class ByteBPE:
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 32 | b
-        at = np.minimum(np.searchsorted(self._pairs, key), len(self._pairs) - 1)
-        return np.where(self._pairs[at] == key, self._ranks[at], _NONE)
-
-    def _encode_rows(self, words: list[bytes], width: int) -> list[bytes]:
-        """``encode_word`` of words of ``width`` bytes at most, as rows of one array, packed."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ids = self._byte_id[np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width)]
-        ranks = self._rank(ids[:, :-1], ids[:, 1:])
-        columns = np.arange(width)
-        ranks[columns[:-1] >= sizes[:, None] - 1] = _NONE
-        done_ids, done_sizes = ids.copy(), sizes.copy()
-        row = np.arange(len(words))
-        while len(row):
-            at = ranks.argmin(1)
-            least = ranks[np.arange(len(row)), at]
-            go = least != _NONE
-            done_ids[row[~go]], done_sizes[row[~go]] = ids[~go], sizes[~go]
-            row, ids, ranks, sizes, at, least = row[go], ids[go], ranks[go], sizes[go] - 1, at[go], least[go]
-            if not len(row):
+        at = _slot(key, len(self._slots))
+        held = self._slots[at]
+        same = held == key
+        out = np.where(same, self._ranks[at], _NONE)
+        rest = np.nonzero(~same & (held >= 0) & (key >= 0))
+        while len(rest[0]):
+            at[rest] = (at[rest] + 1) % len(self._slots)
+            held = self._slots[at[rest]]
+            found = held == key[rest]
+            out[tuple(x[found] for x in rest)] = self._ranks[at[rest][found]]
+            rest = tuple(x[~found & (held >= 0)] for x in rest)
+        return out
+
+    def _merge_rows(self, ids: np.ndarray, ranks: np.ndarray, after: np.ndarray, before: np.ndarray) -> None:
+        """Merge the rows in place: ``after`` and ``before`` are each part's neighbours, -1 in ``ids`` a deleted boundary.
+
+        All arrays are [words, width + 1]; the last column stands for no neighbour.
+        """
+        n, width = ids.shape
+        flat_ids, flat_ranks, flat_after, flat_before = (x.reshape(-1) for x in (ids, ranks, after, before))
+        base = np.arange(n) * width
+        while True:
+            at = base + ranks.argmin(1)
+            least = flat_ranks[at]
+            go = np.flatnonzero(least != _NONE)
+            if len(go) < n // 2:
                 break
-            every = np.arange(len(row))
-            ids[every, at] = self._made[least]
-            after = np.minimum(columns + (columns > at[:, None]), width - 1)
-            ids = np.take_along_axis(ids, after, 1)
-            ranks = np.take_along_axis(ranks, np.minimum(columns[:-1] + (columns[:-1] >= at[:, None]), width - 2), 1)
-            ranks[columns[:-1] >= sizes[:, None] - 1] = _NONE
-            left = at > 0
-            ranks[every[left], at[left] - 1] = self._rank(ids[every[left], at[left] - 1], ids[every[left], at[left]])
-            right = at < sizes - 1
-            ranks[every[right], at[right]] = self._rank(ids[every[right], at[right]], ids[every[right], at[right] + 1])
-        flat = done_ids[columns < done_sizes[:, None]].astype("<u4").tobytes()
-        ends = (np.cumsum(done_sizes) * 4).tolist()
-        return [flat[i:j] for i, j in zip([0, *ends], ends)]
+            start, at = base[go], at[go]
+            gone = start + flat_after[at]
+            beyond, left = flat_after[gone], flat_before[at]
+            flat_ids[at] = made = self._made[least[go]]
+            flat_ids[gone], flat_ranks[gone] = -1, _NONE
+            flat_after[at], flat_before[start + beyond] = beyond, at - start
+            # no neighbour has id -2, which is in no pair
+            flat_ranks[at] = self._rank(made, flat_ids[start + beyond])
+            flat_ranks[start + left] = self._rank(flat_ids[start + left], made)
+        if len(go):
+            parts = [x[go] for x in (ids, ranks, after, before)]
+            self._merge_rows(*parts)
+            ids[go] = parts[0]
+
+    def _encode_rows(self, flat: np.ndarray, start: np.ndarray, sizes: np.ndarray, width: int) -> list[bytes]:
+        """``encode_word`` of the words of ``width`` bytes at most at ``start`` in ``flat``, packed."""
+        columns = np.arange(width + 1)
+        beyond = columns >= sizes[:, None]
+        ids = np.where(beyond, -1, self._byte_id[flat[np.minimum(start[:, None] + columns, len(flat) - 1)]])
+        ids[:, width] = -2
+        after = np.where(columns + 1 < sizes[:, None], columns + 1, width)
+        before = np.broadcast_to(np.where(columns > 0, columns - 1, width), ids.shape).copy()
+        ranks = np.full(ids.shape, _NONE, np.int64)
+        ranks[:, : width - 1] = np.where(beyond[:, 1:width], _NONE, self._rank(ids[:, : width - 1], ids[:, 1:width]))
+        self._merge_rows(ids, ranks, after, before)
+        held = ids >= 0
+        packed = ids[held].astype("<u4").tobytes()
+        ends = (np.cumsum(held.sum(1)) * 4).tolist()
+        return [packed[i:j] for i, j in zip([0, *ends], ends)]
 
     def learn(self, words: set[str]) -> None:
         """Cache the words that aren't cached yet, encoded together."""
@@ -165,14 +207,17 @@ class ByteBPE:
         if len(self.packed) + len(new) > CACHE:
             self.packed.clear()
             new = list(words)
+        if not new:
+            return
         raw = list(map(str.encode, new))
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        flat, start = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes) - sizes
         order = np.argsort(sizes, kind="stable")
         bounds = np.searchsorted(sizes[order], [0, *WIDTHS], side="right")
         for width, lo, hi in zip(WIDTHS, bounds, bounds[1:]):
-            for i in range(lo, hi, 1 << 14):
-                some = order[i : min(hi, i + (1 << 14))].tolist()
-                self.packed.update(zip([new[k] for k in some], self._encode_rows([raw[k] for k in some], width)))
+            for i in range(lo, hi, CHUNK):
+                some = order[i : min(hi, i + CHUNK)]
+                self.packed.update(zip(map(new.__getitem__, some.tolist()), self._encode_rows(flat, start[some], sizes[some], width)))
 
     def encode_many(self, texts: Iterable[str]) -> Iterator[bytes]:
         """``encode_packed`` of each text, learning the words of about ``BATCH_CHARS`` characters at a time."""
@@ -182,6 +227,7 @@ class ByteBPE:
 
         def flush() -> Iterator[bytes]:
             self.learn(words)
+            # the batch's own small map: it stays in the processor's cache, which the large one doesn't
             get = self.packed.__getitem__
             for x in held:
                 yield self.encode_packed(x) if isinstance(x, str) else b"".join(map(get, x))
