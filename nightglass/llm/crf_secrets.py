@@ -2,13 +2,15 @@
 
 The CRF labels each token begin (B), inside (I) or outside (O) of a secret from
 its shape, its neighbouring words and features of the whole text, and Viterbi
-decodes it.  Only an *eligible* token, a run of eight or more key characters
-with a digit or a capital after a small letter, may be B or I; others are O by
-definition.  So the chain falls apart at them, and only runs of eligible tokens
-are decoded: the labels are those of the whole chain.
+decodes it.  All tokens of a text make one chain: a token is a run of
+characters other than white space, quotes, brackets and ``,;:=``, without dots
+and dashes at its ends.  Where bounds on the scores show that no best labelling
+has a token in a secret, it is O, and the chain falls apart; the rest is
+decoded, so the labels are those of the whole chain.
 
 The model is trained here, on generated lines (``TRAINING_LINES``, fixed seed):
-keys of many makes, and dates, addresses, paths, versions and the like.
+keys and passwords of many makes, and words, dates, addresses, paths, versions
+and the like.
 """
 
 from __future__ import annotations
@@ -31,12 +33,12 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_KEY = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/.-")
-_RUN = re.compile(r"[A-Za-z0-9_+/.\-]+")
-_SEED = re.compile(r"[0-9]|(?<=[a-z])[A-Z]")
-_NEAR = re.compile(r"passw|passwd|pwd|secret|token|key|auth|bearer|credential|private", re.I | re.A)
-_BESIDE = re.compile(r"""[\s"'`,;]*""")
+_SPLIT = r"""\s"'`“”‘’„«»()\[\]{}<>,;:="""
+_TOKEN = re.compile(rf"[^{_SPLIT}.\-](?:[^{_SPLIT}]*[^{_SPLIT}.\-])?")
+_NEAR = re.compile(r"passw|passwd|pwd|passphrase|secret|token|key|auth|bearer|credential|private", re.I | re.A)
+_NAMED = re.compile(r"""(?:(passw(?:or)?d|pwd|passphrase|secret)|(?:[a-z]+[_\x20-])?(?:token|key|bearer|credential))["']?(?:\x20(?:is|was)\x20|\x20?(?:[:=]|=>)\x20?|\x20)["'`]?(?=[^\s"'`])""", re.I | re.A)
 O, B, I = 0, 1, 2
+CACHED = 100_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -51,61 +53,112 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
-def eligible_runs(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of neighbouring eligible tokens, each a (start, end)."""
-    runs: list[list[tuple[int, int]]] = []
-    pos, last = 0, -1
-    while m := _SEED.search(text, pos):
-        start = m.start()
-        while start > pos and text[start - 1] in _KEY:
-            start -= 1
-        pos = end = _RUN.match(text, m.start()).end()
-        while start < end and text[start] in ".-":
-            start += 1
-        while end > start and text[end - 1] in ".-":
-            end -= 1
-        if end - start >= 8:
-            if last >= 0 and start - last <= 8 and _BESIDE.fullmatch(text, last, start):
-                runs[-1].append((start, end))
-            else:
-                runs.append([(start, end)])
-            last = end
-    return runs
-
-
-FEATURES = (
-    "bias", "len<12", "len<16", "len<20", "len<32", "len<48", "long", "digits only", "hex only", "no capital", "no small letter", "mixed",
+def tokens_of(text: str) -> list[tuple[int, int]]:
+    """The text's tokens, each a (start, end)."""
+    return [m.span() for m in _TOKEN.finditer(text)]
+
+
+SHAPE = (
+    "bias", "len<4", "len<8", "len<12", "len<16", "len<20", "len<32", "len<48", "long", "digits only", "hex only", "no capital", "no small letter", "mixed",
     "digits<10%", "digits<30%", "digits<60%", "few kinds of character", "many kinds", "changes<2", "changes<5", "many changes", "has dot", "has slash", "has dash",
-    "has underscore", "ends in word", "vowels like a word", "assigned", "quoted", "named before", "named before on line", "at sign beside", "slash or @ near",
-    "colon after", "unit after", "text names secrets", "text has many digits", "next eligible beside", "earlier eligible beside",
+    "has underscore", "ends in word", "vowels like a word", "letters only", "letters only, 12 or more", "letters only, 20 or more", "digits and letters, 16 or more", "mixed, 20 or more", "sign inside", "sign and digit", "beyond ASCII", "like an address", "capital inside", "all capitals, 8 or more", "letters of one case",
+)
+PLACE = (
+    "assigned", "quoted", "named before", "named before on line", "at sign beside", "slash or @ near", "colon after", "unit after", "glued to the token before", "glued to the token after",
+    "password named", "key named", "password assigned", "text names secrets", "text has many digits",
 )
+#: Of a token that a name stands right before, its shape besides: what a password may be, a common word isn't.
+BOTH = ("letters only", "len<4", "len<8", "len<12", "letters only, 12 or more", "letters only, 20 or more", "all capitals, 8 or more", "has digit", "digits only", "sign inside", "mixed", "beyond ASCII")
+FEATURES = (*SHAPE, *PLACE, *(f"password named, {f}" for f in BOTH), *(f"password assigned, {f}" for f in BOTH), *(f"key named, {f}" for f in BOTH))
+_AT = {f: i for i, f in enumerate(SHAPE)}
+_SIGN = re.compile(r"[^A-Za-z0-9_+/.\-']", re.A)
+_ADDRESS = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\S*//\S+|/?(?:[\w.-]+/)+[\w.-]*|(?:[\w-]+\.)+[a-z]{2,6}(?:[/?]\S*)?")
+_SMALL, _CAPITAL, _DIGIT = (frozenset(c) for c in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"))
+
+
+def shape(t: str) -> tuple[bool, ...]:
+    """The features of a token by itself, and whether it has a digit."""
+    n = len(t)
+    kind = [0 if c in _DIGIT else 1 if c in _CAPITAL else 2 if c in _SMALL else 3 for c in t]
+    digits, upper, lower = kind.count(0), kind.count(1), kind.count(2)
+    changes = sum(a != b for a, b in zip(kind, kind[1:])) / n
+    variety = len(set(t)) / min(n, 24)
+    vowels = sum(c in "aeiouAEIOU" for c in t) / max(1, upper + lower)
+    longest_word = max(map(len, re.findall(r"[a-z]+", t)), default=0)
+    share, core = digits / n, t.rstrip("!?")
+    letters, sign = core.isalpha(), bool(_SIGN.search(core)) and not core.isalpha()
+    mixed = bool(upper and lower and digits)
+    return (
+        True, n < 4, 4 <= n < 8, 8 <= n < 12, 12 <= n < 16, 16 <= n < 20, 20 <= n < 32, 32 <= n < 48, n >= 48, digits == n, set(t) <= set("0123456789abcdef"), upper == 0, lower == 0, mixed,
+        share < 0.1, 0.1 <= share < 0.3, 0.3 <= share < 0.6, variety < 0.4, variety > 0.7, changes < 0.1, 0.1 <= changes < 0.3, changes >= 0.3, "." in t, "/" in t, "-" in t,
+        "_" in t, longest_word >= 7, 0.25 <= vowels <= 0.6, letters, letters and n >= 12, letters and n >= 20, bool(digits and upper + lower) and n >= 16, mixed and n >= 20, sign, sign and digits > 0, not t.isascii(), bool(_ADDRESS.fullmatch(t)),
+        any(b == 1 and a == 2 for a, b in zip(kind, kind[1:])), upper == n >= 8, letters and (upper == 0 or lower == 0), digits > 0,
+    )
 
 
-def features(text: str, run: list[tuple[int, int]], whole: tuple[bool, bool]) -> np.ndarray:
-    """A row of 0 or 1 for each token of a run.  ``whole``: the text's own features."""
-    out = np.zeros((len(run), len(FEATURES)), np.float32)
-    for k, (start, end) in enumerate(run):
-        t, n = text[start:end], end - start
-        digits = sum(c.isdigit() for c in t)
-        upper, lower = sum("A" <= c <= "Z" for c in t), sum("a" <= c <= "z" for c in t)
-        kind = [0 if "0" <= c <= "9" else 1 if "A" <= c <= "Z" else 2 if "a" <= c <= "z" else 3 for c in t]
-        changes = sum(a != b for a, b in zip(kind, kind[1:])) / n
-        variety = len(set(t)) / min(n, 24)
-        vowels = sum(c in "aeiouAEIOU" for c in t) / max(1, upper + lower)
-        longest_word = max(map(len, re.findall(r"[a-z]+", t)), default=0)
-        before, after = text[max(0, start - 24) : start], text[end : end + 12]
-        line = text[max(0, start - 60) : start].rsplit("\n", 1)[-1]
-        trimmed = before.rstrip(" \"'`")
-        share = digits / n
-        out[k] = (
-            1, n < 12, 12 <= n < 16, 16 <= n < 20, 20 <= n < 32, 32 <= n < 48, n >= 48, digits == n, set(t) <= set("0123456789abcdef"), upper == 0, lower == 0, upper and lower and digits,
-            share < 0.1, 0.1 <= share < 0.3, 0.3 <= share < 0.6, variety < 0.4, variety > 0.7, changes < 0.1, 0.1 <= changes < 0.3, changes >= 0.3, "." in t, "/" in t, "-" in t,
-            "_" in t, longest_word >= 7, 0.25 <= vowels <= 0.6, trimmed.endswith(("=", ":")), before.endswith(("'", '"', "`")), bool(_NEAR.search(before)), bool(_NEAR.search(line)), before.endswith("@") or after.startswith("@"), "://" in line or "@" in line[-24:],
-            after.startswith(":"), after[:1] in ("%", "°"), *whole, k + 1 < len(run), k > 0,
-        )
+_ALIKE = str.maketrans({c: "0" if c in _DIGIT else "a" if c in "ae" else "b" if c in "bcdf" else "i" if c in "iou" else "z" if c in _SMALL else "A" if c in "AEIOU" else "Z" for c in sorted(_SMALL | _CAPITAL | _DIGIT)})
+
+
+def alike(t: str) -> tuple:
+    """What ``shape`` reads of a token: tokens with an equal key have an equal shape."""
+    if t.isascii() and t.isalpha() and (t.islower() or t.istitle()):
+        return len(t), len(set(t)), sum(map(t.count, "aeiouAEIOU")), t[0] < "a", not t.strip("abcdef")
+    return t.translate(_ALIKE), len(set(t))
+
+
+def _beside(shape_: np.ndarray) -> np.ndarray:
+    """The columns of ``BOTH`` of rows of ``shape``."""
+    return shape_[:, [len(SHAPE) if f == "has digit" else _AT[f] for f in BOTH]]
+
+
+def places(text: str, spans: np.ndarray, whole: tuple[bool, bool]) -> np.ndarray:
+    """The features of ``PLACE`` of the tokens at ``spans``, a row of 0 or 1 for each.  ``whole``: the text's own features."""
+    start, end = spans[:, 0], spans[:, 1]
+    out = np.zeros((len(spans), len(PLACE)), bool)
+    code = np.frombuffer(("  " + text + "  ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    one, two, after = code[start + 1], code[start], code[end + 2]
+    is_in = lambda c, chars: np.logical_or.reduce([c == ord(x) for x in chars])
+    quoted = is_in(one, "\"'`")
+    last = np.where(is_in(one, " \"'`"), two, one)
+    space = np.where(is_in(last, " \"'`") & (start > 2), code[np.maximum(start - 1, 0)], last)
+    out[:, 0], out[:, 1] = is_in(space, "=:"), quoted
+    near = np.array([m.end() for m in _NEAR.finditer(text)], np.int64) if whole[0] else np.zeros(0, np.int64)
+    lines = np.array([m.end() for m in re.finditer("\n", text)], np.int64)
+    line = np.concatenate(([0], lines))[np.searchsorted(lines, start, "right")]
+    if len(near):
+        latest = np.concatenate(([-1000], near))[np.searchsorted(near, start, "right")]
+        out[:, 2] = start - latest <= 24
+        out[:, 3] = (start - latest <= 60) & (latest > line)
+    at = np.flatnonzero(code == 64) - 2
+    out[:, 4] = (one == 64) | (after == 64)
+    slashes = np.array([m.start() for m in re.finditer("://", text)], np.int64) if "://" in text else np.zeros(0, np.int64)
+    for signs, reach in ((slashes, 60), (at, 24)):
+        if len(signs):
+            latest = np.concatenate(([-1000], signs))[np.searchsorted(signs, start, "left")]
+            out[:, 5] |= (start - latest <= reach) & (latest >= line)
+    out[:, 6], out[:, 7] = after == 58, is_in(after, "%°")
+    glued = np.zeros(len(spans), bool)
+    blank = np.concatenate(([0], np.cumsum(is_in(code, " \t\n\r\x0b\x0c 　"))))
+    glued[1:] = blank[start[1:] + 2] == blank[end[:-1] + 2]
+    out[:, 8], out[:-1, 9] = glued, glued[1:]
+    if whole[0]:
+        for m in _NAMED.finditer(text):
+            k = int(np.searchsorted(start, m.end()))
+            if k < len(start) and start[k] - m.end() <= 1:
+                out[k, 10 if m[1] else 11] = True
+                out[k, 12] = bool(m[1]) and any(c in m[0] for c in "=:")
+    out[:, 13], out[:, 14] = whole
     return out
 
 
+def features(text: str, run: list[tuple[int, int]], whole: tuple[bool, bool]) -> np.ndarray:
+    """A row of 0 or 1 for each token.  ``whole``: the text's own features."""
+    shapes = np.array([shape(text[a:b]) for a, b in run], bool).reshape(len(run), len(SHAPE) + 1)
+    place, both = places(text, np.array(run, np.int64).reshape(-1, 2), whole), _beside(shapes)
+    named = [both & place[:, k, None] for k in (10, 12, 11)]
+    return np.hstack((shapes[:, :-1], place, *named)).astype(np.float32)
+
+
 def whole_features(text: str) -> tuple[bool, bool]:
     """The file's features: it names secrets; a twentieth of its first and last thousand characters are digits."""
     ends = text[:1000] + text[-1000:]
@@ -118,15 +171,64 @@ class Crf:
     def __init__(self):
         self.w = np.zeros((len(FEATURES), 3))
         self.t = np.zeros((3, 3))
+        self._seen: dict[str | tuple, int] = {}
+        self._held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def _bound(self) -> np.ndarray:
         t = self.t.copy()
         t[O, I] = -1e9
         return t
 
+    def emissions(self, text: str, run: list[tuple[int, int]], whole: tuple[bool, bool]) -> np.ndarray:
+        """``features(...) @ w``, with what a token's shape says kept from text to text."""
+        if len(self._seen) > CACHED:
+            self._seen.clear()
+            self._held.clear()
+        which, n = [], len(SHAPE)
+        for a, b in run:
+            t = text[a:b]
+            k = self._seen.get(t)
+            if k is None:
+                key = alike(t)
+                k = self._seen.get(key)
+                if k is None:
+                    row = np.array([shape(t)], np.float64)
+                    k = self._seen[key] = len(self._held)
+                    self._held.append((row[0, :n] @ self.w[:n], _beside(row)[0]))
+                self._seen[t] = k
+            which.append(k)
+        place = places(text, np.array(run, np.int64), whole)
+        e = np.array([self._held[k][0] for k in which]) + place @ self.w[n : n + len(PLACE)]
+        for i, k in enumerate((10, 12, 11)):
+            w = self.w[n + len(PLACE) + i * len(BOTH) :][: len(BOTH)]
+            for j in np.flatnonzero(place[:, k]):
+                e[j] += self._held[which[j]][1] @ w
+        return e
+
+    def open_runs(self, e: np.ndarray) -> list[tuple[int, int]]:
+        """(first, last + 1) of the runs of tokens that a best labelling may have in a secret.
+
+        If setting a token to O in any labelling, and an I after it to B, makes
+        the labelling better, it is O in the best one.
+        """
+        d = self._bound() - self.t[O, O]
+        gain = e[:, 1:] - e[:, :1]
+        out = d[1:, O]
+        # the most that a token labelled B or I, and the step to it, can be worth beside O
+        came = np.array([max(d[O, k], *(d[1:, k] - out)) for k in (B, I)])
+        onward = np.full(len(e), -np.inf)
+        onward[:-1] = gain[1:, 1] - gain[1:, 0]
+        worth = [gain[:, k - 1] + came[k - 1] + np.maximum(max(d[k, O], d[k, B] - d[O, B]), onward + d[k, I] - d[O, B]) for k in (B, I)]
+        may = np.concatenate(([False], np.maximum(*worth) >= -1e-9, [False]))
+        edge = np.flatnonzero(may[1:] != may[:-1])
+        return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+
     def decode(self, x: np.ndarray) -> list[int]:
         """Viterbi over one run, between tokens that are O."""
-        e, t = x @ self.w, self._bound()
+        return self.best(x @ self.w)
+
+    def best(self, e: np.ndarray) -> list[int]:
+        t = self._bound()
         score, back = t[O] + e[0], []
         for row in e[1:]:
             through = score[:, None] + t
@@ -138,37 +240,46 @@ class Crf:
         return labels[::-1]
 
     def fit(self, runs: list[tuple[np.ndarray, list[int]]], steps: int = 300, rate: float = 0.1, decay: float = 1e-4) -> Crf:
-        """Maximise the conditional likelihood by Adam, with forward and backward sums over padded runs."""
-        n, m = len(runs), max(len(y) for _, y in runs)
-        x, y, on = np.zeros((n, m, len(FEATURES))), np.zeros((n, m), int), np.zeros((n, m), bool)
-        for i, (a, b) in enumerate(runs):
-            x[i, : len(b)], y[i, : len(b)], on[i, : len(b)] = a, b, True
-        gold_w = np.einsum("nmf,nml->fl", x, np.eye(3)[y] * on[..., None])
+        """Maximise the conditional likelihood by Adam, with forward and backward sums over all runs at once."""
+        runs = sorted(runs, key=lambda r: -len(r[1]))
+        n, size = len(runs), np.array([len(y) for _, y in runs])
+        m, ends, at = int(size[0]), size - 1, np.cumsum(size) - size
+        # the tokens of all runs, by their place in the run and then by run: those at place k are of the first upto[k] runs
+        upto = [int((size > k).sum()) for k in range(m)]
+        x = np.vstack([x for x, _ in runs])
+        order = np.concatenate([at[:u] + k for k, u in enumerate(upto)])
+        x, y = np.ascontiguousarray(x[order], np.float32), np.concatenate([y for _, y in runs])[order]
+        cut = np.concatenate(([0], np.cumsum(upto)))
+        final = cut[ends] + np.arange(n)
+        gold_w = x.T @ np.eye(3, dtype=np.float32)[y]
         gold_t = np.zeros((3, 3))
-        ends = on.sum(1) - 1
-        for i in range(n):
-            path = [O, *y[i, : ends[i] + 1], O]
+        for _, labels in runs:
+            path = [O, *labels, O]
             np.add.at(gold_t, (path[:-1], path[1:]), 1)
         moments = [np.zeros_like(p) for p in (self.w, self.t, self.w, self.t)]
-        lse = lambda a, axis: (top := a.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(a - top).sum(axis))
         for step in range(1, steps + 1):
-            e, t = x @ self.w, self._bound()
-            fwd, bwd = np.zeros((m, n, 3)), np.zeros((m, n, 3))
-            fwd[0] = t[O] + e[:, 0]
-            for k in range(1, m):
-                fwd[k] = np.where(on[:, k, None], lse(fwd[k - 1][:, :, None] + t, 1) + e[:, k], fwd[k - 1])
-            for k in range(m - 1, -1, -1):
-                here = np.broadcast_to(t[:, O], (n, 3))
-                bwd[k] = here if k == m - 1 else np.where((ends > k)[:, None], lse(t + (e[:, k + 1] + bwd[k + 1])[:, None, :], 2), here)
-            z = lse(fwd[0] + bwd[0], 1)
-            node = np.exp(fwd + bwd - z[None, :, None]).transpose(1, 0, 2) * on[..., None]
+            e, t = (x @ self.w.astype(np.float32)).astype(np.float64), np.exp(self._bound())
+            # scaled sums: each token's forward and backward sums are divided by the forward one's total
+            top = e.max(1, keepdims=True)
+            u = np.exp(e - top)
+            fwd, bwd, scale = np.empty_like(u), np.empty_like(u), np.empty(len(u))
+            for k in range(m):
+                i, j = cut[k], cut[k + 1]
+                f = (t[O] if k == 0 else fwd[cut[k - 1] : cut[k - 1] + j - i] @ t) * u[i:j]
+                scale[i:j] = f.sum(1)
+                fwd[i:j] = f / scale[i:j, None]
+            last = fwd[final] @ t[:, O]
+            bwd[final] = t[:, O] / last[:, None]
             want_t = np.zeros((3, 3))
-            want_t[O] += node[:, 0].sum(0)
-            want_t[:, O] += node[np.arange(n), ends].sum(0)
-            for k in range(1, m):
-                joint = np.exp(fwd[k - 1][:, :, None] + t + (e[:, k] + bwd[k])[:, None, :] - z[:, None, None])
-                want_t += joint[on[:, k]].sum(0)
-            grads = (np.einsum("nmf,nml->fl", x, node) - gold_w) / n + decay * self.w, (want_t - gold_t) / n + decay * self.t
+            for k in range(m - 1, 0, -1):
+                i, j, h = cut[k], cut[k + 1], cut[k - 1]
+                right = u[i:j] * bwd[i:j] / scale[i:j, None]
+                bwd[h : h + j - i] = right @ t.T
+                want_t += t * (fwd[h : h + j - i].T @ right)
+            node = fwd * bwd
+            want_t[O] += node[: cut[1]].sum(0)
+            want_t[:, O] += node[final].sum(0)
+            grads = ((x.T @ node.astype(np.float32)) - gold_w) / n + decay * self.w, (want_t - gold_t) / n + decay * self.t
             for j, (p, g) in enumerate(zip((self.w, self.t), grads)):
                 moments[j] = 0.9 * moments[j] + 0.1 * g
                 moments[j + 2] = 0.99 * moments[j + 2] + 0.01 * g * g
@@ -186,7 +297,15 @@ def training_line(r: random.Random) -> tuple[str, list[tuple[int, int]]]:
         lambda: pick(any_, 20, 44), lambda: pick(any_ + "+/", 28, 64), lambda: pick(hexa, 24, 64), lambda: "ghp_" + pick(any_, 36, 36), lambda: "sk-" + pick(any_, 32, 48), lambda: "xoxb-" + pick(digit, 10, 12) + "-" + pick(any_, 24, 24),
         lambda: "eyJ" + pick(any_, 17, 30) + "." + pick(any_ + "-_", 30, 60) + "." + pick(any_ + "-_", 30, 43), lambda: "AKIA" + pick(small.upper() + digit, 16, 16), lambda: "AIza" + pick(any_ + "-_", 35, 35), lambda: pick(any_, 12, 18),
         lambda: pick(any_, 24, 32) + " " + pick(any_, 24, 32),
-    )
+    )
+    # what only a name beside it tells: passwords of letters, short ones and punctuated ones
+    signs = "!@#$%^&*?+~"
+    phrase = lambda: "".join(word() for _ in range(6))[: r.randint(14, 32)]
+    signed = lambda: pick(any_, 1, 4) + r.choice(signs) + pick(any_ + signs, 3, 9) + r.choice(any_)
+    short = (
+        phrase, lambda: phrase().upper(), lambda: pick(small, 10, 24), lambda: pick(small.upper(), 10, 24), lambda: phrase().capitalize(), lambda: word() + pick(digit, 1, 4), lambda: word().capitalize() + pick(digit, 1, 4),
+        lambda: pick(any_, 6, 11) + r.choice(digit), lambda: pick(small + digit, 6, 11) + r.choice(digit), signed, signed, signed, lambda: word().capitalize() + r.choice(signs) + pick(digit, 1, 4) + r.choice(small), lambda: word() + r.choice("@!$") + word() + pick(digit, 1, 3),
+    )
     plain = (
         lambda: f"20{pick(digit, 2, 2)}-{pick(digit, 2, 2)}-{pick(digit, 2, 2)}", lambda: f"20{pick(digit, 2, 2)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}T{pick(digit, 2, 2)}:{pick(digit, 2, 2)}:{pick(digit, 2, 2)}", lambda: ".".join(pick(digit, 1, 3) for _ in range(4)),
         lambda: f"{word()}{pick(digit, 1, 3)}.{word()}@mail{pick(digit, 1, 2)}.example.com", lambda: f"http://{word()}{r.randint(1, 9)}.example.org/{word()}/{pick(digit, 2, 4)}?page={r.randint(1, 9)}", lambda: f"+{r.randint(1, 99)}-{pick(digit, 3, 3)}-{pick(digit, 3, 4)}-{pick(digit, 4, 4)}",
@@ -195,10 +314,17 @@ def training_line(r: random.Random) -> tuple[str, list[tuple[int, int]]]:
         lambda: word().capitalize() + word() + "." + word().capitalize() + word(), lambda: f"{pick(hexa, 8, 8)}-{pick(hexa, 4, 4)}-{pick(hexa, 4, 4)}-{pick(hexa, 4, 4)}-{pick(hexa, 12, 12)}",
     )
     out, spans, at = [], [], 0
+    said = lambda: r.choice((word, word, word, word, lambda: word().capitalize(), lambda: word().upper(), lambda: word() + r.choice(",.;:!?"), lambda: word() + r.choice("-'/_") + word(), lambda: word() + word(), lambda: f"({word()})", lambda: f'"{word()}"', lambda: pick(digit, 1, 6), lambda: pick("éèüößçñ漢字日本" + small, 3, 12), lambda: pick("#*$%&|<>", 1, 4)))()
     for _ in range(r.randint(2, 9)):
-        out.append(word())
+        out.append(said())
     for _ in range(r.randint(1, 3)):
-        if r.random() < 0.45:
+        x = r.random()
+        if x < 0.2:
+            lead, s = r.choice(("password is ", "password: ", "Password: ", "password=", "pwd=", "pwd: ", "PASSWORD=", "passwd = ", "passphrase: ", "the password was ", 'password="', "secret: ", "secret=")), r.choice(short)()
+            out.append(("mark", lead, s))
+        elif x < 0.28:
+            out.append((r.choice(("password is ", "the password was ", "secret is ", "key is ", "token ", "the key ", "password ", "password: ", "key: ", "secret ", "private ", "auth ")), r.choice((word, word, lambda: word() + word()[:3]))()))
+        elif x < 0.6:
             s = r.choice(secrets)()
             lead = r.choice(("", "", "key ", "token: ", "api key = ", "PRIVATE_KEY=", 'secret: "', "Authorization: Bearer ", "password is ", "pwd="))
             if len(s) < 20 and not lead:
@@ -206,7 +332,7 @@ def training_line(r: random.Random) -> tuple[str, list[tuple[int, int]]]:
             out.append(("mark", lead, s))
         else:
             out.append((r.choice(("", "", "on ", "id ", "see ", "to: ", "=")), r.choice(plain)()))
-        out += [word() for _ in range(r.randint(0, 5))]
+        out += [said() for _ in range(r.randint(0, 5))]
     text = ""
     for part in out:
         text += " " if text else ""
@@ -227,24 +353,24 @@ def train(lines: int = TRAINING_LINES, seed: int = 7) -> Crf:
     r, runs = random.Random(seed), []
     for _ in range(lines):
         text, spans = training_line(r)
-        whole = whole_features(text)
-        for run in eligible_runs(text):
-            labels, open_ = [], None
-            for start, end in run:
-                held = next((s for s in spans if s[0] <= start and end <= s[1]), None)
-                labels.append(O if held is None else I if held == open_ else B)
-                open_ = held
-            runs.append((features(text, run, whole), labels))
+        run, labels, open_ = tokens_of(text), [], None
+        for start, end in run:
+            held = next((s for s in spans if s[0] <= start and end <= s[1]), None)
+            labels.append(O if held is None else I if held == open_ else B)
+            open_ = held
+        runs.append((features(text, run, whole_features(text)), labels))
     return Crf().fit(runs)
 
 
 def added_spans(text: str, crf: Crf, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """The CRF's spans that don't touch one of ``base``."""
-    out, whole = [], None
-    for run in eligible_runs(text):
-        whole = whole or whole_features(text)
+    run, out = tokens_of(text), []
+    if not run:
+        return []
+    e = crf.emissions(text, run, whole_features(text))
+    for first, upto in crf.open_runs(e):
         start = end = None
-        for (a, b), label in [*zip(run, crf.decode(features(text, run, whole))), ((0, 0), O)]:
+        for (a, b), label in [*zip(run[first:upto], crf.best(e[first:upto])), ((0, 0), O)]:
             if label != I and start is not None:
                 out.append((start, end, 3))
                 start = None

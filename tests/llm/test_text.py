@@ -113,6 +113,30 @@ def test_crf():
     assert sum(len(S.added_spans(t, crf, S.base_spans(t))) for t in clean) < 5
 
 
+def test_crf_tags_every_token():
+    crf = S.train()
+    for secret in ("correcthorsebatterystaple", "hunter2", "P@ssw0rd!x"):
+        text = f"my password is {secret}, as it was"
+        assert [text[a:b] for a, b, _ in S.scan(text, crf)[1]] == [secret]
+        assert S.redact(text, S.scan(text, crf)[1]) == "my password is [SECRET], as it was"
+    assert [s[:2] for s in S.scan("pwd=SWORDFISHSWORDFISH", crf)[1]] == [(4, 22)]
+    for text in ("the password is required", "password: none", "the secret of success is work", "a key is important"):
+        assert S.scan(text, crf)[1] == []
+
+
+def test_crf_shortcuts_are_exact():
+    crf, r = S.train(), random.Random(4)
+    for _ in range(200):
+        text, _ = S.training_line(r)
+        run, whole = S.tokens_of(text), S.whole_features(text)
+        e = crf.emissions(text, run, whole)
+        assert np.allclose(e, S.features(text, run, whole) @ crf.w, atol=1e-4)
+        labels = [S.O] * len(run)
+        for a, b in crf.open_runs(e):
+            labels[a:b] = crf.best(e[a:b])
+        assert labels == crf.best(e)
+
+
 def test_viterbi_is_best():
     crf, r = S.train(), np.random.default_rng(2)
     for n in (1, 2, 4):
