@@ -4,8 +4,7 @@ Bytes are embedded, learned filters slide over every position, and overlapping
 chunks (``CHUNK`` bytes, a new one each ``BLOCK``) that cover the whole document
 are max-pooled to a vector each.  The chunks' mean and maximum, side by side, go
 through one logistic unit to a probability.  Training samples at most
-``TRAIN_ROWS`` labelled rows and ``TRAIN_CHUNKS`` evenly spaced chunks of each;
-scoring reads all bytes.
+``TRAIN_ROWS`` labelled rows; it reads all chunks of each, as scoring does.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 from nightglass.llm import textcore as tc
 
 TRAIN_ROWS = 2000
-TRAIN_CHUNKS = 16
+STEP_CHUNKS = 512
 BLOCK, CHUNK, WIDTH, DIMS, FILTERS, PAD = 128, 256, 6, 4, 16, 256
 
 
@@ -104,17 +103,17 @@ def fit(texts: list[str], labels: list[int], epochs: int = 12, batch: int = 64,
     net.out_bias = float(np.log(positive / (1 - positive)))
     if len(set(labels)) < 2:
         return net
-    chunks, owner = [], []
-    for i, t in enumerate(texts):
+    coded, size, alone = [], [], []
+    for t in texts:
         raw = np.frombuffer(t.encode(), np.uint8)
         blocks = max(1, -(-len(raw) // BLOCK))
-        codes = np.full((blocks + 1) * BLOCK, PAD, np.uint16)
+        codes = np.full(max(2, blocks) * BLOCK, PAD, np.uint16)
         codes[: len(raw)] = raw
-        starts = np.unique(np.linspace(0, max(0, blocks - 2), TRAIN_CHUNKS).astype(int))
-        chunks += [codes[s * BLOCK : s * BLOCK + CHUNK] for s in starts]
-        owner += [i] * len(starts)
-    chunks, owner, y = np.array(chunks), np.array(owner), np.array(labels, np.float32)
-    at = np.searchsorted(owner, np.arange(len(texts) + 1))
+        coded.append(codes)
+        size.append(max(1, blocks - 1))
+        alone.append(blocks == 1)
+    size, alone, y = np.array(size), np.array(alone), np.array(labels, np.float32)
+    reach = np.arange(WIDTH)
     params = {k: getattr(net, k) for k in ("embed", "filters", "bias", "out")} | {"out_bias": np.array([net.out_bias])}
     m1, m2 = ({k: np.zeros(v.shape) for k, v in params.items()} for _ in range(2))
     step = 0
@@ -122,28 +121,45 @@ def fit(texts: list[str], labels: list[int], epochs: int = 12, batch: int = 64,
         order = r.permutation(len(texts))
         for lo in range(0, len(order), batch):
             docs = order[lo : lo + batch]
-            rows = np.concatenate([np.arange(at[d], at[d + 1]) for d in docs])
-            size = at[docs + 1] - at[docs]
-            edge = np.concatenate(([0], np.cumsum(size)))[:-1]
-            which = np.repeat(np.arange(len(docs)), size)
-            codes = chunks[rows]
-            seen = (net.windows(codes.ravel()) @ params["filters"]).reshape(len(rows), CHUNK, FILTERS)[:, : CHUNK - WIDTH + 1]
-            best = seen.argmax(1)
-            value = np.take_along_axis(seen, best[:, None], 1)[:, 0] + params["bias"]
+            counts = size[docs]
+            edge = np.concatenate(([0], np.cumsum(counts)))[:-1]
+            which = np.repeat(np.arange(len(docs)), counts)
+            data = np.concatenate([coded[d] for d in docs])
+            base = np.concatenate(([0], np.cumsum([len(coded[d]) for d in docs])))[:-1]
+            start = np.concatenate([b + BLOCK * np.arange(n) for b, n in zip(base, counts)])
+            best = np.empty((len(start), FILTERS), np.int64)
+            value = np.empty((len(start), FILTERS), np.float32)
+            for i in range(0, len(start), STEP_CHUNKS):
+                codes = data[start[i : i + STEP_CHUNKS, None] + np.arange(CHUNK)]
+                # as in scoring, a chunk's last windows reach into the next block, or into padding at the text's end
+                after = start[i : i + STEP_CHUNKS, None] + CHUNK + np.arange(WIDTH - 1)
+                inside = after < (base + [len(coded[d]) for d in docs])[which[i : i + STEP_CHUNKS], None]
+                codes = np.hstack((codes, np.where(inside, data[np.minimum(after, len(data) - 1)], PAD)))
+                seen = (net.windows(codes.ravel()) @ params["filters"]).reshape(len(codes), CHUNK + WIDTH - 1, FILTERS)[:, :CHUNK]
+                seen[alone[docs][which[i : i + STEP_CHUNKS]], BLOCK:] = -np.inf  # a single block is the whole chunk
+                best[i : i + STEP_CHUNKS] = at = seen.argmax(1)
+                value[i : i + STEP_CHUNKS] = np.take_along_axis(seen, at[:, None], 1)[:, 0] + params["bias"]
             chunk = np.maximum(value, 0)
-            mean = np.add.reduceat(chunk, edge, axis=0) / size[:, None]
+            mean = np.add.reduceat(chunk, edge, axis=0) / counts[:, None]
             most = np.maximum.reduceat(chunk, edge, axis=0)
             z = np.hstack((mean, most)) @ params["out"] + params["out_bias"]
             gz = ((1 / (1 + np.exp(-np.clip(z, -30, 30)))) - y[docs]) / len(docs)
             g = {"out": np.hstack((mean, most)).T @ gz + 1e-4 * params["out"], "out_bias": np.array([gz.sum()])}
-            gc = gz[which, None] * params["out"][:FILTERS] / size[which, None] + gz[which, None] * params["out"][FILTERS:] * (chunk == most[which])
+            gc = gz[which, None] * params["out"][:FILTERS] / counts[which, None] + gz[which, None] * params["out"][FILTERS:] * (chunk == most[which])
             gc = np.where(value > 0, gc, 0.01 * gc).astype(np.float32)  # a leak, in training only, revives idle filters
             g["bias"] = gc.sum(0)
-            around = np.minimum(best[:, :, None] + np.arange(WIDTH), CHUNK - 1)
-            near = codes[np.arange(len(rows))[:, None, None], around]  # [chunks, FILTERS, WIDTH]
-            g["filters"] = np.einsum("cfwd,cf->wdf", params["embed"][near], gc).reshape(WIDTH * DIMS, FILTERS)
-            ge = np.zeros((257, DIMS))
-            np.add.at(ge, near.ravel(), np.einsum("wdf,cf->cfwd", params["filters"].reshape(WIDTH, DIMS, FILTERS), gc).reshape(-1, DIMS))
+            g["filters"], ge = np.zeros((WIDTH, DIMS, FILTERS)), np.zeros((257, DIMS))
+            limit = (base + [len(coded[d]) for d in docs])[which]
+            by_filter = params["filters"].reshape(WIDTH, DIMS, FILTERS)
+            for i in range(0, len(start), STEP_CHUNKS):
+                part = slice(i, i + STEP_CHUNKS)
+                where = start[part, None, None] + best[part, :, None] + reach
+                near = np.where(where < limit[part, None, None], data[np.minimum(where, len(data) - 1)], PAD)  # [chunks, FILTERS, WIDTH]
+                g["filters"] += np.einsum("cfwd,cf->wdf", params["embed"][near], gc[part])
+                push = np.einsum("wdf,cf->cfwd", by_filter, gc[part]).reshape(-1, DIMS)
+                for d in range(DIMS):
+                    ge[:, d] += np.bincount(near.ravel(), push[:, d], 257)
+            g["filters"] = g["filters"].reshape(WIDTH * DIMS, FILTERS)
             ge[PAD] = 0
             g["embed"] = ge
             step += 1

@@ -195,6 +195,14 @@ def test_score_by_hand():
         assert got == pytest.approx(brute_score(net, raw), abs=1e-4)
 
 
+def test_training_reads_all_chunks():
+    plain = "the text goes on and on as it was " * 800
+    marked = plain[: 20 * C.BLOCK] + "&&&& $$$$ **** " * 8 + plain[20 * C.BLOCK + 120 :]
+    net = C.fit([plain, marked] * 20, [1, 0] * 20, epochs=40)
+    good, bad = (net.score_block(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0] for t in (plain, marked))
+    assert good > 0.8 and bad < 0.2
+
+
 def test_quality_rows(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     got = Q.op2_quality(spark, SF).toPandas().merge(labels.toPandas(), on="doc_id", how="left")
