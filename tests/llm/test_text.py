@@ -137,6 +137,12 @@ def test_crf_shortcuts_are_exact():
         assert labels == crf.best(e)
 
 
+def test_whole_features_read_the_whole_text():
+    prose, digits = "some words " * 100, "0123456789 " * 500
+    assert S.whole_features(prose + digits + prose)[1]
+    assert not S.whole_features(digits[:1000] + prose * 200 + digits[:1000])[1]
+
+
 def test_viterbi_is_best():
     crf, r = S.train(), np.random.default_rng(2)
     for n in (1, 2, 4):
