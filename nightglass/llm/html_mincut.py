@@ -132,6 +132,30 @@ def blocks_of(page: str) -> list[TextBlock]:
             links -= o.tag == "a"
         del stack[upto:]
 
+    def drawn_end(raw: str, start: int) -> int:
+        """Where an svg or template ends that is open at ``start``: at its end tag, or else where an element around it ends, or the page."""
+        names = {o.tag for o in stack[1:]}
+        inner: list[str] = []
+        while t := _TOKEN.search(page, start):
+            start = t.end()
+            name = (t[1] or t[2] or "").lower()
+            if not name:
+                continue
+            if t[0][1] != "/":
+                if t[1] and name not in ("svg", "template", "head"):
+                    end = re.compile(rf"</{name}\s*>", re.I).search(page, start)
+                    start = end.end() if end else start
+                elif name not in VOID and not t[0].endswith("/>"):
+                    inner.append(name)
+            elif name in inner:
+                while inner.pop() != name:
+                    pass
+            elif name == raw:
+                return t.end()
+            elif name in names:
+                return t.start()
+        return len(page)
+
     while True:
         m = _TOKEN.search(page, at)
         if not m:
@@ -146,8 +170,14 @@ def blocks_of(page: str) -> list[TextBlock]:
             raw = raw.lower()
             if raw == "head":
                 continue
-            end = re.compile(rf"</{raw}\s*>|\Z", re.I).search(page, at)
-            at = end.end()
+            if raw in ("svg", "template") and m[0].endswith("/>"):
+                if raw == "svg":
+                    add(" ")
+                continue
+            if raw in ("svg", "template"):
+                at = drawn_end(raw, at)
+            else:
+                at = re.compile(rf"</{raw}\s*>|\Z", re.I).search(page, at).end()
             if raw in ("textarea", "title", "iframe", "svg"):
                 add(" ")
             continue

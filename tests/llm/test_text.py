@@ -235,6 +235,16 @@ def test_extract_cases():
     assert [b.text for b in H.blocks_of("<script>var t='<p>no</p>';</script><p>yes<br>and</p>")] == ["yes and"]
 
 
+def test_svg_drops_only_itself():
+    texts = lambda page: [b.text for b in H.blocks_of(page)]
+    assert texts("<div><svg class='icon' /></div><article><p>The article.</p></article>") == ["The article."]
+    assert texts("<template/><p>The article.</p>") == ["The article."]
+    assert texts("<p>a <svg><text>no</text></svg>b</p>") == ["a b"]
+    assert texts("<div><a href='/'><svg><g><path d='M0'/><text>no</text></g></a></div><article><p>The article.</p></article>") == ["The article."]
+    assert texts("<svg/><p>one</p><svg><text>no</text></svg><p>two</p>") == ["one", "two"]
+    assert texts("<div><svg><text>no</text></div><p>one</p><div><svg><text>no</text></svg>two</div>") == ["one", "two"]
+
+
 def test_min_cut_is_least():
     r = np.random.default_rng(4)
     for n in (1, 3, 7):
