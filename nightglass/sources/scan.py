@@ -7,6 +7,7 @@ Nothing raises across a worker's boundary: each row has a status, ok, skipped
 from __future__ import annotations
 
 import errno
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -74,8 +75,62 @@ def _mapped(files: DataFrame, decode, schema: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, schema)
 
 
+def _local(spark: SparkSession, path: str) -> str | None:
+    """The path in the local file system, which tasks open themselves; None in another store."""
+    uri = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = uri.getFileSystem(spark._jsc.hadoopConfiguration())
+    return uri.toUri().getPath() if store.getScheme() == "file" else None
+
+
+def _opened(files: DataFrame, decode, load, schema: str) -> DataFrame:
+    """Open and decode local files of (path, denied) one at a time; what can't be opened is a row.  ``denied``: why a folder can't be listed."""
+    kinds = files.sparkSession.createDataFrame([], schema).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(kinds)
+        for batch in batches:
+            for path, denied in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                row = {"path": path, "status": "skipped", "error": denied}
+                if denied is None:
+                    try:
+                        with pa.OSFile("/" + path.removeprefix("file:").lstrip("/")) as file:
+                            row = decode(path, load(file))
+                    except OSError as e:
+                        row["status"], row["error"] = status_of(e)
+                if "format" in arrow.names and denied is None:
+                    row.setdefault("format", "xisf" if path.lower().endswith(".xisf") else "fits")
+                yield pa.RecordBatch.from_pylist([row], arrow)
+
+    return files.mapInArrow(run, schema)
+
+
+def _listed(spark: SparkSession, path: str, local: str, recursive: bool) -> DataFrame:
+    """(path, denied) of the supported files under a local path, and of the folders that can't be listed."""
+    held, shut = [], []
+    if os.path.isdir(local):
+        for folder, below, names in os.walk(local, onerror=shut.append):
+            below[:] = [d for d in below if not d.startswith((".", "_"))]
+            if recursive or folder == local:
+                held += [f"file:{os.path.join(folder, n)}" for n in names if not n.startswith((".", "_"))]
+    if not shut:
+        return discover(spark, path, recursive).select("path", F.lit(None).cast("string").alias("denied"))
+    # Spark's listing raises at a folder without permission
+    denied = [(f"file:{e.filename}", status_of(e)[1]) for e in shut if recursive or e.filename == local]
+    rows = [(f, None) for f in held] + denied
+    return spark.createDataFrame(rows, "path string, denied string").filter(is_supported("path") | F.col("denied").isNotNull())
+
+
 def read_headers(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """Header cards or XML of every supported file, both formats, a row each."""
+    """Header cards or XML of every supported file, both formats, a row each.
+
+    Local files are opened in the tasks, and those and folders without
+    permission are rows with the status skipped; other stores are read by
+    Spark, which raises there.
+    """
+    if local := _local(spark, path):
+        return _opened(_listed(spark, path, local, recursive), decode_header, _Slices, S.SCAN)
     files = _files(spark, path, recursive).filter(is_supported("path"))
     return _mapped(files, decode_header, S.SCAN)
 
@@ -131,7 +186,9 @@ def stream_images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """Pixels of every supported file's primary image."""
+    """Pixels of every supported file's primary image; permissions as in ``read_headers``."""
+    if local := _local(spark, path):
+        return _opened(_listed(spark, path, local, recursive), decode_image, lambda file: file.read(), S.IMAGE)
     files = _files(spark, path, recursive).filter(is_supported("path"))
     return _mapped(files, decode_image, S.IMAGE)
 

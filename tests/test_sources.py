@@ -1,5 +1,9 @@
 import csv
+import ctypes
 import glob
+import os
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -134,6 +138,40 @@ def test_statistics(spark, collection, tmp_path_factory):
         reports.metadata_statistics(spark, str(collection / "broken.fts"), str(out))
 
 
+UNREADABLE = """
+import sys
+from pyspark.sql import SparkSession
+from nightglass.plans import reports
+from nightglass.sources import scan
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+path, out = sys.argv[1:]
+s = reports.metadata_statistics(spark, path, out)
+print("GOT", s.discovered, s.processed, s.failed, s.skipped)
+print("GOT", sorted((r["path"].rsplit("/", 1)[1], r["status"]) for r in scan.read_images(spark, path).select("path", "status").collect()))
+print("GOT", sorted((r["frame_id"], r["status"]) for r in reports.frame_report(spark, path).collect()))
+"""
+
+
+def test_unreadable_file_and_folder(tmp_path):
+    root = tmp_path / "c"
+    (root / "shut").mkdir(parents=True)
+    for name in ("a.fits", "closed.fits", "shut/b.fits"):
+        (root / name).write_bytes(hdu(True, np.zeros((20, 20), "f4"), [("OBJECT", "M42")]))
+    (root / "closed.fits").chmod(0)
+    (root / "shut").chmod(0)
+
+    def drop():  # root reads all but without these capabilities: CAP_DAC_OVERRIDE, CAP_DAC_READ_SEARCH
+        for cap in (1, 2):
+            ctypes.CDLL(None).prctl(24, cap, 0, 0, 0)
+
+    try:
+        done = subprocess.run([sys.executable, "-c", UNREADABLE, str(root), str(tmp_path / "out")], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), preexec_fn=drop, capture_output=True, text=True, timeout=180)
+    finally:
+        (root / "shut").chmod(0o700)
+    got = [line for line in done.stdout.splitlines() if line.startswith("GOT")]
+    assert got == ["GOT 3 1 0 2", "GOT [('a.fits', 'ok'), ('closed.fits', 'skipped'), ('shut', 'skipped')]", "GOT [('a.fits', 'ok'), ('closed.fits', 'skipped')]"], done.stderr[-3000:]
+
+
 def test_detection(spark, collection):
     scored = reports.score_frames(scan.read_images(spark, str(collection))).collect()
     by = {r["frame_id"]: r for r in scored}
