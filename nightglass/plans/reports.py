@@ -161,7 +161,8 @@ def main(argv: list[str] | None = None) -> int:
         elif args.command == "dump":
             print(dump_file(spark, args.path))
         else:
-            frame_report(spark, args.path).show(truncate=False)
+            for row in as_json(frame_report(spark, args.path).orderBy("path")).toLocalIterator():
+                print(row["json"])
         return 0
     except ReportError as e:
         print(e, file=sys.stderr)

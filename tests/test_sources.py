@@ -172,6 +172,14 @@ def test_unreadable_file_and_folder(tmp_path):
     assert got == ["GOT 3 1 0 2", "GOT [('a.fits', 'ok'), ('closed.fits', 'skipped'), ('shut', 'skipped')]", "GOT [('a.fits', 'ok'), ('closed.fits', 'skipped')]"], done.stderr[-3000:]
 
 
+def test_frames_prints_every_row(spark, monkeypatch, capsys):
+    monkeypatch.setattr(reports, "frame_report", lambda spark, path: spark.range(30).selectExpr("format_string('f%02d', 29 - id) AS path"))
+    monkeypatch.setattr("nightglass.session.session", lambda: spark)
+    assert reports.main(["frames", "x"]) == 0
+    lines = capsys.readouterr().out.splitlines()
+    assert lines == [f'{{"path":"f{k:02d}"}}' for k in range(30)]
+
+
 def test_detection(spark, collection):
     scored = reports.score_frames(scan.read_images(spark, str(collection))).collect()
     by = {r["frame_id"]: r for r in scored}
