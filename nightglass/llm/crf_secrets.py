@@ -362,7 +362,7 @@ def train(lines: int = TRAINING_LINES, seed: int = 7) -> Crf:
 
 
 def added_spans(text: str, crf: Crf, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The CRF's spans that don't touch one of ``base``."""
+    """The CRF's spans that don't lie inside one of ``base``."""
     run, out = tokens_of(text), []
     if not run:
         return []
@@ -376,7 +376,7 @@ def added_spans(text: str, crf: Crf, base: list[tuple[int, int, int]]) -> list[t
             if label == B:
                 start = a
             end = b
-    return [s for s in out if not any(s[0] < b[1] and b[0] < s[1] for b in base)]
+    return [s for s in out if not any(b[0] <= s[0] and s[1] <= b[1] for b in base)]
 
 
 def scan(text: str, crf: Crf) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

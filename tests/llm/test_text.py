@@ -143,6 +143,13 @@ def test_whole_features_read_the_whole_text():
     assert not S.whole_features(digits[:1000] + prose * 200 + digits[:1000])[1]
 
 
+def test_added_spans_may_reach_beyond_base():
+    key = "xkeysib-" + "0123456789abcdef" * 4 + "-" + "aB3dE6gH9jK2mN5p"
+    text = f"token {key} end"
+    spans = S.scan(text, S.train())[1]
+    assert (6 + 8, 6 + 8 + 64, 2) in spans and S.redact(text, spans) == "token [SECRET] end"
+
+
 def test_viterbi_is_best():
     crf, r = S.train(), np.random.default_rng(2)
     for n in (1, 2, 4):
