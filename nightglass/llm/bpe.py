@@ -169,7 +169,7 @@ class ByteBPE:
             at = base + ranks.argmin(1)
             least = flat_ranks[at]
             go = np.flatnonzero(least != _NONE)
-            if len(go) < n // 2:
+            if not len(go) or len(go) < n // 2:
                 break
             start, at = base[go], at[go]
             gone = start + flat_after[at]
