@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from nightglass.llm import textcore as tc
 
 WINDOW, LETTERS, SMALLEST, RUN = 7, 64, 4, 4
+_BYTES = tc.seeds(1, 256)
 # Fixed value: the base64 alphabet.
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 
@@ -37,9 +38,9 @@ def _signature(block: tc.Block, sums: np.ndarray, down: np.ndarray, start: int,
 def fingerprint_block(block: tc.Block) -> list[str]:
     """Fingerprints of a block's documents; ``4::`` for an empty one."""
     data, n = block.data, len(block.data)
-    up, down = tc._POWERS[0].upto(n + 1)
+    up, down = tc._POWERS.upto(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(tc._BYTES[0][data] * up[:-1], out=sums[1:])
+    np.cumsum(_BYTES[data] * up[:-1], out=sums[1:])
     left = np.maximum(np.arange(n) - (WINDOW - 1), 0)
     head = (block.offsets[:-1, None] + np.arange(WINDOW - 1)).ravel()
     owner = np.repeat(block.offsets[:-1], WINDOW - 1)

@@ -11,14 +11,14 @@ A window of 13 words is represented by one of its interior symbols: that over
 the most words, then that with the least name.  Equal windows have equal
 interiors and so the same representative, and a stretch of windows shares one.
 Symbols that represent windows of one document only are done with.  Shared
-ones reveal repeats, which are verified by hashes of the whole stretches and,
-where stretches differ, of each window.
+ones reveal repeats, whose windows are then compared one by one, by names of
+128 bits that are made of the words' own two 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nightglass.llm import textcore as tc
-from nightglass.llm.packed import HOT, RECORDS, found_in, place_column, rows_of, unpacked
+from nightglass.llm.packed import HOT, RECORDS, Places, by_part, found_in, rows_of, unpacked
 from nightglass.llm.packed import shared as shared_records
-from nightglass.llm.shared import discard, materialise
+from nightglass.llm.shared import discard, materialise, scratch
 
 WINDOW, ROUNDS, WIDE = 13, 4, 5
 _FAR = 1 << 40
@@ -108,7 +108,7 @@ def representatives(words: np.ndarray, edges: np.ndarray, window: int = WINDOW)
     """
     n = len(words)
     full = np.iinfo(np.uint64).max
-    up, down = tc._POWERS[0].upto(n + 1)
+    up, down = tc._POWERS.upto(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(words * up[:-1], out=sums[1:])
     by_width: dict[int, np.ndarray] = {}
@@ -156,16 +156,17 @@ class Stretches:
 class SubstringDedup:
     """``remove_repeats`` with its parameters.
 
-    ``places``: tasks that names and documents are dealt to (0: by the shuffle
-    partitions, and 32 MB of text each at most).  ``hot``: a name in over this
-    share of the map batches is settled on the map side; at most 1 / ``hot``
-    times the names of a batch are, which bounds what is collected of them.
+    ``partitions``: the most shuffle partitions, which hold parts of 32 MB of
+    text each (0: ``packed.PARTITIONS``).  ``hot``: a name in over this share
+    of the map batches is settled on the map side; at most 1 / ``hot`` times
+    the names of a batch are, which bounds what is collected of them.
     """
 
     window: int = WINDOW
-    places: int = 0
+    partitions: int = 0
     hot: float = HOT
 
+
 def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
@@ -190,15 +191,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``id_col`` is an integer.  Null and empty texts have no words; rows with a
     null id neither lose words nor cause a loss; rows of one id are one
     document and lose nothing to each other; a text equal to that of a smaller
-    id loses all its words if it has a window; other columns are not read; an
-    empty table gives none.
+    id loses all its words if it has a window; other columns are not read, and
+    a ``passing`` one with the name of a result column is left out; an empty
+    table gives none.
     """
+    passing = tuple(c for c in passing if c not in (id_col, "n_words", "n_removed", "kept_sha256", "kept_text"))
+    with scratch() as own:
+        return _remove_repeats(docs, id_col, text_col, how, passing, with_text, own.keep)
+
+
+def _remove_repeats(docs: DataFrame, id_col: str, text_col: str, how: SubstringDedup, passing: tuple[str, ...], with_text: bool, keep: Callable) -> DataFrame:
     spark, kind, window = docs.sparkSession, dict(docs.dtypes)[id_col], how.window
     rest = F.struct(*[F.col(c) for c in passing]) if passing else F.lit(None).cast("boolean")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), rest.alias("rest"))
     rest_kind = rows.schema["rest"].dataType.simpleString() if not passing else "struct<" + ",".join(f"`{c}`:{dict(docs.dtypes)[c]}" for c in passing) + ">"
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    places = how.places or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (32 << 20)))
+    places = Places.of(spark, rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, how.partitions)
 
     @tc.tidied
     def name_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +214,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for block in tc.blocks(tc.column(batch, "text")):
                 s = Stretches.of(block, block.word_hashes(), window)
                 if len(s.name):
-                    yield rows_of((s.name % np.uint64(places)).astype(np.int32), s.name, ids[block.first + s.doc], np.zeros(len(s.name), np.uint32))
+                    yield rows_of(places.of_names(s.name[:, None]), s.name[:, None], ids[block.first + s.doc], np.zeros(len(s.name), np.uint32))
 
     some = rows.filter("id IS NOT NULL")
     listed = materialise(some.select("id", "text").mapInArrow(name_stretches, RECORDS), "stretches")
@@ -217,14 +224,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # texts equal to one with a smaller id
     digests = materialise(some.select("id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest")).filter("digest IS NOT NULL"), "digests")
     first = materialise(digests.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last"), "first")
-    copies = digests.join(first, "digest").filter("id > first").select("id")
-    texts = some.withColumns({"place": place_column(F.col("id"), places), "ask": F.lit(2)})
+    copies = digests.join(first, "digest").filter("id > first").select("id", F.col("digest").alias("names"))
+    at = places.columns(F.col("id"))
+    texts = some.withColumns(at | {"ask": F.lit(2)})
     dealt = (
-        texts.unionByName(shared.select("place", "names", F.col("ids"), F.lit(0).alias("ask")), allowMissingColumns=True)
-        .unionByName(copies.withColumns({"place": place_column(F.col("id"), places), "ask": F.lit(1)}), allowMissingColumns=True)
-        .select("place", "ask", "id", "text", "rest", "names", "ids")
-        .repartitionById(places, F.col("place"))
-        .sortWithinPartitions("ask")
+        texts.unionByName(shared.select("place", "sub", "names", F.col("ids"), F.lit(0).alias("ask")), allowMissingColumns=True)
+        .unionByName(copies.withColumns(at | {"ask": F.lit(1)}), allowMissingColumns=True)
+        .select("place", "sub", "ask", "id", "text", "rest", "names", "ids")
     )
     result = f"id long, rest {rest_kind}, n_words long, n_removed long, kept_sha256 string, kept_text string"
     judged = f"{result}, text string, {RECORDS}"
@@ -255,22 +261,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     @tc.tidied
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Finish documents without shared stretches, and copies; list the shared windows of the others."""
-        pairs, copied = [], []
+        pairs, copied = [], set()
         ready = None
-        for batch in batches:
+        for new, batch in by_part(batches):
+            if new:
+                pairs, copied, ready = [], set(), None
             schema = arrow_schema(judged, batch)
             ask = tc.column(batch, "ask").to_numpy()
             a, b = np.searchsorted(ask, [1, 2])
             if a:
                 names, ids = unpacked(batch.slice(0, a), "names", "ids")
-                pairs.append(tc.mix(names ^ tc.mix(ids.view(np.uint64))))
+                pairs.append(tc.mix(names[:, 0] ^ tc.mix(ids.view(np.uint64))))
             if b > a:
-                copied.append(tc.column(batch.slice(a, b - a), "id").to_numpy())
+                copied.update(zip(tc.column(batch, "id").slice(a, b - a).to_pylist(), tc.column(batch, "names").slice(a, b - a).to_pylist()))
             if b == batch.num_rows:
                 continue
             if ready is None:
-                ready = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.uint64), np.unique(np.concatenate(copied)) if copied else np.zeros(0, np.int64)
-                pairs, copied = [], []
+                ready = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.uint64), np.unique(np.array([i for i, _ in copied], np.int64))
+                pairs = []
             part = batch.slice(b)
             id_col_, text_col_, rest_col = (tc.column(part, c) for c in ("id", "text", "rest"))
             all_ids = id_col_.to_numpy()
@@ -278,6 +286,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 ids = all_ids[block.first : block.first + block.n]
                 words, at = block.word_hashes(), block.word_offsets
                 copy = found_in(ready[1], ids)[1]
+                for i in np.flatnonzero(copy):  # of the rows of an id only those with the text that an earlier one has
+                    copy[i] = (int(ids[i]), hashlib.md5(block.data[block.offsets[i] : block.offsets[i + 1]]).digest()) in copied
                 s = Stretches.of(block, words, window)
                 hit = found_in(ready[0], tc.mix(s.name ^ tc.mix(ids[s.doc].view(np.uint64))))[1] & ~copy[s.doc]
                 open_ = np.zeros(block.n, bool)
@@ -294,28 +304,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 first_, last_ = s.first[hit], s.last[hit]
                 n = last_ - first_ + 1
                 starts = np.repeat(first_ - np.cumsum(n) + n, n) + np.arange(n.sum())
-                grams = tc.ngram_hashes(words, window)[starts]
+                grams = np.stack([tc.ngram_hashes(w, window, k)[starts] for k, w in enumerate((words, block.word_hashes(1)))], axis=1)
                 doc = block.word_doc[starts]
-                packed = rows_of((grams % np.uint64(places)).astype(np.int32), grams, ids[doc], (starts - at[doc]).astype(np.uint32))
+                packed = rows_of(places.of_names(grams), grams, ids[doc], (starts - at[doc]).astype(np.uint32))
                 yield pa.RecordBatch.from_arrays([packed.column(packed.schema.get_field_index(f.name)) if f.name in packed.schema.names else pa.nulls(packed.num_rows, f.type) for f in schema], schema=schema)
 
-    table = materialise(dealt.mapInArrow(judge, judged), "judged")
+    table = materialise(places.deal(dealt, "ask").mapInArrow(judge, judged), "judged")
     discard(shared, digests, first)
-    windows = table.filter("place IS NOT NULL").select("place", "names", "ids", "spots")
-    removed = shared_records(windows, places, "windows", later=True, hot=how.hot)
-    open_docs = table.filter("text IS NOT NULL").select("id", "text", "rest").withColumns({"place": place_column(F.col("id"), places), "ask": F.lit(1)})
-    met = (
-        open_docs.unionByName(removed.select("place", "ids", "spots", F.lit(0).alias("ask")), allowMissingColumns=True)
-        .select("place", "ask", "id", "text", "rest", "ids", "spots")
-        .repartitionById(places, F.col("place"))
-        .sortWithinPartitions("ask")
-    )
+    windows = table.filter("place IS NOT NULL").select("place", "sub", "names", "ids", "spots")
+    removed = shared_records(windows, places, "windows", later=True, hot=how.hot, words=2)
+    keep(table, removed)
+    open_docs = table.filter("text IS NOT NULL").select("id", "text", "rest").withColumns(at | {"ask": F.lit(1)})
+    met = open_docs.unionByName(removed.select("place", "sub", "ids", "spots", F.lit(0).alias("ask")), allowMissingColumns=True).select("place", "sub", "ask", "id", "text", "rest", "ids", "spots")
 
     @tc.tidied
     def take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_, spots_ = [], []
         ready = None
-        for batch in batches:
+        for new, batch in by_part(batches):
+            if new:
+                ids_, spots_, ready = [], [], None
             schema = arrow_schema(result, batch)
             b = int(np.searchsorted(tc.column(batch, "ask").to_numpy(), 1))
             if b:
@@ -349,5 +357,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield finished(block, [None] * block.n, tc.column(batch, "id"), tc.column(batch, "rest"), schema, np.arange(block.n))
 
     names = ["n_words", "n_removed", "kept_sha256"]
-    out = table.filter("n_words IS NOT NULL").select("id", "rest", *names, "kept_text").unionByName(met.mapInArrow(take_out, result)).unionByName(rows.filter("id IS NULL").mapInArrow(untouched, result))
+    out = table.filter("n_words IS NOT NULL").select("id", "rest", *names, "kept_text").unionByName(places.deal(met, "ask").mapInArrow(take_out, result)).unionByName(rows.filter("id IS NULL").mapInArrow(untouched, result))
     return out.select(F.col("id").cast(kind).alias(id_col), *names, *[F.col(f"rest.`{c}`").alias(c) for c in passing], *(["kept_text"] if with_text else []))

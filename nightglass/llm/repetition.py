@@ -3,12 +3,13 @@
 Rolling hashes of word n-grams of several lengths, in numpy over blocks of
 whole documents, mark the n-grams that a document holds twice or more; the
 characters inside them, and inside lines equal to an earlier one, are measured
-against the characters of all words.
+against the characters of all words.  What two hashes say is equal is compared,
+bytes with bytes, before it counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,45 +37,66 @@ def _salted(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return tc.mix(hashes ^ (doc.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Masks: the key occurs again anywhere; the key occurred at an earlier position."""
+def _repeated(keys: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray], exact: Callable[[], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Masks: the thing occurs again anywhere; it occurred at an earlier position.
+
+    Equal things have equal keys; ``same`` says whether those of two positions
+    are equal, and ``exact`` makes keys that only equal ones share, for the case
+    that it finds others.
+    """
     n = len(keys)
     order = np.argsort(keys, kind="stable")
-    same = keys[order][1:] == keys[order][:-1]
+    alike = keys[order][1:] == keys[order][:-1]
+    if not same(order[1:][alike], order[:-1][alike]).all():
+        return _repeated(exact(), lambda a, b: np.ones(len(a), bool), exact)
     again, earlier = np.zeros(n, bool), np.zeros(n, bool)
-    again[order[1:][same]] = True
-    again[order[:-1][same]] = True
-    earlier[order[1:][same]] = True
+    again[order[1:][alike]] = True
+    again[order[:-1][alike]] = True
+    earlier[order[1:][alike]] = True
     return again, earlier
 
 
+def _numbered(things: Iterator) -> np.ndarray:
+    known: dict = {}
+    return np.array([known.setdefault(t, len(known)) for t in things], np.int64)
+
+
 def measure(block: tc.Block, rules: RepetitionRules) -> dict[str, np.ndarray]:
     """The columns of ``repetition_rules`` for a block's documents."""
     n, words, doc = block.n, block.word_hashes(), block.word_doc
     sums = lambda x, at: np.add.reduceat(np.append(x, 0), at[:-1]) * (np.diff(at) > 0)
-    at = block.word_offsets
+    at, data = block.word_offsets, block.data
     chars = block.chars[block.ends] - block.chars[block.starts]
     out = {"n_words": np.diff(at), "word_chars": sums(chars, at)}
-    out["n_symbols"] = np.diff(np.concatenate(([0], np.cumsum(_SYMBOL[block.data])))[block.offsets])
+    out["n_symbols"] = np.diff(np.concatenate(([0], np.cumsum(_SYMBOL[data])))[block.offsets])
 
     def inside(size: int) -> np.ndarray:
         hashes = tc.ngram_hashes(words, size)
         if not len(hashes):
             return np.zeros(len(words), bool)
         whole = np.flatnonzero(tc.whole_ngrams(at, size))
-        again, _ = _repeated(_salted(hashes[whole], doc[whole]))
+
+        def same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            a, b, numbers = whole[a], whole[b], block.word_numbers
+            return np.logical_and.reduce([doc[a] == doc[b], *(numbers[a + k] == numbers[b + k] for k in range(size))])
+
+        again, _ = _repeated(_salted(hashes[whole], doc[whole]), same, lambda: _numbered((doc[i], *block.word_numbers[i : i + size]) for i in whole))
         return tc.covered(whole[again], size, len(words))
 
-    breaks = np.flatnonzero(block.data == 10)
+    breaks = np.flatnonzero(data == 10)
     line_starts = np.union1d(np.append(breaks + 1, 0), block.offsets[:-1])
-    line_starts = line_starts[line_starts < len(block.data)]
-    line_ends = np.append(line_starts[1:], len(block.data))
-    line_ends = line_ends - (block.data[line_ends - 1] == 10) if len(line_ends) else line_ends
+    line_starts = line_starts[line_starts < len(data)]
+    line_ends = np.append(line_starts[1:], len(data))
+    line_ends = line_ends - (data[line_ends - 1] == 10) if len(line_ends) else line_ends
     first = np.searchsorted(block.starts, line_starts)
     after = np.searchsorted(block.starts, line_ends)
     kept = np.flatnonzero(after > first)
-    line_doc = block.per_doc(line_starts[kept])
-    _, earlier = _repeated(_salted(tc.span_hashes(block.data, line_starts[kept], line_ends[kept]), line_doc))
+    line_doc, begin, stop = block.per_doc(line_starts[kept]), line_starts[kept], line_ends[kept]
+    _, earlier = _repeated(
+        _salted(tc.span_hashes(data, begin, stop), line_doc),
+        lambda a, b: (line_doc[a] == line_doc[b]) & tc.equal_spans(data, begin, stop, a, b),
+        lambda: _numbered((d, data[i:j].tobytes()) for d, i, j in zip(line_doc, begin, stop)),
+    )
     out["n_dup_lines"] = np.bincount(line_doc[earlier], minlength=n)
     run = np.concatenate(([0], np.cumsum(chars)))
     dup_line_chars = np.bincount(line_doc[earlier], weights=(run[after[kept]] - run[first[kept]])[earlier], minlength=n)

@@ -1,36 +1,86 @@
-"""Tables that cut lineage, in the folder that all executors share."""
+"""Tables that cut lineage, in the folder that all executors share, and their removal."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark then deletes a write's shuffle files when the write has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class SharedFolderError(RuntimeError):
+    """A cluster's session doesn't name the folder that its executors share."""
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset (tests) a new local folder."""
+    """``spark.checkpoint.dir``; only where it is unset in a single local process (tests) a new local folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise SharedFolderError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='nightglass-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+class Scratch:
+    """The tables written inside a ``scratch`` block."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+        self.kept: set[str] = set()
+
+    def keep(self, *tables: DataFrame) -> None:
+        """These outlive the block, as its result reads them."""
+        self.kept |= {df._shared_path for df in tables}
+
+
+_OPEN: list[Scratch] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Scratch]:
+    """When the block ends, delete the tables that were written in it, but for kept ones, which go to the block around it."""
+    own = Scratch()
+    _OPEN.append(own)
+    try:
+        yield own
+    except BaseException:
+        own.kept.clear()
+        raise
+    finally:
+        _OPEN.remove(own)
+        discard(*(df for df in own.tables if df._shared_path not in own.kept))
+        if _OPEN:
+            _OPEN[-1].tables += [df for df in own.tables if df._shared_path in own.kept]
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: a lost executor costs no recomputation.
 
-    What it was made from needs its shuffle files no longer; Spark deletes them
-    when both garbage collectors have run, which is asked for here.
+    The shuffle files of the write go when it has ended.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/nightglass/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if _OPEN:
+        _OPEN[-1].tables.append(out)
     return out
 
 

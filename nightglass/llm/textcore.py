@@ -9,6 +9,7 @@ document, which bounds a worker's memory.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 from contextlib import suppress
 from dataclasses import dataclass
@@ -57,18 +58,76 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_POWERS = (_Powers(0x9E3779B97F4A7C15), _Powers(0xD6E8FEB86659FD93))
-_BYTES = (seeds(1, 256), seeds(2, 256))
+_POWERS = _Powers(0x9E3779B97F4A7C15)
+
+
+#: Longer spans are hashed one by one.
+LONG = 256
+_CHAIN = (np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1342543DE82EF95))
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as a number; zeros beyond the end."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data) + 1,), np.dtype("<u8"), padded, strides=(1,))
+
+
+def _steps(eights: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(spans that reach that far, their next eight bytes with zeros beyond the end), until all are read."""
+    live, at, left = np.arange(len(starts)), starts, ends - starts
+    while True:
+        go = left > 0
+        if not go.all():
+            live, at, left = live[go], at[go], left[go]
+        if not len(live):
+            return
+        gone = (np.uint64(8) * (8 - np.minimum(left, 8)).astype(np.uint64)).astype(np.uint64)
+        yield live, (eights[at] << gone) >> gone
+        at, left = at + 8, left - 8
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end); equal spans are equal anywhere."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _POWERS[which].upto(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[which][data] * up[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of the byte spans [start, end); equal spans are equal anywhere.
+
+    Each eight bytes go through a mixing step, so that no structure of the text
+    carries over to the hashes; spans over ``LONG`` bytes have BLAKE2b's.
+    """
+    sizes = ends - starts
+    out = mix(sizes.astype(np.uint64) + seeds(1 + which, 1))
+    short = np.flatnonzero(sizes <= LONG)
+    for live, chunk in _steps(_eights(data), starts[short], ends[short]):
+        at = short[live]
+        out[at] = mix(out[at] * _CHAIN[which] + mix(chunk ^ _CHAIN[1 - which]))
+    for k in np.flatnonzero(sizes > LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8, salt=bytes([which])).digest(), "little")
+    return out
+
+
+def equal_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the spans numbered ``a`` and ``b`` have the same bytes."""
+    size = ends - starts
+    out = size[a] == size[b]
+    short = np.flatnonzero(out & (size[a] <= LONG))
+    eights = _eights(data)
+    for (live, x), (_, y) in zip(_steps(eights, starts[a[short]], ends[a[short]]), _steps(eights, starts[b[short]], ends[b[short]])):
+        out[short[live[x != y]]] = False
+    for k in np.flatnonzero(out & (size[a] > LONG)).tolist():
+        i, j = a[k], b[k]
+        out[k] = np.array_equal(data[starts[i] : ends[i]], data[starts[j] : ends[j]])
+    return out
+
+
+def span_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Numbers from 0 that are equal exactly where the spans' bytes are."""
+    hashes = span_hashes(data, starts, ends)
+    order = np.argsort(hashes, kind="stable")
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    if not equal_spans(data, starts, ends, order[:-1][same], order[1:][same]).all():  # different spans of one hash
+        known: dict[bytes, int] = {}
+        return np.array([known.setdefault(data[i:j].tobytes(), len(known)) for i, j in zip(starts, ends)], np.int64)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(np.concatenate(([False], ~same))) if len(order) else 0
+    return out
 
 
 @dataclass
@@ -119,6 +178,11 @@ class Block:
     def word_hashes(self, which: int = 0) -> np.ndarray:
         return span_hashes(self.data, self.starts, self.ends, which)
 
+    @cached_property
+    def word_numbers(self) -> np.ndarray:
+        """Numbers that are equal exactly where the words are."""
+        return span_numbers(self.data, self.starts, self.ends)
+
     @cached_property
     def chars(self) -> np.ndarray:
         """Code points before each byte position."""
