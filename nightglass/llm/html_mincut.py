@@ -15,7 +15,8 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections import deque
+from bisect import bisect_left
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -27,13 +28,16 @@ from pyspark.sql import DataFrame
 from nightglass.llm.textcore import column, tidied
 
 TRAINING_PAGES = 300
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title|head(?=[\s>]))\b(?:"[^"]*"|'[^']*'|[^'">])*>|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S | re.I)
+#: Longer names go on as attributes, so that a tag is read in its own length.
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]{0,63})")
+_SPECIAL = re.compile(r"""['">]""")
 _ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[^\W_]+")
 
-# HTML's block-level, void and implicitly closed elements.
+# HTML's block-level, void, unparsed and implicitly closed elements.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW = frozenset("script style noscript template svg iframe textarea title".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "legend", "summary"}
 # Words of class and id attributes that tell of content and of the kinds of boilerplate.
@@ -67,7 +71,65 @@ class _Open:
     tag: str
     number: int
     marks: frozenset[str]
-    good: bool = False
+    block: int = 0  # where in the stack the nearest block-level element stands
+
+
+class _Tags:
+    """The tags of a page, read one after another in time linear in the page.
+
+    A ``<`` that no tag or comment starts with, or whose tag never ends, is
+    text.  An opening quote from which a tag was found never to end is
+    remembered, so that it is followed once.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.special = [m.start() for m in _SPECIAL.finditer(page)]
+        self.dead: set[int] = set()
+        self.endless: set[str] = set()
+
+    def _end(self, at: int) -> int:
+        """Behind the ``>`` of a tag whose attributes begin at ``at``; -1 if there is none."""
+        page, special, walked = self.page, self.special, []
+        k = bisect_left(special, at)
+        while k < len(special):
+            at = special[k]
+            if page[at] == ">":
+                return at + 1
+            if at in self.dead:
+                break
+            walked.append(at)
+            close = page.find(page[at], at + 1)
+            if close < 0:
+                break
+            k = bisect_left(special, close + 1, k)
+        self.dead.update(walked)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str, int] | None:
+        """(start, end, name, where the name ends) of the first tag from ``at`` on; the name of a comment or declaration is empty."""
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            if at >= self.last and (at := page.find("<!--", at)) < 0:
+                break
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                return at, end + 3 if end >= 0 else len(page), "", at
+            if page[at + 1] in "!?":
+                return at, page.find(">", at) + 1, "", at
+            if (m := _NAME.match(page, at)) and (end := self._end(m.end())) >= 0:
+                return at, end, m[1].lower(), m.end()
+            at += 1
+        return None
+
+    def behind(self, name: str, at: int) -> int:
+        """Behind the first end tag of ``name`` from ``at`` on; -1 if there is none."""
+        if name in self.endless:
+            return -1
+        end = re.compile(rf"</{name}\s*>", re.I).search(self.page, at)
+        if not end:
+            self.endless.add(name)
+        return end.end() if end else -1
 
 
 @dataclass
@@ -105,9 +167,10 @@ def _marks(tag: str, attrs: str, above: frozenset[str]) -> frozenset[str]:
 def blocks_of(page: str) -> list[TextBlock]:
     """The page's text blocks in order, white space collapsed, references decoded, scripts and the like left out."""
     stack = [_Open("", 0, frozenset())]
+    where: dict[str, list[int]] = {}  # of each open tag, where in the stack it stands
     out: list[TextBlock] = []
-    now = _Builder()
-    number, at, links = 0, 0, 0
+    now, tags = _Builder(), _Tags(page)
+    number, at = 0, 0
 
     def close_block() -> None:
         nonlocal now
@@ -119,97 +182,87 @@ def blocks_of(page: str) -> list[TextBlock]:
     def add(text: str) -> None:
         if text and (now.parts or not text.isspace()):
             if not now.parts:
-                top = next((o for o in reversed(stack) if o.tag in BLOCK or not o.tag), stack[0])
-                holder = stack[max(0, stack.index(top) - 1)]
-                now.parent, now.tag, now.marks = holder.number, top.tag, stack[-1].marks
+                k = stack[-1].block
+                now.parent, now.tag, now.marks = stack[max(0, k - 1)].number, stack[k].tag, stack[-1].marks
             now.parts.append(text)
-            if links:
+            if where.get("a"):
                 now.linked += len(text.strip())
 
     def leave(upto: int) -> None:
-        nonlocal links
         for o in stack[upto:]:
-            links -= o.tag == "a"
+            where[o.tag].pop()
         del stack[upto:]
 
-    def drawn_end(raw: str, start: int) -> int:
-        """Where an svg or template ends that is open at ``start``: at its end tag, or else where an element around it ends, or the page."""
-        names = {o.tag for o in stack[1:]}
+    def drawn_end(raw: str, at: int) -> int:
+        """Where an svg or template ends that is open at ``at``: at its end tag, or else where an element around it ends, or the page."""
         inner: list[str] = []
-        while t := _TOKEN.search(page, start):
-            start = t.end()
-            name = (t[1] or t[2] or "").lower()
+        held: Counter[str] = Counter()
+        while t := tags.next(at):
+            start, at, name, _ = t
             if not name:
                 continue
-            if t[0][1] != "/":
-                if t[1] and name not in ("svg", "template", "head"):
-                    end = re.compile(rf"</{name}\s*>", re.I).search(page, start)
-                    start = end.end() if end else start
-                elif name not in VOID and not t[0].endswith("/>"):
+            if page[start + 1] != "/":
+                if name in RAW and name not in ("svg", "template"):
+                    at = max(at, tags.behind(name, at))
+                elif name not in VOID and page[at - 2] != "/":
                     inner.append(name)
-            elif name in inner:
-                while inner.pop() != name:
-                    pass
+                    held[name] += 1
+            elif held[name]:
+                while True:
+                    held[last := inner.pop()] -= 1
+                    if last == name:
+                        break
             elif name == raw:
-                return t.end()
-            elif name in names:
-                return t.start()
+                return at
+            elif where.get(name):
+                return start
         return len(page)
 
-    while True:
-        m = _TOKEN.search(page, at)
-        if not m:
-            rest = page[at:]
-            cut = rest.rfind("<")
-            add(rest[:cut] if cut >= 0 and re.match(r"<[!/?a-zA-Z]", rest[cut:]) else rest)  # a tag broken off at the end is no text
-            close_block()
-            return out
-        add(page[at : m.start()])
-        at = m.end()
-        if raw := m[1]:
-            raw = raw.lower()
-            if raw == "head":
-                continue
-            if raw in ("svg", "template") and m[0].endswith("/>"):
-                if raw == "svg":
-                    add(" ")
-                continue
-            if raw in ("svg", "template"):
-                at = drawn_end(raw, at)
-            else:
-                at = re.compile(rf"</{raw}\s*>|\Z", re.I).search(page, at).end()
-            if raw in ("textarea", "title", "iframe", "svg"):
-                add(" ")
+    while t := tags.next(at):
+        start, end, tag, named = t
+        add(page[at:start])
+        at = end
+        if not tag:
             continue
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        if m[0][1] == "/":
+        if page[start + 1] == "/":
             if tag in BLOCK:
                 close_block()
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if k:
-                leave(k)
+            if where.get(tag):
+                leave(where[tag][-1])
+            continue
+        if tag == "head":
+            continue
+        empty = page[end - 2] == "/"
+        if tag in RAW:
+            if tag in ("svg", "template"):
+                at = end if empty else drawn_end(tag, end)
+            else:
+                behind = tags.behind(tag, end)
+                at = behind if behind >= 0 else len(page)
+            if tag in ("textarea", "title", "iframe", "svg"):
+                add(" ")
             continue
         if tag in BLOCK:
             close_block()
-            shut = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
-            k = len(stack) - 1
-            while k > 0 and stack[k].tag not in shut and stack[k].tag not in BLOCK:
-                k -= 1
-            if k and stack[k].tag in shut:
+            k = stack[-1].block
+            if k and (stack[k].tag in CLOSES.get(tag, ()) or stack[k].tag == "p" and tag in ENDS_P):
                 # <tr> also ends the row above an open cell
                 while tag == "tr" and k > 1 and stack[k - 1].tag == "tr":
                     k -= 1
                 leave(k)
         elif tag == "br":
             add(" ")
-        elif tag == "a" and any(o.tag == "a" for o in stack):
-            leave(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "a"))
-        if tag not in VOID and not m[0].endswith("/>"):
+        elif tag == "a" and where.get("a"):
+            leave(where["a"][-1])
+        if tag not in VOID and not empty:
             number += 1
-            stack.append(_Open(tag, number, _marks(tag, m[3], stack[-1].marks)))
-            links += tag == "a"
+            where.setdefault(tag, []).append(len(stack))
+            stack.append(_Open(tag, number, _marks(tag, page[named : end - 1], stack[-1].marks), len(stack) if tag in BLOCK else stack[-1].block))
+    rest = page[at:]
+    cut = rest.rfind("<")
+    add(rest[:cut] if cut >= 0 and re.match(r"<[!/?a-zA-Z]", rest[cut:]) else rest)  # a tag broken off at the end is no text
+    close_block()
+    return out
 
 
 def features(blocks: list[TextBlock]) -> np.ndarray:
@@ -234,8 +287,8 @@ def min_cut(content: np.ndarray, boilerplate: np.ndarray, edges: list[tuple[int,
 
     ``content`` is each block's cost as content, ``boilerplate`` as
     boilerplate; an edge costs its weight if its ends differ.  Ties go to
-    content.  Maximum flow by shortest augmenting paths, after each block's own
-    source-sink path is filled.
+    content.  Maximum flow by rounds of blocking flows along shortest paths,
+    after each block's own source-sink path is filled.
     """
     n = len(content)
     both = np.minimum(content, boilerplate)
@@ -251,34 +304,54 @@ def min_cut(content: np.ndarray, boilerplate: np.ndarray, edges: list[tuple[int,
         room.append(w)
     tiny = 1e-12
     while True:
-        came = [-2] * n
-        queue = deque(i for i in range(n) if source[i] > tiny)
-        for i in queue:
-            came[i] = -1
-        found = -1
+        # distances from the blocks with flow left to send
+        level = [-1] * n
+        queue = deque(starts := [i for i in range(n) if source[i] > tiny and near[i]])
+        for i in starts:
+            level[i] = 0
+        reached = False
         while queue:
             i = queue.popleft()
-            if sink[i] > tiny:
-                found = i
-                break
+            reached = reached or sink[i] > tiny
             for e in near[i]:
-                if room[e] > tiny and came[to[e]] == -2:
-                    came[to[e]] = e
+                if level[to[e]] < 0 and room[e] > tiny:
+                    level[to[e]] = level[i] + 1
                     queue.append(to[e])
-        if found < 0:
+        if not reached:
             break
-        flow, i = sink[found], found
-        while came[i] != -1:
-            flow = min(flow, room[came[i]])
-            i = to[came[i] ^ 1]
-        flow = min(flow, source[i])
-        source[i] -= flow
-        sink[found] -= flow
-        i = found
-        while came[i] != -1:
-            room[came[i]] -= flow
-            room[came[i] ^ 1] += flow
-            i = to[came[i] ^ 1]
+        # a blocking flow along growing distances; each edge is given up once a round
+        tried = [0] * n
+        for s in starts:
+            path: list[int] = []
+            i = s
+            while source[s] > tiny:
+                if sink[i] > tiny:
+                    flow = min(source[s], sink[i], *(room[e] for e in path))
+                    source[s] -= flow
+                    sink[i] -= flow
+                    full = None
+                    for k, e in enumerate(path):
+                        room[e] -= flow
+                        room[e ^ 1] += flow
+                        if full is None and room[e] <= tiny:
+                            full = k
+                    if full is not None:  # back to before the first full edge
+                        i = to[path[full] ^ 1]
+                        del path[full:]
+                    continue
+                while tried[i] < len(near[i]):
+                    e = near[i][tried[i]]
+                    if room[e] > tiny and level[to[e]] == level[i] + 1:
+                        break
+                    tried[i] += 1
+                if tried[i] < len(near[i]):
+                    path.append(e)
+                    i = to[e]
+                elif path:
+                    i = to[path.pop() ^ 1]
+                    tried[i] += 1
+                else:
+                    break
     # boilerplate is what can still reach the sink
     out = [True] * n
     queue = deque(i for i in range(n) if sink[i] > tiny)

@@ -2,6 +2,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pandas as pd
@@ -252,6 +253,35 @@ def test_svg_drops_only_itself():
     assert texts("<div><svg><text>no</text></div><p>one</p><div><svg><text>no</text></svg>two</div>") == ["one", "two"]
 
 
+@pytest.mark.parametrize(
+    "page",
+    ['<a href="x ' * 90_000, "<div>" * 100_000 + "x", "<div>a" * 100_000, "<ul>" + "<li>one two three" * 66_000 + "</ul>", "<b>" * 100_000 + "<p>x</p>" * 40_000, "<a" * 400_000 + '/">', "<svg>" + "<script>" * 100_000, "<div>" * 50_000 + "</x>" * 100_000, "<a b='" * 100_000 + '"' * 1_001],
+    ids=["open quotes", "nested", "nested text", "items", "inline", "tags", "svg", "end tags", "mixed quotes"],
+)
+def test_long_pages_take_linear_time(page):
+    w = H.train()
+    began = time.process_time()
+    H.extract(page, w)
+    assert time.process_time() - began < 10
+
+
+def test_cut_of_a_long_list():
+    """Content and links in turn along one list: many augmenting paths."""
+    items = "".join("<li><a href=z>link text</a>" if i % 3 else "<li>A long sentence, with a comma and as many words as a paragraph has, so that it counts as content, and it ends in a stop, as sentences mostly do in prose." for i in range(30_000))
+    began = time.process_time()
+    assert H.extract(f"<article><ul>{items}</ul></article>", H.train()).count("A long sentence") == 10_000
+    assert time.process_time() - began < 10
+
+
+def test_broken_tags():
+    texts = lambda page: [b.text for b in H.blocks_of(page)]
+    assert texts("<p>a < b</p><p title='x>y'>c</p>") == ["a < b", "c"]
+    assert texts('<p>a<p title="x>b</p><p>c</p>') == ['a<p title="x>b', "c"]
+    assert texts("<p>a</p>< <!-- b") == ["a", "<"]
+    assert texts("<p>a<!-- <p>b</p> --></p>c") == ["a", "c"]
+    assert texts("<scr" + "ipt>x") == [] and texts("<style>x</style >y") == ["y"]
+
+
 def test_min_cut_is_least():
     r = np.random.default_rng(4)
     for n in (1, 3, 7):
