@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from nightglass.llm import bagminhash, cnn_quality, crf_secrets, packing, recompression
 from nightglass.llm.queries import BYTE_BPE
-from nightglass.llm.shared import materialise
+from nightglass.llm.shared import discard, materialise, scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -55,8 +55,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """The stages over ``documents``, each written to the shared folder and read again.
+
+    A stage's table is deleted when the next one is written; what the last
+    stage's result reads stays.
+    """
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    with scratch() as every:
+        for name, stage in STAGES[:-1]:
+            with scratch() as own:
+                docs = materialise(stage(spark, docs, sf_dir), name)
+                own.keep(docs)
+            discard(*written)
+            written = [docs]
+        out = STAGES[-1][1](spark, docs, sf_dir)  # reads the documents once, here
+        every.keep(*(table for table in every.tables if table is not docs))
+    return out
