@@ -180,19 +180,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on the ``rows`` labelled rows, not held out, with the least id hashes, half of either label where there are as many.
 
     The sample, beside the labels' counts, is all that reaches the driver; its
-    ids are broadcast.  The last bias is then moved from the sample's odds to
-    those of all labelled rows, so that scores are probabilities among them.
+    ids are broadcast.  Of several labels of an id the least counts, and of
+    several rows the text with the least MD5 digest, so that the same tables
+    always give the same model.  The last bias is then moved from the sample's
+    odds to those of all labelled rows, so that scores are probabilities among
+    them.
     """
-    known = labels.filter(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).dropDuplicates(["_id"])
-    ids = [r for y in (0, 1) for r in known.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(rows // 2).collect()]
+    known = labels.filter(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"))
+    ids = [r for y in (0, 1) for r in known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(rows // 2).collect()]
     if not ids:
         return fit([], [])
     chosen = F.broadcast(docs.sparkSession.createDataFrame(ids, known.schema))
-    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(chosen, "_id").select("_id", "_y", F.coalesce("_text", F.lit("")).alias("_text")).dropDuplicates(["_id"]).collect()
-    found.sort(key=lambda r: r["_id"])
-    net = fit([r["_text"] for r in found], [r["_y"] for r in found])
-    every = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
-    sample = [sum(r["_y"] == y for r in found) for y in (0, 1)]
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(chosen, "id")
+    found = texts.groupBy("id", "y").agg(F.min_by("text", F.md5(F.col("text").cast("binary"))).alias("text")).collect()
+    found.sort(key=lambda r: r["id"])
+    net = fit([r["text"] for r in found], [r["y"] for r in found])
+    every = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    sample = [sum(r["y"] == y for r in found) for y in (0, 1)]
     if all(sample):
         net.out_bias += float(np.log(every[1] / every[0]) - np.log(sample[1] / sample[0]))
     return net
@@ -201,14 +205,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score_quality(docs: DataFrame, net: ByteCnn, id_col: str = "doc_id", text_col: str = "text", keep: float = 0.3, passing: tuple[str, ...] = ()) -> DataFrame:
     """Score each whole text, without a shuffle.
 
-    Returns ``id_col``, the ``passing`` columns unchanged, score (0 to 1,
-    higher: label 1 likelier) and predicted (1 if score >= ``keep``).  Null and
+    Returns ``id_col``, the ``passing`` columns unchanged (but for any named
+    score or predicted, which are left out), score (0 to 1, higher: label 1
+    likelier) and predicted (1 if score >= ``keep``).  Null and
     empty texts get the score of one block of padding.  Repeated rows each give
     a row, null ids stay null, other columns are not read, an empty table gives
     none.
     """
     kinds = dict(docs.dtypes)
-    held = [id_col, *(c for c in passing if c != id_col)]
+    held = [id_col, *(c for c in passing if c not in (id_col, "score", "predicted"))]
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in held) + ", score double, predicted int"
     names = list(dict.fromkeys([*held, text_col]))
 
