@@ -6,13 +6,13 @@ a scan, its boundary is deleted and the two neighbouring ranks are refreshed.
 Pre-tokens over ``LONG`` bytes merge through a heap of (rank, position), which
 gives the same parts without the quadratic scan.
 
-Encoded pre-tokens are cached as packed ids, so that a text costs one regular
-expression scan and one join; the cache is emptied when it holds ``CACHE``
-entries, and at a task's end, which bounds a worker's memory at any size of
-corpus.  The pre-tokens of a batch that aren't cached are encoded together: the rank arrays of all
-words of up to ``WIDTHS[-1]`` bytes are the rows of one numpy array, and each
-pass finds every row's minimum, deletes its boundary and refreshes its
-neighbours.
+The pre-tokens of a batch of texts are numbered by hashes of their bytes (and
+compared byte by byte, so that a number is exactly a pre-token), and those that
+aren't known are encoded together: the rank arrays of all words of up to
+``WIDTHS[-1]`` bytes are the rows of one numpy array, and each pass finds every
+row's minimum, deletes its boundary and refreshes its neighbours.  Known
+pre-tokens are kept in arrays that are emptied at ``CACHE`` of them or
+``CACHE_BYTES``, which bounds a worker's memory at any size of corpus.
 """
 
 from __future__ import annotations
@@ -25,18 +25,21 @@ import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from nightglass.llm import textcore as tc
+from nightglass.llm.packed import found_in
 from nightglass.llm.textcore import column, tidied
 
 LONG = 400
 WIDTHS = (6, 10, 16, 28)
-CACHE = 400_000
-BATCH_CHARS = 1_000_000
+CACHE, CACHE_BYTES = 400_000, 1 << 25
+BATCH_CHARS = 1_500_000
 CHUNK = 1 << 12
 _NONE = 1 << 60
 
@@ -89,20 +92,33 @@ def _hashed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return slots, held
 
 
-class _Packed(dict):
-    """Pre-token to packed ids; misses are encoded."""
+class _Known:
+    """Pre-tokens by the hashes of their bytes: where their bytes and their ids stand."""
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self):
+        self.hashes = np.zeros(0, np.uint64)  # sorted
+        self.word = np.zeros(0, np.int64)  # the pre-token of each hash
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.data, self.ids = np.zeros(0, np.uint8), np.zeros(0, np.uint32)
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def add(self, hashes: np.ndarray, data: np.ndarray, sizes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The numbers of the new pre-tokens, whose bytes and ids follow each other."""
+        numbers = len(self.at) + np.arange(len(hashes))
+        put = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.word = np.insert(self.hashes, put, hashes), np.insert(self.word, put, numbers)
+        self.at, self.size = np.append(self.at, len(self.data) + np.cumsum(sizes) - sizes), np.append(self.size, sizes)
+        self.first, self.count = np.append(self.first, len(self.ids) + np.cumsum(counts) - counts), np.append(self.count, counts)
+        self.data, self.ids = np.append(self.data, data), np.append(self.ids, ids)
+        return numbers
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        ids = self.encode(word.encode())
-        out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(word) <= 64:
-            self[word] = out
-        return out
+
+def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions of the spans of ``size`` from ``first`` on, one span after another."""
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
 
 
 class ByteBPE:
@@ -129,9 +145,10 @@ class ByteBPE:
             self.pieces[i] = s.encode()
         self.split = regex.compile(SPLIT)
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.packed = _Packed(self.encode_word)
+        self.known = _Known()
         self._byte_id = np.array(self.byte_id, np.int64)
         self._made = np.array(self.made, np.int64)
+        self._byte_ranks = np.array([[self.merges.get(a << 32 | b, _NONE) for b in self.byte_id] for a in self.byte_id], np.int64).ravel()
         self._slots, self._ranks = _hashed(np.array(list(self.merges), np.int64), np.array(list(self.merges.values()), np.int64))
 
     def pieces_of(self, text: str) -> list[str]:
@@ -185,63 +202,103 @@ class ByteBPE:
             self._merge_rows(*parts)
             ids[go] = parts[0]
 
-    def _encode_rows(self, flat: np.ndarray, start: np.ndarray, sizes: np.ndarray, width: int) -> list[bytes]:
-        """``encode_word`` of the words of ``width`` bytes at most at ``start`` in ``flat``, packed."""
+    def _encode_rows(self, flat: np.ndarray, start: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """``encode_word`` of the words of ``width`` bytes at most at ``start`` in ``flat``: the ids, and how many of each word."""
         columns = np.arange(width + 1)
         beyond = columns >= sizes[:, None]
-        ids = np.where(beyond, -1, self._byte_id[flat[np.minimum(start[:, None] + columns, len(flat) - 1)]])
+        raw = flat[np.minimum(start[:, None] + columns, len(flat) - 1)]
+        ids = np.where(beyond, -1, self._byte_id[raw])
         ids[:, width] = -2
         after = np.where(columns + 1 < sizes[:, None], columns + 1, width)
         before = np.broadcast_to(np.where(columns > 0, columns - 1, width), ids.shape).copy()
         ranks = np.full(ids.shape, _NONE, np.int64)
-        ranks[:, : width - 1] = np.where(beyond[:, 1:width], _NONE, self._rank(ids[:, : width - 1], ids[:, 1:width]))
+        ranks[:, : width - 1] = np.where(beyond[:, 1:width], _NONE, self._byte_ranks[raw[:, : width - 1].astype(np.int64) << 8 | raw[:, 1:width]])
         self._merge_rows(ids, ranks, after, before)
         held = ids >= 0
-        packed = ids[held].astype("<u4").tobytes()
-        ends = (np.cumsum(held.sum(1)) * 4).tolist()
-        return [packed[i:j] for i, j in zip([0, *ends], ends)]
-
-    def learn(self, words: set[str]) -> None:
-        """Cache the words that aren't cached yet, encoded together."""
-        new = list(words - self.packed.keys())
-        if len(self.packed) + len(new) > CACHE:
-            self.packed.clear()
-            new = list(words)
-        if not new:
-            return
-        raw = list(map(str.encode, new))
-        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-        flat, start = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes) - sizes
+        return ids[held].astype(np.uint32), held.sum(1)
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Encode new pre-tokens together; their numbers in ``known``, in the order given."""
         order = np.argsort(sizes, kind="stable")
         bounds = np.searchsorted(sizes[order], [0, *WIDTHS], side="right")
+        ids, counts = [], []
         for width, lo, hi in zip(WIDTHS, bounds, bounds[1:]):
             for i in range(lo, hi, CHUNK):
                 some = order[i : min(hi, i + CHUNK)]
-                self.packed.update(zip(map(new.__getitem__, some.tolist()), self._encode_rows(flat, start[some], sizes[some], width)))
+                x, n = self._encode_rows(data, starts[some], sizes[some], width)
+                ids.append(x)
+                counts.append(n)
+        for k in order[bounds[-1] :]:
+            x = np.array(self.encode_word(data[starts[k] : starts[k] + sizes[k]].tobytes()), np.uint32)
+            ids.append(x)
+            counts.append([len(x)])
+        numbers = self.known.add(hashes[order], data[_spread(starts[order], sizes[order])], sizes[order], np.concatenate(ids), np.concatenate(counts))
+        out = np.empty(len(order), np.int64)
+        out[order] = numbers
+        return out
+
+    def _encode_batch(self, texts: list[str], pieces: list[list[str]]) -> Iterator[bytes]:
+        """Packed ids of the texts, split into their pre-tokens."""
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        lengths = np.fromiter(map(len, chain.from_iterable(pieces)), np.int64)
+        ends = np.cumsum(lengths)
+        if len(lengths) and ends[-1] != len(data):  # characters to bytes
+            ends = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))[ends]
+        starts = np.concatenate((np.zeros(1, np.int64), ends[:-1])) if len(ends) else ends
+        hashes = tc.span_hashes(data, starts, ends)
+        order = np.argsort(hashes)
+        new = np.ones(len(order), bool)
+        new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        one = order[new]  # a pre-token for each number
+        known = self.known
+        if len(known) + len(one) > CACHE or len(known.data) > CACHE_BYTES:
+            known = self.known = _Known()
+        at, there = found_in(known.hashes, hashes[one])
+        word = np.where(there, known.word[at] if len(known) else -1, -1)
+        old = word[there]
+        both, size = np.concatenate((data, known.data)), ends - starts
+        spans = np.concatenate((starts, len(data) + known.at)), np.concatenate((ends, len(data) + known.at + known.size))
+        same = tc.equal_spans(both, *spans, one[there], len(starts) + old).all() and tc.equal_spans(data, starts, ends, np.arange(len(starts)), one[number]).all()
+        if not same:  # different pre-tokens of one hash
+            yield from (b"".join(np.array(self.encode_word(p.encode()), "<u4").tobytes() for p in ps) for ps in pieces)
+            return
+        miss = one[~there]
+        if len(miss):
+            word[~there] = self._learn(data, starts[miss], size[miss], hashes[miss])
+        word = word[number]
+        n = known.count[word]
+        packed = known.ids[_spread(known.first[word], n)].astype("<u4").tobytes()
+        upto = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum([len(p) for p in pieces], dtype=np.int64)))] * 4
+        for i, j in zip(upto.tolist(), upto[1:].tolist()):
+            yield packed[i:j]
 
     def encode_many(self, texts: Iterable[str]) -> Iterator[bytes]:
-        """``encode_packed`` of each text, learning the words of about ``BATCH_CHARS`` characters at a time."""
-        held: list[list[str] | str] = []
-        words: set[str] = set()
+        """``encode_packed`` of each text, those of about ``BATCH_CHARS`` characters at a time."""
+        held: list[bool] = []
+        plain: list[str] = []
+        pieces: list[list[str]] = []
+        rest: list[bytes] = []
         size = 0
 
         def flush() -> Iterator[bytes]:
-            self.learn(words)
-            # the batch's own small map: it stays in the processor's cache, which the large one doesn't
-            get = self.packed.__getitem__
-            for x in held:
-                yield self.encode_packed(x) if isinstance(x, str) else b"".join(map(get, x))
+            made, special = self._encode_batch(plain, pieces), iter(rest)
+            for is_plain in held:
+                yield next(made) if is_plain else next(special)
 
         for text in texts:
-            if self.at_special and any(s in text for s in self.special):
-                held.append(text)
+            special = self.at_special is not None and any(s in text for s in self.special)
+            held.append(not special)
+            if special:
+                rest.append(self.encode_packed(text))
             else:
-                held.append(self.pieces_of(text))
-                words.update(held[-1])
+                plain.append(text)
+                pieces.append(self.pieces_of(text))
             size += len(text)
             if size >= BATCH_CHARS:
                 yield from flush()
-                held, words, size = [], set(), 0
+                held, plain, pieces, rest, size = [], [], [], [], 0
         yield from flush()
 
     def encode_word(self, word: bytes) -> list[int]:
@@ -284,11 +341,10 @@ class ByteBPE:
 
     def encode_packed(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers, special strings as their ids."""
-        get, split = self.packed.__getitem__, self.pieces_of
-        if self.at_special and any(s in text for s in self.special):
-            parts = self.at_special.split(text)
-            return b"".join(struct.pack("<I", self.special[p]) if p in self.special else b"".join(map(get, split(p))) for p in parts)
-        return b"".join(map(get, split(text)))
+        parts = self.at_special.split(text) if self.at_special else [text]
+        plain = [p for p in parts if p not in self.special]
+        made = self._encode_batch(plain, [self.pieces_of(p) for p in plain])
+        return b"".join(struct.pack("<I", self.special[p]) if p in self.special else next(made) for p in parts)
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encode_packed(text), "<u4")
@@ -334,6 +390,5 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             if with_ids:
                 out |= {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_pydict(out)
-        bpe.packed.clear()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)

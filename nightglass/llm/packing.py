@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nightglass.llm import bpe
-from nightglass.llm.shared import materialise
+from nightglass.llm.shared import materialise, scratch
 from nightglass.llm.textcore import column, tidied
 
 
@@ -146,7 +146,6 @@ def tokenised_pieces(docs: DataFrame, path: str, capacity: Capacity = Capacity()
                     at += size
             ids = column(batch, id_col).take(pa.array(owner, pa.int64()))
             yield pa.RecordBatch.from_pydict({id_col: ids, "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
-        tokenizer.packed.clear()
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, piece int, start long, length long, ids_crc32 long")
 
@@ -192,4 +191,7 @@ def pack(docs: DataFrame, path: str, capacity: Capacity = Capacity(), id_col: st
     null ids stay null; other columns are not read; an empty table gives no
     rows.  Ties in length are broken by checksum, id and piece.
     """
-    return assign(materialise(tokenised_pieces(docs, path, capacity, id_col, text_col), "pieces"), capacity, id_col)
+    with scratch() as own:
+        pieces = materialise(tokenised_pieces(docs, path, capacity, id_col, text_col), "pieces")
+        own.keep(pieces)
+        return assign(pieces, capacity, id_col)

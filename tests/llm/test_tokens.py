@@ -46,8 +46,43 @@ def test_decode_broken_bytes():
     assert own.decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("open_", [1, 2, 3, 4])
+def test_few_words_still_open(open_):
+    """Words of one width of which all but a few have no merge left."""
+    own = bpe.ByteBPE(PATH)
+    words = ["\x00\x01\x02"] * 9 + ["hel", "wor", "tok", "abc"][:open_]
+    for texts in (["hello"], [" hello"], [" ".join(words)], words):
+        for t, packed in zip(texts, own.encode_many(texts)):
+            assert np.frombuffer(packed, "<u4").tolist() == LIBRARY.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("size", [1, 5, 6, 7, 10, 11, 16, 17, 28, 29, 255, 256, 257, 400, 401])
+def test_word_widths(size):
+    own, r = bpe.ByteBPE(PATH), random.Random(size)
+    texts = ["".join(r.choices(kind, k=size)) for kind in ("etaoinsh", "abcdefghijklmnopqrstuvwxyz", "x") for _ in range(5)] + ["é" * (size // 2)]
+    for t, packed in zip(texts, own.encode_many(texts)):
+        assert np.frombuffer(packed, "<u4").tolist() == LIBRARY.encode(t, add_special_tokens=False).ids
+
+
+def test_words_of_one_hash(monkeypatch):
+    """Pre-tokens are told apart by their bytes where hashes fail."""
+    monkeypatch.setattr(bpe.tc, "span_hashes", lambda data, starts, ends, which=0: (ends - starts).astype(np.uint64))
+    own, texts = bpe.ByteBPE(PATH), ["some words here", "other words there", "more text now", ""]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_many(texts)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_long_texts():
+    """Texts over a block, and over a batch, of ``textcore``."""
+    r = random.Random(2)
+    texts = ["".join(r.choices("abc de\n", k=1_500_000)), "a" * 70_000, "naïve " * 250_000]
+    for t, packed in zip(texts, bpe.load(PATH).encode_many(texts)):
+        assert np.frombuffer(packed, "<u4").tolist() == LIBRARY.encode(t, add_special_tokens=False).ids
+
+
 def test_cache_is_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE", 50)
+    monkeypatch.setattr(bpe, "BATCH_CHARS", 200)
     own = bpe.ByteBPE(PATH)
     texts = [" ".join(f"word{i}x{j}" for j in range(20)) for i in range(20)]
     for t, packed in zip(texts, own.encode_many(texts)):
