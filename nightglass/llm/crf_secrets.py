@@ -18,13 +18,14 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from nightglass.llm import textcore as tc
 from nightglass.llm.textcore import column, tidied
 
 TRAINING_LINES = 4000
@@ -33,29 +34,25 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_SPLIT = r"""\s"'`“”‘’„«»()\[\]{}<>,;:="""
-_TOKEN = re.compile(rf"[^{_SPLIT}.\-](?:[^{_SPLIT}]*[^{_SPLIT}.\-])?")
+#: Characters of texts that are tokenised together.
+BLOCK_CHARS = 500_000
+# What parts tokens, and what is no part of one at its ends.
+_SPLIT, _TRIMMED = r"""\s"'`“”‘’„«»()\[\]{}<>,;:=""", ".-"
 _NEAR = re.compile(r"passw|passwd|pwd|passphrase|secret|token|key|auth|bearer|credential|private", re.I | re.A)
 _NAMED = re.compile(r"""(?:(passw(?:or)?d|pwd|passphrase|secret)|(?:[a-z]+[_\x20-])?(?:token|key|bearer|credential))["']?(?:\x20(?:is|was)\x20|\x20?(?:[:=]|=>)\x20?|\x20)["'`]?(?=[^\s"'`])""", re.I | re.A)
 O, B, I = 0, 1, 2
-CACHED = 100_000
 
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, kind) of the fixed patterns, in code points, by start and then kind."""
+def base_spans(text: str, low: str | None = None) -> list[tuple[int, int, int]]:
+    """(start, end, kind) of the fixed patterns, in code points, by start and then kind.  ``low``: the text in small letters."""
     out = []
-    low = text.lower()
+    low = text.lower() if low is None else low
     if any(w in low for w in _WORDS):
         out += [(m.start(), m.end(), 0) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     if "AKIA" in text:
         out += [(m.start(), m.end(), 1) for m in _ACCESS.finditer(text)]
     out += [(m.start(), m.end(), 2) for m in _HEX.finditer(text)]
-    return sorted(out, key=lambda s: (s[0], s[2]))
-
-
-def tokens_of(text: str) -> list[tuple[int, int]]:
-    """The text's tokens, each a (start, end)."""
-    return [m.span() for m in _TOKEN.finditer(text)]
+    return sorted(out, key=lambda s: (s[0], s[2])) if len(out) > 1 else out
 
 
 SHAPE = (
@@ -71,97 +68,181 @@ PLACE = (
 BOTH = ("letters only", "len<4", "len<8", "len<12", "letters only, 12 or more", "letters only, 20 or more", "all capitals, 8 or more", "has digit", "digits only", "sign inside", "mixed", "beyond ASCII")
 FEATURES = (*SHAPE, *PLACE, *(f"password named, {f}" for f in BOTH), *(f"password assigned, {f}" for f in BOTH), *(f"key named, {f}" for f in BOTH))
 _AT = {f: i for i, f in enumerate(SHAPE)}
-_SIGN = re.compile(r"[^A-Za-z0-9_+/.\-']", re.A)
+_PLACE = {f: i for i, f in enumerate(PLACE)}
 _ADDRESS = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\S*//\S+|/?(?:[\w.-]+/)+[\w.-]*|(?:[\w-]+\.)+[a-z]{2,6}(?:[/?]\S*)?")
-_SMALL, _CAPITAL, _DIGIT = (frozenset(c) for c in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"))
-
-
-def shape(t: str) -> tuple[bool, ...]:
-    """The features of a token by itself, and whether it has a digit."""
-    n = len(t)
-    kind = [0 if c in _DIGIT else 1 if c in _CAPITAL else 2 if c in _SMALL else 3 for c in t]
-    digits, upper, lower = kind.count(0), kind.count(1), kind.count(2)
-    changes = sum(a != b for a, b in zip(kind, kind[1:])) / n
-    variety = len(set(t)) / min(n, 24)
-    vowels = sum(c in "aeiouAEIOU" for c in t) / max(1, upper + lower)
-    longest_word = max(map(len, re.findall(r"[a-z]+", t)), default=0)
-    share, core = digits / n, t.rstrip("!?")
-    letters, sign = core.isalpha(), bool(_SIGN.search(core)) and not core.isalpha()
-    mixed = bool(upper and lower and digits)
-    return (
-        True, n < 4, 4 <= n < 8, 8 <= n < 12, 12 <= n < 16, 16 <= n < 20, 20 <= n < 32, 32 <= n < 48, n >= 48, digits == n, set(t) <= set("0123456789abcdef"), upper == 0, lower == 0, mixed,
-        share < 0.1, 0.1 <= share < 0.3, 0.3 <= share < 0.6, variety < 0.4, variety > 0.7, changes < 0.1, 0.1 <= changes < 0.3, changes >= 0.3, "." in t, "/" in t, "-" in t,
-        "_" in t, longest_word >= 7, 0.25 <= vowels <= 0.6, letters, letters and n >= 12, letters and n >= 20, bool(digits and upper + lower) and n >= 16, mixed and n >= 20, sign, sign and digits > 0, not t.isascii(), bool(_ADDRESS.fullmatch(t)),
-        any(b == 1 and a == 2 for a, b in zip(kind, kind[1:])), upper == n >= 8, letters and (upper == 0 or lower == 0), digits > 0,
-    )
+_TABLE = 1 << 16
 
 
-_ALIKE = str.maketrans({c: "0" if c in _DIGIT else "a" if c in "ae" else "b" if c in "bcdf" else "i" if c in "iou" else "z" if c in _SMALL else "A" if c in "AEIOU" else "Z" for c in sorted(_SMALL | _CAPITAL | _DIGIT)})
-
-
-def alike(t: str) -> tuple:
-    """What ``shape`` reads of a token: tokens with an equal key have an equal shape."""
-    if t.isascii() and t.isalpha() and (t.islower() or t.istitle()):
-        return len(t), len(set(t)), sum(map(t.count, "aeiouAEIOU")), t[0] < "a", not t.strip("abcdef")
-    return t.translate(_ALIKE), len(set(t))
-
-
-def _beside(shape_: np.ndarray) -> np.ndarray:
-    """The columns of ``BOTH`` of rows of ``shape``."""
-    return shape_[:, [len(SHAPE) if f == "has digit" else _AT[f] for f in BOTH]]
-
-
-def places(text: str, spans: np.ndarray, whole: tuple[bool, bool]) -> np.ndarray:
-    """The features of ``PLACE`` of the tokens at ``spans``, a row of 0 or 1 for each.  ``whole``: the text's own features."""
-    start, end = spans[:, 0], spans[:, 1]
-    out = np.zeros((len(spans), len(PLACE)), bool)
-    code = np.frombuffer(("  " + text + "  ").encode("utf-32-le", "surrogatepass"), np.uint32)
-    one, two, after = code[start + 1], code[start], code[end + 2]
-    is_in = lambda c, chars: np.logical_or.reduce([c == ord(x) for x in chars])
-    quoted = is_in(one, "\"'`")
-    last = np.where(is_in(one, " \"'`"), two, one)
-    space = np.where(is_in(last, " \"'`") & (start > 2), code[np.maximum(start - 1, 0)], last)
-    out[:, 0], out[:, 1] = is_in(space, "=:"), quoted
-    near = np.array([m.end() for m in _NEAR.finditer(text)], np.int64) if whole[0] else np.zeros(0, np.int64)
-    lines = np.array([m.end() for m in re.finditer("\n", text)], np.int64)
-    line = np.concatenate(([0], lines))[np.searchsorted(lines, start, "right")]
-    if len(near):
-        latest = np.concatenate(([-1000], near))[np.searchsorted(near, start, "right")]
-        out[:, 2] = start - latest <= 24
-        out[:, 3] = (start - latest <= 60) & (latest > line)
-    at = np.flatnonzero(code == 64) - 2
-    out[:, 4] = (one == 64) | (after == 64)
-    slashes = np.array([m.start() for m in re.finditer("://", text)], np.int64) if "://" in text else np.zeros(0, np.int64)
-    for signs, reach in ((slashes, 60), (at, 24)):
-        if len(signs):
-            latest = np.concatenate(([-1000], signs))[np.searchsorted(signs, start, "left")]
-            out[:, 5] |= (start - latest <= reach) & (latest >= line)
-    out[:, 6], out[:, 7] = after == 58, is_in(after, "%°")
-    glued = np.zeros(len(spans), bool)
-    blank = np.concatenate(([0], np.cumsum(is_in(code, " \t\n\r\x0b\x0c 　"))))
-    glued[1:] = blank[start[1:] + 2] == blank[end[:-1] + 2]
-    out[:, 8], out[:-1, 9] = glued, glued[1:]
-    if whole[0]:
-        for m in _NAMED.finditer(text):
-            k = int(np.searchsorted(start, m.end()))
-            if k < len(start) and start[k] - m.end() <= 1:
-                out[k, 10 if m[1] else 11] = True
-                out[k, 12] = bool(m[1]) and any(c in m[0] for c in "=:")
-    out[:, 13], out[:, 14] = whole
+def _marked(chars: str) -> np.ndarray:
+    """Of each code point of the first plane, whether it is one of ``chars``."""
+    out = np.zeros(_TABLE, bool)
+    out[[ord(c) for c in chars]] = True
     return out
 
 
-def features(text: str, run: list[tuple[int, int]], whole: tuple[bool, bool]) -> np.ndarray:
-    """A row of 0 or 1 for each token.  ``whole``: the text's own features."""
-    shapes = np.array([shape(text[a:b]) for a, b in run], bool).reshape(len(run), len(SHAPE) + 1)
-    place, both = places(text, np.array(run, np.int64).reshape(-1, 2), whole), _beside(shapes)
-    named = [both & place[:, k, None] for k in (10, 12, 11)]
-    return np.hstack((shapes[:, :-1], place, *named)).astype(np.float32)
-
+@lru_cache(maxsize=1)
+def _tables() -> dict[str, np.ndarray]:
+    """Classes of the first plane's code points; others are like its last one, which is in none."""
+    small, digit = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    every = [chr(i) for i in range(_TABLE)]
+    splits = re.compile(f"[{_SPLIT}]")
+    kind = np.full(_TABLE, 3, np.int8)
+    for k, chars in enumerate((digit, small.upper(), small)):
+        kind[_marked(chars)] = k
+    return {
+        "split": np.array([bool(splits.match(c)) for c in every]), "alpha": np.array([c.isalpha() for c in every]), "kind": kind, "hex": _marked(digit + "abcdef"), "vowel": _marked("aeiouAEIOU"),
+        "sign": ~_marked(small + small.upper() + digit + "_+/.-'"), "shout": _marked("!?"), "trimmed": _marked(_TRIMMED), "blank": _marked(" \t\n\r\x0b\x0c\xa0\u3000"), "quote": _marked("\"'`"), "open": _marked(" \"'`"), "assign": _marked("=:"), "unit": _marked("%°"),
+    }
+
+
+class Tokens:
+    """The tokens of some texts and their features.
+
+    The texts stand side by side with two blanks around each, as code points;
+    ``start``, ``end`` and ``doc`` say where each token is.  ``number`` is equal
+    for equal tokens, and ``shapes`` has a row for each number: the features of
+    ``SHAPE``, and whether the token has a digit.
+    """
 
-def whole_features(text: str) -> tuple[bool, bool]:
-    """The file's features: it names secrets; a twentieth of its characters are digits."""
-    return bool(_NEAR.search(text)), 20 * sum(map(text.count, "0123456789")) > len(text)
+    def __init__(self, texts: list[str]):
+        text = "".join([f"  {t}  " for t in texts])
+        self.code = code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.texts, self.base = texts, np.cumsum(sizes + 4) - sizes - 2  # where each text begins
+        flat, t = np.minimum(code, _TABLE - 1), _tables()
+        split = t["split"][flat]
+        core = np.flatnonzero(~(split | t["trimmed"][flat]))
+        runs = np.cumsum(split, dtype=np.int32)[core]
+        new = np.ones(len(core), bool)
+        new[1:] = runs[1:] != runs[:-1]
+        first = np.flatnonzero(new)
+        self.start, self.end = core[first], core[np.append(first[1:], len(core)) - 1] + 1 if len(core) else core
+        self.doc = np.searchsorted(self.base, self.start, "right") - 1
+        digits = np.concatenate(([0], np.cumsum(t["kind"][flat] == 0, dtype=np.int64)))
+        self.many_digits = 20 * (digits[self.base + sizes] - digits[self.base]) > sizes
+        # equal tokens have one number
+        top = int(code.max(initial=0))
+        kind = np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32
+        width = np.dtype(kind).itemsize
+        self.number = tc.span_numbers(code.astype(kind).view(np.uint8), self.start * width, self.end * width)
+        one = np.empty(int(self.number.max(initial=-1)) + 1, np.int64)
+        one[self.number] = np.arange(len(self.number))
+        self.shapes = self._shapes(self.start[one], self.end[one]) if len(one) else np.zeros((0, len(SHAPE) + 1), bool)
+
+    def _shapes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        t, size = _tables(), end - start
+        at = np.cumsum(size) - size
+        ch = self.code[np.repeat(start - at, size) + np.arange(int(size.sum()))]
+        owner, flat = np.repeat(np.arange(len(size)), size), np.minimum(ch, _TABLE - 1)
+        kind = t["kind"][flat]
+        count = lambda mask: np.add.reduceat(mask, at, dtype=np.int64)
+        any_ = lambda mask: np.logical_or.reduceat(mask, at)
+        has = lambda c: any_(ch == ord(c))
+        digits, upper, lower = (count(kind == k) for k in range(3))
+        beside = owner[1:] == owner[:-1]
+        pad = lambda mask: np.append(mask, False)
+        changes = count(pad(beside & (kind[1:] != kind[:-1]))) / size
+        inside = any_(pad(beside & (kind[:-1] == 2) & (kind[1:] == 1)))
+        key = np.sort(owner << 21 | ch)
+        kinds = np.bincount(key[np.concatenate(([True], key[1:] != key[:-1]))] >> 21, minlength=len(size))
+        variety, vowels = kinds / np.minimum(size, 24), count(t["vowel"][flat]) / np.maximum(1, upper + lower)
+        small = kind == 2
+        seven = small.copy()  # the first of seven small letters of one token
+        for k in range(1, 7):
+            seven[:-k] &= small[k:]
+            seven[-k:] = False
+        seven[:-6] &= owner[6:] == owner[:-6]
+        # the token without the marks at its end
+        place = np.arange(len(ch))
+        stop = np.maximum.reduceat(np.where(t["shout"][flat], -1, place), at) + 1
+        within = place < np.repeat(stop, size)
+        alpha = t["alpha"][flat]
+        for k in np.flatnonzero(ch >= _TABLE):
+            alpha[k] = chr(ch[k]).isalpha()
+        letters = ~any_(within & ~alpha) & (stop > at)
+        sign = any_(within & t["sign"][flat]) & ~letters
+        dot, slash = has("."), has("/")
+        address = np.zeros(len(size), bool)
+        for k in np.flatnonzero(dot | slash | has("@")):
+            address[k] = bool(_ADDRESS.fullmatch("".join(map(chr, ch[at[k] : at[k] + size[k]]))))
+        share, n, mixed = digits / size, size, (upper > 0) & (lower > 0) & (digits > 0)
+        return np.stack(
+            [
+                np.ones(len(n), bool), n < 4, (4 <= n) & (n < 8), (8 <= n) & (n < 12), (12 <= n) & (n < 16), (16 <= n) & (n < 20), (20 <= n) & (n < 32), (32 <= n) & (n < 48), n >= 48, digits == n, ~any_(~t["hex"][flat]), upper == 0, lower == 0, mixed,
+                share < 0.1, (0.1 <= share) & (share < 0.3), (0.3 <= share) & (share < 0.6), variety < 0.4, variety > 0.7, changes < 0.1, (0.1 <= changes) & (changes < 0.3), changes >= 0.3, dot, slash, has("-"),
+                has("_"), any_(seven), (0.25 <= vowels) & (vowels <= 0.6), letters, letters & (n >= 12), letters & (n >= 20), (digits > 0) & (upper + lower > 0) & (n >= 16), mixed & (n >= 20), sign, sign & (digits > 0), any_(ch > 127), address,
+                inside, (upper == n) & (n >= 8), letters & ((upper == 0) | (lower == 0)), digits > 0,
+            ],
+            axis=1,
+        )
+
+    def places(self, names: np.ndarray) -> np.ndarray:
+        """The features of ``PLACE``, a row of 0 or 1 for each token.  ``names``: the texts that name secrets."""
+        t, start, end, code = _tables(), self.start, self.end, self.code
+        at = lambda k: np.minimum(code[np.maximum(k, 0)], _TABLE - 1)
+        out = np.zeros((len(start), len(PLACE)), bool)
+        if not len(start):
+            return out
+        put = lambda name, mask: out.__setitem__((slice(None), _PLACE[name]), mask)
+        one, two, after, base = at(start - 1), at(start - 2), at(end), self.base[self.doc]
+        last = np.where(t["open"][one], two, one)
+        space = np.where(t["open"][last] & (start - base > 2), at(start - 3), last)
+        put("assigned", t["assign"][space])
+        put("quoted", t["quote"][one])
+        breaks = np.sort(np.concatenate((np.flatnonzero(code == 10) + 1, self.base)))
+        line = breaks[np.searchsorted(breaks, start, "right") - 1]
+        latest = lambda signs, side: np.concatenate(([-1000], signs))[np.searchsorted(signs, start, side)]
+        ats = np.flatnonzero(code == 64)
+        slashes = np.flatnonzero(code == 58)
+        slashes = slashes[(code[slashes + 1] == 47) & (code[slashes + 2] == 47)]
+        put("at sign beside", (one == 64) | (after == 64))
+        near = [latest(signs, "left") for signs in (slashes, ats)]
+        put("slash or @ near", np.logical_or.reduce([(start - x <= reach) & (x >= line) for x, reach in zip(near, (60, 24))]))
+        put("colon after", after == 58)
+        put("unit after", t["unit"][after])
+        blank = np.concatenate(([0], np.cumsum(t["blank"][np.minimum(code, _TABLE - 1)], dtype=np.int32)))
+        glued = np.zeros(len(start) + 1, bool)
+        glued[1:-1] = blank[start[1:]] == blank[end[:-1]]
+        put("glued to the token before", glued[:-1])
+        put("glued to the token after", glued[1:])
+        put("text names secrets", names[self.doc])
+        put("text has many digits", self.many_digits[self.doc])
+        said = []
+        for d in np.flatnonzero(names):
+            b, text = int(self.base[d]), self.texts[d]
+            said += [b + m.end() for m in _NEAR.finditer(text)]
+            for m in _NAMED.finditer(text):
+                k = int(np.searchsorted(start, b + m.end()))
+                if k < len(start) and start[k] - b - m.end() <= 1:
+                    out[k, _PLACE["password named" if m[1] else "key named"]] = True
+                    out[k, _PLACE["password assigned"]] = bool(m[1]) and any(c in m[0] for c in "=:")
+        if said:
+            x = latest(np.array(said, np.int64), "right")
+            put("named before", (start - x <= 24) & (x > base))
+            put("named before on line", (start - x <= 60) & (x > line))
+        return out
+
+
+#: Features of a token whose name stands before it: those of ``PLACE`` whose rows of ``BOTH`` follow in ``FEATURES``.
+_NAMES = tuple(_PLACE[f] for f in ("password named", "password assigned", "key named"))
+_BOTH = [len(SHAPE) if f == "has digit" else _AT[f] for f in BOTH]
+
+
+def features(texts: list[str]) -> tuple[Tokens, np.ndarray]:
+    """The texts' tokens, and a row of 0 or 1 for each."""
+    tokens = Tokens(texts)
+    place, shapes = tokens.places(np.array([names_secrets(t) for t in texts], bool)), tokens.shapes[tokens.number]
+    return tokens, np.hstack((shapes[:, :-1], place, *(shapes[:, _BOTH] & place[:, k, None] for k in _NAMES))).astype(np.float32)
+
+
+# Each match of ``_NEAR`` holds one of these.
+_NEAR_WORDS = ("passw", "pwd", "passphrase", "secret", "token", "key", "auth", "bearer", "credential", "private")
+
+
+def names_secrets(text: str, low: str | None = None) -> bool:
+    """Whether the text has a word that names secrets.  ``low``: the text in small letters."""
+    low = text.lower() if low is None else low
+    return any(w in low for w in _NEAR_WORDS) and bool(_NEAR.search(text))
 
 
 class Crf:
@@ -170,42 +251,25 @@ class Crf:
     def __init__(self):
         self.w = np.zeros((len(FEATURES), 3))
         self.t = np.zeros((3, 3))
-        self._seen: dict[str | tuple, int] = {}
-        self._held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def _bound(self) -> np.ndarray:
         t = self.t.copy()
         t[O, I] = -1e9
         return t
 
-    def emissions(self, text: str, run: list[tuple[int, int]], whole: tuple[bool, bool]) -> np.ndarray:
-        """``features(...) @ w``, with what a token's shape says kept from text to text."""
-        if len(self._seen) > CACHED:
-            self._seen.clear()
-            self._held.clear()
-        which, n = [], len(SHAPE)
-        for a, b in run:
-            t = text[a:b]
-            k = self._seen.get(t)
-            if k is None:
-                key = alike(t)
-                k = self._seen.get(key)
-                if k is None:
-                    row = np.array([shape(t)], np.float64)
-                    k = self._seen[key] = len(self._held)
-                    self._held.append((row[0, :n] @ self.w[:n], _beside(row)[0]))
-                self._seen[t] = k
-            which.append(k)
-        place = places(text, np.array(run, np.int64), whole)
-        e = np.array([self._held[k][0] for k in which]) + place @ self.w[n : n + len(PLACE)]
-        for i, k in enumerate((10, 12, 11)):
-            w = self.w[n + len(PLACE) + i * len(BOTH) :][: len(BOTH)]
-            for j in np.flatnonzero(place[:, k]):
-                e[j] += self._held[which[j]][1] @ w
-        return e
-
-    def open_runs(self, e: np.ndarray) -> list[tuple[int, int]]:
-        """(first, last + 1) of the runs of tokens that a best labelling may have in a secret.
+    def emissions(self, tokens: Tokens, names: np.ndarray) -> np.ndarray:
+        """``features(...) @ w``, a token's shape weighed once for all its equals."""
+        n = len(SHAPE)
+        place, out = tokens.places(names), np.einsum("ij,jk->ik", tokens.shapes[:, :n], self.w[:n])[tokens.number]  # not worth BLAS's threads
+        for k in range(len(PLACE)):
+            out[place[:, k]] += self.w[n + k]
+        for i, k in enumerate(_NAMES):
+            some = np.flatnonzero(place[:, k])
+            out[some] += tokens.shapes[tokens.number[some]][:, _BOTH] @ self.w[n + len(PLACE) + i * len(BOTH) :][: len(BOTH)]
+        return out
+
+    def open_runs(self, e: np.ndarray, doc: np.ndarray) -> list[tuple[int, int]]:
+        """(first, last + 1) of the runs of tokens of one text (``doc``) that a best labelling may have in a secret.
 
         If setting a token to O in any labelling, and an I after it to B, makes
         the labelling better, it is O in the best one.
@@ -216,11 +280,13 @@ class Crf:
         # the most that a token labelled B or I, and the step to it, can be worth beside O
         came = np.array([max(d[O, k], *(d[1:, k] - out)) for k in (B, I)])
         onward = np.full(len(e), -np.inf)
-        onward[:-1] = gain[1:, 1] - gain[1:, 0]
+        onward[:-1] = np.where(doc[1:] == doc[:-1], gain[1:, 1] - gain[1:, 0], -np.inf)
         worth = [gain[:, k - 1] + came[k - 1] + np.maximum(max(d[k, O], d[k, B] - d[O, B]), onward + d[k, I] - d[O, B]) for k in (B, I)]
-        may = np.concatenate(([False], np.maximum(*worth) >= -1e-9, [False]))
-        edge = np.flatnonzero(may[1:] != may[:-1])
-        return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+        at = np.flatnonzero(np.maximum(*worth) >= -1e-9)
+        if not len(at):
+            return []
+        new = np.flatnonzero(np.concatenate(([True], (np.diff(at) > 1) | (doc[at[1:]] != doc[at[:-1]]))))
+        return list(zip(at[new].tolist(), (at[np.append(new[1:], len(at)) - 1] + 1).tolist()))
 
     def decode(self, x: np.ndarray) -> list[int]:
         """Viterbi over one run, between tokens that are O."""
@@ -304,7 +370,7 @@ def training_line(r: random.Random) -> tuple[str, list[tuple[int, int]]]:
     short = (
         phrase, lambda: phrase().upper(), lambda: pick(small, 10, 24), lambda: pick(small.upper(), 10, 24), lambda: phrase().capitalize(), lambda: word() + pick(digit, 1, 4), lambda: word().capitalize() + pick(digit, 1, 4),
         lambda: pick(any_, 6, 11) + r.choice(digit), lambda: pick(small + digit, 6, 11) + r.choice(digit), signed, signed, signed, lambda: word().capitalize() + r.choice(signs) + pick(digit, 1, 4) + r.choice(small), lambda: word() + r.choice("@!$") + word() + pick(digit, 1, 3),
-    )
+    )
     plain = (
         lambda: f"20{pick(digit, 2, 2)}-{pick(digit, 2, 2)}-{pick(digit, 2, 2)}", lambda: f"20{pick(digit, 2, 2)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}T{pick(digit, 2, 2)}:{pick(digit, 2, 2)}:{pick(digit, 2, 2)}", lambda: ".".join(pick(digit, 1, 3) for _ in range(4)),
         lambda: f"{word()}{pick(digit, 1, 3)}.{word()}@mail{pick(digit, 1, 2)}.example.com", lambda: f"http://{word()}{r.randint(1, 9)}.example.org/{word()}/{pick(digit, 2, 4)}?page={r.randint(1, 9)}", lambda: f"+{r.randint(1, 99)}-{pick(digit, 3, 3)}-{pick(digit, 3, 4)}-{pick(digit, 4, 4)}",
@@ -349,40 +415,58 @@ def training_line(r: random.Random) -> tuple[str, list[tuple[int, int]]]:
 @lru_cache(maxsize=2)
 def train(lines: int = TRAINING_LINES, seed: int = 7) -> Crf:
     """The model, the same whenever and wherever it is trained."""
-    r, runs = random.Random(seed), []
-    for _ in range(lines):
-        text, spans = training_line(r)
-        run, labels, open_ = tokens_of(text), [], None
-        for start, end in run:
-            held = next((s for s in spans if s[0] <= start and end <= s[1]), None)
-            labels.append(O if held is None else I if held == open_ else B)
-            open_ = held
-        runs.append((features(text, run, whole_features(text)), labels))
-    return Crf().fit(runs)
-
-
-def added_spans(text: str, crf: Crf, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The CRF's spans that don't lie inside one of ``base``."""
-    run, out = tokens_of(text), []
-    if not run:
-        return []
-    e = crf.emissions(text, run, whole_features(text))
-    for first, upto in crf.open_runs(e):
-        start = end = None
-        for (a, b), label in [*zip(run[first:upto], crf.best(e[first:upto])), ((0, 0), O)]:
+    r = random.Random(seed)
+    made = [training_line(r) for _ in range(lines)]
+    tokens, x = features([text for text, _ in made])
+    labels = np.zeros(len(tokens.start), np.int64)
+    for d, (_, spans) in enumerate(made):
+        for a, b in spans:
+            held = np.flatnonzero((tokens.doc == d) & (tokens.start >= tokens.base[d] + a) & (tokens.end <= tokens.base[d] + b))
+            labels[held] = I
+            labels[held[:1]] = B
+    cuts = [0, *(np.flatnonzero(np.diff(tokens.doc)) + 1).tolist(), len(labels)]
+    return Crf().fit([(x[i:j], labels[i:j].tolist()) for i, j in zip(cuts, cuts[1:])])
+
+
+def added_spans(tokens: Tokens, crf: Crf, names: np.ndarray) -> list[list[tuple[int, int, int]]]:
+    """The CRF's spans in each text."""
+    out: list[list[tuple[int, int, int]]] = [[] for _ in tokens.texts]
+    if not len(tokens.start):
+        return out
+    e = crf.emissions(tokens, names)
+    for first, upto in crf.open_runs(e, tokens.doc):
+        d, start, end = int(tokens.doc[first]), None, None
+        spans = zip((tokens.start[first:upto] - tokens.base[d]).tolist(), (tokens.end[first:upto] - tokens.base[d]).tolist())
+        for (a, b), label in [*zip(spans, crf.best(e[first:upto])), ((0, 0), O)]:
             if label != I and start is not None:
-                out.append((start, end, 3))
+                out[d].append((start, end, 3))
                 start = None
             if label == B:
                 start = a
             end = b
-    return [s for s in out if not any(b[0] <= s[0] and s[1] <= b[1] for b in base)]
+    return out
+
+
+def scan(texts: list[str], crf: Crf) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
+    """Base spans and all spans of each text; the CRF's spans inside a base span are left out."""
+    low = [t.lower() for t in texts]
+    bases = list(map(base_spans, texts, low))
+    added = added_spans(Tokens(texts), crf, np.fromiter(map(names_secrets, texts, low), bool, len(texts)))
+    kept = [[s for s in more if not any(b[0] <= s[0] and s[1] <= b[1] for b in base)] for base, more in zip(bases, added)]
+    return [(base, sorted([*base, *more], key=lambda s: (s[0], s[2])) if more else base) for base, more in zip(bases, kept)]
 
 
-def scan(text: str, crf: Crf) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans and all spans."""
-    base = base_spans(text)
-    return base, sorted([*base, *added_spans(text, crf, base)], key=lambda s: (s[0], s[2]))
+def scan_all(texts: Iterable[str], crf: Crf) -> Iterator[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
+    """``scan``, for about ``BLOCK_CHARS`` characters at a time."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= BLOCK_CHARS:
+            yield from scan(held, crf)
+            held, size = [], 0
+    if held:
+        yield from scan(held, crf)
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:
@@ -403,12 +487,15 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Scan each whole text, without a shuffle.
 
     Returns ``id_col``, n_assign, n_access, n_hex, base_sha256, spans, n_crf,
-    the ``passing`` columns unchanged and, with ``redacted``, redacted (the text without its secrets; null stays
-    null).  Spans are kind:start:end in code points, by start and then kind.
+    the ``passing`` columns unchanged (one with the name of a result column is
+    left out) and, with ``redacted``, redacted (the text without its secrets;
+    null stays null).  Spans are kind:start:end in code points, by start and
+    then kind.
     Null and empty texts have none.  Repeated rows each give a row, null ids
     stay null, other columns are not read, an empty table gives none.
     """
     crf = model or train()
+    passing = tuple(c for c in passing if c not in (id_col, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf", "redacted"))
     kind = dict(docs.dtypes)[id_col]
     schema = f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long" + ", redacted string" * redacted
     schema += "".join(f", `{c}` {dict(docs.dtypes)[c]}" for c in passing)
@@ -417,9 +504,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for value in column(batch, text_col):
-                text = value.as_py()
-                base, spans = scan(text or "", crf)
+            texts = column(batch, text_col).to_pylist()
+            for text, (base, spans) in zip(texts, scan_all((t or "" for t in texts), crf)):
                 n = [sum(k == j for _, _, k in spans) for j in range(4)]
                 row = [*n[:3], hashlib.sha256(written(base).encode()).hexdigest(), written(spans), n[3]]
                 rows.append([*row, redact(text, spans) if spans else text] if redacted else row)

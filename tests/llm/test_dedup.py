@@ -1,16 +1,19 @@
 import collections
 import hashlib
+import os
 import random
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from fixtures import awkward, classes, frame, kept_words, words
 from nightglass.llm import bagminhash as B
 from nightglass.llm import packed
 from nightglass.llm import recompression as R
 from nightglass.llm import textcore as tc
+from nightglass.llm.shared import materialise, scratch
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -66,6 +69,63 @@ def test_signatures_are_unbiased():
     assert abs(np.mean(errors)) < 0.008 and np.std(errors) < 0.025
 
 
+def thue_morse(n):
+    """A word over a and b, and its complement: equal under polynomial hashes modulo powers of 2."""
+    w = "a"
+    while len(w) < n:
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+def test_hot_buckets(spark, monkeypatch):
+    """Pairs of hot buckets are looked for by two buckets; heads' texts are dealt in many parts."""
+    monkeypatch.setattr(B, "HOT_BUCKET", 2)
+    monkeypatch.setattr(B, "WITH_HEAD", 3)
+    r = random.Random(6)
+    template = [f"t{i}" for i in range(60)]
+    rows = []
+    for g in range(12):  # pages of one template; each group is near itself alone
+        own = [f"g{g}w{i}" for i in range(40)]
+        for k in range(4):
+            w = template + own
+            w[60 + r.randrange(40)] = f"new{g}.{k}"
+            rows.append((100 * g + k, " ".join(w)))
+    got = {x["doc_id"]: x["class_id"] for x in B.near_duplicates(frame(spark, rows), how=B.NearDedup(star_rounds=1)).collect()}
+    assert got == classes(rows)
+
+
+def test_repeated_ids(spark):
+    """Of an id with several texts that with the least digest counts, in whatever order the rows come."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    first = min((a, b), key=lambda t: hashlib.md5(t.encode()).digest())
+    other = b if first == a else a
+    for rows in ([(5, a), (5, b), (7, first), (9, other), (9, c)], [(9, c), (9, other), (7, first), (5, b), (5, a)]):
+        got = collections.Counter((x["doc_id"], x["class_id"]) for x in B.near_duplicates(frame(spark, rows)).collect())
+        nine = min((other, c), key=lambda t: hashlib.md5(t.encode()).digest())
+        assert got == {(5, 5): 2, (7, 5): 1, (9, 9): 2}
+        assert sorted((x["doc_id"], x["text"]) for x in B.keep_one(frame(spark, rows)).collect()) == [(5, first), (9, nine)]
+
+
+def tables_left(spark):
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/nightglass"
+    return set(os.listdir(folder)) if os.path.isdir(folder) else set()
+
+
+def test_only_the_tables_that_a_result_reads_are_left(spark):
+    rows = awkward()
+    before = tables_left(spark)
+    B.near_duplicates(frame(spark, rows)).count()
+    near = tables_left(spark) - before
+    assert sorted(t.rsplit("-", 1)[0] for t in near) == ["firsts", "labels", "sketches"]
+    R.remove_repeats(frame(spark, rows)).count()
+    assert sorted(t.rsplit("-", 1)[0] for t in tables_left(spark) - before - near) == ["judged", "windows-shared"]
+    before = tables_left(spark)
+    with pytest.raises(ZeroDivisionError), scratch():
+        materialise(frame(spark, rows), "x")
+        1 / 0
+    assert tables_left(spark) == before
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(100 + r.randrange(40), 100 + r.randrange(40)) for _ in range(25)] + [(200, 300 + i) for i in range(50)]
@@ -102,6 +162,49 @@ def test_remove_repeats(spark, seed, hot, monkeypatch):
     assert all(len(words(r["kept_text"])) == r["n_words"] - r["n_removed"] for r in got)
 
 
+@pytest.mark.parametrize("size", [1024, 8192])
+def test_words_that_polynomial_hashes_confuse(spark, size):
+    x, y = thue_morse(size)
+    r = random.Random(size)
+    base = [r.choice((x, y)) for _ in range(30)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:20] + ["z"])), (3, " ".join(x if w == y else y for w in base)), (4, " ".join([x] * 13)), (5, " ".join([y] * 13))]
+    got = R.remove_repeats(frame(spark, rows)).collect()
+    assert collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == expected(rows)
+
+
+def test_few_partitions_of_many_parts(spark, monkeypatch):
+    """Places are parts of a bounded number of partitions."""
+    monkeypatch.setattr(packed, "PLACE_BYTES", 500)
+    rows = awkward(3)
+    got = R.remove_repeats(frame(spark, rows), how=R.SubstringDedup(partitions=3)).collect()
+    assert collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == expected(rows)
+    places, ids = packed.Places(3, 7), np.array([0, 1, -5, 1 << 40, -(1 << 50) + 3, 999_999_937])
+    df = spark.createDataFrame([(int(i),) for i in ids], "id long").select("id", *[c.alias(k) for k, c in places.columns(F.col("id")).items()])
+    place, sub = places.of_ids(ids)
+    assert {r["id"]: (r["place"], r["sub"]) for r in df.collect()} == {int(i): (int(p), int(q)) for i, p, q in zip(ids, place, sub)}
+
+
+def test_names_of_two_words():
+    names = np.array([[7, 1], [7, 2], [5, 9], [7, 1], [5, 9]], np.uint64)
+    got, least, most, n = packed._combined(names, np.array([4, 5, 6, 2, 6]))
+    assert {tuple(k): (a, b, c) for k, a, b, c in zip(got.tolist(), least, most, n)} == {(7, 1): (2, 4, 2), (7, 2): (5, 5, 1), (5, 9): (6, 6, 2)}
+    table = got[np.argsort(got[:, 0], kind="stable")]
+    at, there = packed.found_names(table, np.array([[7, 2], [7, 1], [7, 3], [5, 9], [5, 1], [9, 9]], np.uint64))
+    assert there.tolist() == [True, True, False, True, False, False] and table[at[there]].tolist() == [[7, 2], [7, 1], [5, 9]]
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(20)) for x in "ab")
+    got = R.remove_repeats(frame(spark, [(1, a), (2, a), (2, b)])).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(1, 0), (2, 0), (2, 20)]
+
+
+def test_passing_columns_with_names_of_results(spark):
+    rows = frame(spark, [(1, "a b")]).withColumnsRenamed({"lang": "n_words", "source": "kept_text"})
+    got = R.remove_repeats(rows, passing=("n_words", "kept_text", "n_tokens"), with_text=True)
+    assert got.columns == ["doc_id", "n_words", "n_removed", "kept_sha256", "n_tokens", "kept_text"] and got.first()["n_words"] == 2
+
+
 def test_remove_repeats_few_words(spark):
     """Runs and periods: texts over one, two and three words."""
     r = random.Random(9)
