@@ -9,14 +9,17 @@ wings explain.  Kron radii and elliptical fluxes follow from the moments.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from nightglass import schemas as S
+from nightglass.sources import scan
 
 NAMES = [c.split()[0] for c in S.STARS.split(", ")]
 
@@ -173,15 +176,19 @@ def _measure(image: np.ndarray, y0: int, x0: int, mask: np.ndarray, threshold: f
 
 
 def _cleaned(stars: list[dict], threshold: float, how: Detection) -> list[dict]:
-    """Without the stars whose mean lies under the wing, a Moffat profile, of a brighter neighbour."""
-    out = []
+    """Without the stars whose mean lies under the wing, a Moffat profile, of a brighter neighbour.
+
+    A wing is looked at within three of its star's ellipses.  Kept stars are
+    listed in the cells that they reach, so that a star is compared with its
+    neighbours only.
+    """
+    out: list[dict] = []
+    cell = max(4.0, 3 * float(np.median([s["a"] for s in stars]))) if stars else 4.0
+    cells: dict[tuple[int, int], list[dict]] = {}
     for s in sorted(stars, key=lambda s: -s["flux"]):
         hidden = False
-        for t in out:
-            reach = 10 * t["a"]
+        for t in cells.get((int(s["y"] // cell), int(s["x"] // cell)), ()):
             dx, dy = s["x"] - t["x"], s["y"] - t["y"]
-            if abs(dx) > reach or abs(dy) > reach:
-                continue
             cxx, cyy, cxy = t["_form"]
             r2 = cxx * dx * dx + cyy * dy * dy + cxy * dx * dy
             wing = (t["peak"] - threshold) / (1 + how.clean * r2) ** 2.5
@@ -190,6 +197,10 @@ def _cleaned(stars: list[dict], threshold: float, how: Detection) -> list[dict]:
                 break
         if not hidden:
             out.append(s)
+            reach = 3 * s["a"]
+            for i in range(int((s["y"] - reach) // cell), int((s["y"] + reach) // cell) + 1):
+                for j in range(int((s["x"] - reach) // cell), int((s["x"] + reach) // cell) + 1):
+                    cells.setdefault((i, j), []).append(s)
     return out
 
 
@@ -221,14 +232,22 @@ def detect(image: np.ndarray, level: float, noise: float, how: Detection = Detec
     return sorted(kept, key=lambda s: (s["y"], s["x"]))
 
 
+def found_in(image: np.ndarray, how: Detection) -> tuple[dict, list[dict]]:
+    """The background of a frame of finite pixels, and its stars as rows of ``schemas.STAR_LIST``."""
+    level = background(image, how)
+    found = detect(image, level["median"], level["rms"], how)
+    if how.max_stars is not None:
+        found = sorted(found, key=lambda s: -s["flux"])[: how.max_stars]
+    return level, [{"star_idx": i} | {k: v for k, v in s.items() if k in NAMES} for i, s in enumerate(found)]
+
+
 def detect_stars(images: DataFrame, how: Detection = Detection()) -> DataFrame:
-    """(frame_id, background, stars) of each image row (path, width, height, pixels, status).
+    """(path, frame_id, status, background, stars) of each image row (path, width, height, pixels, status).
 
     Frames that failed, or with a pixel that isn't finite, have no stars and no
     background.  One frame is in a worker's memory at a time; no shuffle.
     """
-    schema = f"frame_id string, status string, background {S.BACKGROUND}, stars array<struct<{','.join(':'.join(c.split()) for c in S.STARS.split(', ')[1:])}>>"
-    kinds = images.sparkSession.createDataFrame([], schema).schema
+    kinds = images.sparkSession.createDataFrame([], S.DETECTED).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -237,24 +256,46 @@ def detect_stars(images: DataFrame, how: Detection = Detection()) -> DataFrame:
         for batch in batches:
             cols = [batch.column(batch.schema.get_field_index(c)) for c in ("path", "width", "height", "pixels", "status")]
             for path, w, h, pixels, status in zip(*cols):
-                name = path.as_py().rstrip("/").rsplit("/", 1)[-1] or "unknown"
-                row = {"frame_id": name, "status": status.as_py(), "background": None, "stars": []}
+                row = {"path": path.as_py(), "frame_id": frame_id(path.as_py()), "status": status.as_py(), "background": None, "stars": []}
                 if row["status"] == "ok":
                     px = pixels.values.to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
                     if np.isfinite(px).all():
-                        image = px.reshape(h.as_py(), w.as_py())
-                        row["background"] = background(image, how)
-                        found = detect(image, row["background"]["median"], row["background"]["rms"], how)
-                        if how.max_stars is not None:
-                            found = sorted(found, key=lambda s: -s["flux"])[: how.max_stars]
-                        row["stars"] = [{"star_idx": i} | {k: v for k, v in s.items() if k in NAMES} for i, s in enumerate(found)]
+                        row["background"], row["stars"] = found_in(px.reshape(h.as_py(), w.as_py()), how)
                     else:
                         row["status"] = "nonfinite"
                 yield pa.RecordBatch.from_pylist([row], arrow)
 
-    return images.select("path", "width", "height", "pixels", "status").mapInArrow(run, schema)
+    return images.select("path", "width", "height", "pixels", "status").mapInArrow(run, S.DETECTED)
+
+
+def frame_id(path: str) -> str:
+    """The path's last part, or 'unknown'."""
+    return path.rstrip("/").rsplit("/", 1)[-1] or "unknown"
+
+
+def frame_row(path: str, data: bytes, how: Detection = Detection()) -> dict:
+    """One row of ``read_frames``."""
+    began = time.perf_counter()
+    row = scan.decode_header(path, data)
+    headed = time.perf_counter()
+    image = scan.decode_image(path, data)
+    loaded = time.perf_counter()
+    row |= {"image_status": image["status"], "image_error": image["error"], "width": image["width"], "height": image["height"], "pixel_stats": None, "nonfinite": None, "background": None, "stars": []}
+    if image["status"] == "ok":
+        px = np.asarray(image["pixels"], np.float32)
+        good = px[np.isfinite(px)].astype(np.float64)
+        row["pixel_stats"] = {"min": float(good.min()) if len(good) else None, "max": float(good.max()) if len(good) else None, "mean": float(good.sum() / len(px)) if len(px) else None}
+        row["nonfinite"] = len(good) < len(px)
+        if not row["nonfinite"] and len(px):
+            row["background"], row["stars"] = found_in(px.reshape(row["height"], row["width"]), how)
+    return row | {"header_seconds": headed - began, "load_seconds": loaded - headed, "detect_seconds": time.perf_counter() - loaded}
+
+
+def read_frames(spark: SparkSession, path: str, how: Detection = Detection(), recursive: bool = True) -> DataFrame:
+    """Header, pixel statistics, background, stars and seconds of each file under ``path``, read and decoded once."""
+    return scan.decoded(spark, path, partial(frame_row, how=how), S.FRAME, recursive)
 
 
 def star_table(detected: DataFrame) -> DataFrame:
     """A row for each star."""
-    return detected.selectExpr("frame_id", "explode(stars) AS s").selectExpr("frame_id", "s.*")
+    return detected.selectExpr("path", "frame_id", "explode(stars) AS s").selectExpr("path", "frame_id", "s.*")

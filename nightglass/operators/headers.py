@@ -18,8 +18,11 @@ from nightglass.functions.scalars import col
 def header_map(cards: Column | str) -> Column:
     """Keyword to value of an array of cards in order; cards without a value are skipped, the last of a keyword stays."""
     some = F.filter(col(cards), lambda c: c["value"].isNotNull())
-    empty = F.expr("cast(map() as map<string,string>)")
-    return F.aggregate(some, empty, lambda m, c: F.map_concat(F.map_filter(m, lambda k, v: k != c["keyword"]), F.create_map(c["keyword"], c["value"])))
+    # sorted by keyword and place, an entry stays that the next one doesn't replace
+    placed = F.array_sort(F.transform(some, lambda c, i: F.struct(c["keyword"].alias("keyword"), i.alias("at"), c["value"].alias("value"))))
+    after = F.concat(F.slice(F.transform(placed, lambda e: e["keyword"]), F.lit(2), F.greatest(F.size(placed) - 1, F.lit(0))), F.array(F.lit(None).cast("string")))
+    paired = F.filter(F.arrays_zip(placed.alias("e"), after.alias("after")), lambda p: p["e"].isNotNull() & ~p["after"].eqNullSafe(p["e"]["keyword"]))
+    return F.map_from_entries(F.transform(paired, lambda p: F.struct(p["e"]["keyword"], p["e"]["value"])))
 
 
 def last_values(cards: DataFrame, file: str, order: Sequence[str], keyword: str = "keyword", value: str = "value") -> DataFrame:

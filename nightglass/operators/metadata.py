@@ -224,7 +224,10 @@ def xisf_metadata(scan: DataFrame, xml: str = "xml") -> DataFrame:
 
 
 def metadata(scan: DataFrame) -> DataFrame:
-    """Metadata of a scan of both formats, each row by its own dialect."""
-    fits = fits_metadata(scan.filter("format = 'fits'"))
-    xisf = xisf_metadata(scan.filter("format = 'xisf'"))
-    return fits.unionByName(xisf)
+    """Metadata of a scan of both formats, each row by its own dialect, in one projection, so that files are read once."""
+    is_fits, xml = F.col("format") == "fits", F.col("xml")
+    df = scan.withColumn("cards", F.when(is_fits, F.col("cards")).otherwise(H.xisf_cards("xml")))
+    df = df.withColumn("raw_headers", H.header_map(F.filter("cards", lambda c: c["hdu_index"] == 0)))
+    groups = {g: F.when(is_fits, fits_group("raw_headers", g, F.col("shape"))).otherwise(xisf_group("cards", g, xml)) for g in FIELDS}
+    only = {"xisf": F.when(~is_fits, xisf_container(xml)), "color_management": F.when(~is_fits, color_management(xml)), "attachments": F.when(is_fits, F.expr(f"cast(array() as {S.ATTACHMENTS})")).otherwise(attachments(xml))}
+    return _with_session(df.withColumns(groups | only))

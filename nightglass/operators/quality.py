@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,13 +44,14 @@ def quality_scores(frames: DataFrame, weights: QualityWeights = QualityWeights()
     return frames.withColumns(made)
 
 
-def frame_metrics(frames: DataFrame, path: str, weights: QualityWeights = QualityWeights()) -> DataFrame:
-    """(frame_id, star_stats, background, scores) with three structs."""
+def frame_metrics(frames: DataFrame, path: str, weights: QualityWeights = QualityWeights(), keep: Sequence[str] = ()) -> DataFrame:
+    """The ``keep`` columns, frame_id, star_stats, background and scores, the last three as structs; a row for each of ``frames``."""
     from nightglass.functions.text import frame_id
     from nightglass.operators.stars import STATS
 
     scored = quality_scores(frames, weights)
     return scored.select(
+        *keep,
         frame_id(path).alias("frame_id"),
         F.struct("count", *STATS).alias("star_stats"),
         F.struct(*[F.col(f"bg_{c}").alias(c) for c in ("median", "rms", "min", "max", "uniformity")]).alias("background"),

@@ -28,28 +28,37 @@ class ReportError(RuntimeError):
 
 
 def score_frames(images: DataFrame, weights: X.QualityWeights = X.QualityWeights(), how: D.Detection = D.Detection()) -> DataFrame:
-    """Images to (frame_id, star_stats, background, scores): detection, statistics of each frame, scores.
+    """Images to (path, frame_id, star_stats, background, scores): detection, statistics of each frame, scores.
 
-    Each frame's stars travel as one row until they are exploded, so the one
-    shuffle moves star rows and no pixels.
+    Frames are told apart by path; files of one name in two folders are two
+    frames.  A frame's stars stay in its row, so nothing is shuffled.
     """
-    found = D.detect_stars(images, how).withColumn("count_all", F.size("stars"))
-    frames = found.filter("background IS NOT NULL").select("frame_id", *[F.col(f"background.{c}").cast("double").alias(f"bg_{c}") for c in ("median", "rms", "min", "max", "uniformity")])
-    stars = D.star_table(found).withColumn("snr", X.star_snr("flux", "flux_auto", "fluxerr_auto"))
-    stats = ST.with_starless(frames, ST.star_stats(stars, "frame_id", how.max_stars, ["star_idx"]), "frame_id")
-    return Q.frame_metrics(frames.join(stats, "frame_id"), "frame_id", weights)
-
-
-def frame_report(spark: SparkSession, path: str, max_stars: int | None = None) -> DataFrame:
-    """One row for each file: metadata figures, pixel statistics, whether pixels are finite, and the frame's scores."""
-    meta = M.metadata(scan.read_headers(spark, path, recursive=False).filter("status = 'ok'"))
-    scale = X.plate_scale("detector.pixel_size", "equipment.focal_length")
-    figures = meta.select("path", "exposure.object_name", "exposure.exposure_time", "filter.name", scale.alias("plate_scale"), X.field_of_view("detector.width", "detector.height", scale).alias("field_of_view"))
-    images = scan.read_images(spark, path, recursive=False)
-    pixels = images.select("path", "width", "height", "status", "error", P.pixel_stats("pixels").alias("pixel_stats"), P.has_nonfinite("pixels").alias("nonfinite"))
-    scored = score_frames(images, how=D.Detection(max_stars=max_stars))
-    named = pixels.withColumn("frame_id", F.element_at(F.split("path", "/"), -1))
-    return named.join(figures, "path", "left").join(scored, "frame_id", "left")
+    return frame_scores(D.detect_stars(images, how), weights)
+
+
+def frame_scores(found: DataFrame, weights: X.QualityWeights = X.QualityWeights()) -> DataFrame:
+    """(path, frame_id, star_stats, background, scores) of rows of (path, background, stars) that have a background."""
+    frames = found.filter("background IS NOT NULL").select("path", *[F.col(f"background.{c}").cast("double").alias(f"bg_{c}") for c in ("median", "rms", "min", "max", "uniformity")], *[v.alias(k) for k, v in ST.array_stats("stars").items()])
+    return Q.frame_metrics(frames, "path", weights, keep=["path"])
+
+
+def frame_report(spark: SparkSession, path: str, max_stars: int | None = None, recursive: bool = False) -> DataFrame:
+    """One row for each file: metadata figures, pixel statistics, whether pixels are finite, the frame's scores, and the seconds of its stages.
+
+    Each file is read and decoded once, and nothing is shuffled.
+    """
+    frames = M.metadata(D.read_frames(spark, path, D.Detection(max_stars=max_stars), recursive))
+    headed, scale = F.col("status") == "ok", X.plate_scale("detector.pixel_size", "equipment.focal_length")
+    stats = ST.array_stats("stars")
+    columns = {f"bg_{c}": F.col(f"background.{c}").cast("double") for c in ("median", "rms", "min", "max", "uniformity")} | stats
+    figures = {"object_name": "exposure.object_name", "exposure_time": "exposure.exposure_time", "filter_name": "filter.name"}
+    named = frames.select(
+        "path", "width", "height", F.coalesce("image_status", "status").alias("status"), F.coalesce("image_error", "error").alias("error"), "pixel_stats", "nonfinite", *[F.when(headed, F.col(c)).alias(k) for k, c in figures.items()],
+        F.when(headed, scale).alias("plate_scale"), F.when(headed, X.field_of_view("detector.width", "detector.height", scale)).alias("field_of_view"), "header_seconds", "load_seconds", "detect_seconds", F.col("background").isNotNull().alias("searched"), *[v.alias(k) for k, v in columns.items()],
+    )
+    kept = ["path", "width", "height", "status", "error", "pixel_stats", "nonfinite", *figures, "plate_scale", "field_of_view", "header_seconds", "load_seconds", "detect_seconds", "searched"]
+    scored = Q.frame_metrics(named, "path", keep=kept)
+    return scored.select("frame_id", *(c for c in kept if c != "searched"), *[F.when(F.col("searched"), F.col(c)).alias(c) for c in ("star_stats", "background", "scores")])
 
 
 @dataclass

@@ -24,4 +24,7 @@ METADATA = {
 SCAN = f"path string, format string, status string, error string, shape array<int>, cards {CARDS}, xml string"
 IMAGE = "path string, width int, height int, pixels array<float>, status string, error string"
 STARS = "frame_id string, star_idx int, x double, y double, flux float, peak float, a float, b float, theta float, eccentricity float, fwhm float, kron_radius float, flux_auto float, fluxerr_auto float, npix int, elongation float, flag int"
+STAR_LIST = f"array<struct<{','.join(':'.join(c.split()) for c in STARS.split(', ')[1:])}>>"
 BACKGROUND = "struct<median:float,rms:float,min:float,max:float,uniformity:float>"
+DETECTED = f"path string, frame_id string, status string, background {BACKGROUND}, stars {STAR_LIST}"
+FRAME = f"{SCAN}, image_status string, image_error string, width int, height int, pixel_stats struct<min:double,max:double,mean:double>, nonfinite boolean, background {BACKGROUND}, stars {STAR_LIST}, header_seconds double, load_seconds double, detect_seconds double"

@@ -122,17 +122,21 @@ def _listed(spark: SparkSession, path: str, local: str, recursive: bool) -> Data
     return spark.createDataFrame(rows, "path string, denied string").filter(is_supported("path") | F.col("denied").isNotNull())
 
 
-def read_headers(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """Header cards or XML of every supported file, both formats, a row each.
+def decoded(spark: SparkSession, path: str, decode, schema: str, recursive: bool = True, sliced: bool = False) -> DataFrame:
+    """A row of ``decode(path, data)`` for each supported file; one file is in memory at once.
 
     Local files are opened in the tasks, and those and folders without
-    permission are rows with the status skipped; other stores are read by
-    Spark, which raises there.
+    permission are rows with the status skipped; ``sliced`` reads only what is
+    sliced of ``data``.  Other stores are read by Spark, which raises there.
     """
     if local := _local(spark, path):
-        return _opened(_listed(spark, path, local, recursive), decode_header, _Slices, S.SCAN)
-    files = _files(spark, path, recursive).filter(is_supported("path"))
-    return _mapped(files, decode_header, S.SCAN)
+        return _opened(_listed(spark, path, local, recursive), decode, _Slices if sliced else lambda file: file.read(), schema)
+    return _mapped(_files(spark, path, recursive).filter(is_supported("path")), decode, schema)
+
+
+def read_headers(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+    """Header cards or XML of every supported file, both formats, a row each; pixels of local files are skipped."""
+    return decoded(spark, path, decode_header, S.SCAN, recursive, sliced=True)
 
 
 class _Slices:
@@ -186,11 +190,8 @@ def stream_images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """Pixels of every supported file's primary image; permissions as in ``read_headers``."""
-    if local := _local(spark, path):
-        return _opened(_listed(spark, path, local, recursive), decode_image, lambda file: file.read(), S.IMAGE)
-    files = _files(spark, path, recursive).filter(is_supported("path"))
-    return _mapped(files, decode_image, S.IMAGE)
+    """Pixels of every supported file's primary image."""
+    return decoded(spark, path, decode_image, S.IMAGE, recursive)
 
 
 def card_table(headers: DataFrame, hdu: int | None = None) -> DataFrame:
