@@ -82,16 +82,17 @@ def flatten(records: DataFrame, file: str, columns: list[str] | None = None) ->
     return rows.select("file", F.explode(marked).alias("e")).select("file", "e.element", "e.value", "e.first")
 
 
-def _files_by_element(long: DataFrame, file: str, element: str) -> DataFrame:
+def _files_by_element(long: DataFrame, file: str, element: str, *more: Column) -> DataFrame:
     """Files that have each element; a table without ``first`` may hold copies, which cost a distinct."""
-    once = long.filter("first") if "first" in long.columns else long.select(file, element).distinct()
-    return once.groupBy(F.col(element).alias("metadata_element")).agg(F.count(F.lit(1)).alias("files"))
+    once = long.filter("first") if "first" in long.columns else long.dropDuplicates([file, element])
+    return once.groupBy(F.col(element).alias("metadata_element")).agg(F.count(F.lit(1)).alias("files"), *more)
 
 
-def element_presence(long: DataFrame, files: int | Column, file: str = "file", element: str = "element") -> DataFrame:
-    """(metadata_element, files, percent_of_files), one row for each element."""
-    total = F.lit(files) if isinstance(files, int) else files
-    return _files_by_element(long, file, element).withColumn("percent_of_files", X.format_percentage(X.percentage(F.col("files"), total)))
+def element_presence(long: DataFrame, files: int | str, file: str = "file", element: str = "element") -> DataFrame:
+    """(metadata_element, files, percent_of_files), one row for each element; ``files``: how many there are, or the column that says so."""
+    held = _files_by_element(long, file, element, *([F.max(files).alias("all")] if isinstance(files, str) else []))
+    total = F.col("all") if isinstance(files, str) else F.lit(files)
+    return held.select("metadata_element", "files", X.format_percentage(X.percentage(F.col("files"), total)).alias("percent_of_files"))
 
 
 def tracked(long: DataFrame, varying: tuple[str, ...] = VARYING, element: str = "element") -> DataFrame:

@@ -156,9 +156,9 @@ SCORE_SQL = {
 NAMES = [f"{p}_score" for p in X.PARTS] + ["overall_score"]
 
 
-def scored_sql(w: X.QualityWeights) -> str:
+def scored_sql(w: X.QualityWeights, measured: str = MEASURED) -> str:
     total = sum(getattr(w, p) for p in X.PARTS)
-    parts = f"SELECT *, {', '.join(f'{v} AS {k}_score' for k, v in SCORE_SQL.items())} FROM ({MEASURED}) AS m"
+    parts = f"SELECT *, {', '.join(f'{v} AS {k}_score' for k, v in SCORE_SQL.items())} FROM ({measured}) AS m"
     overall = " + ".join(f"{p}_score * {getattr(w, p)!r}" for p in X.PARTS)
     return f"SELECT *, ({overall}) / {total!r} AS overall_score FROM ({parts}) AS p"
 
@@ -245,14 +245,17 @@ def pixel_stats(spark, sf_dir):
     return made.select("frame", *[r6(f"s.{c}").alias(c) for c in ("min", "max", "mean")])
 
 
-@query(f"SELECT frame, bool_or(isnan(value) OR isinf(value)) AS nonfinite FROM ({FLAT}) AS f GROUP BY frame")
+@query("SELECT vec_id AS frame, vec_id % 7 IN (1, 2, 3) AND len(embedding) > 5 AS nonfinite FROM embeddings")
 def nonfinite_gate(spark, sf_dir):
-    return images(spark, sf_dir).select("frame", P.has_nonfinite("pixels").alias("nonfinite"))
+    """A NaN, an infinity or its negative in the sixth pixel of some frames."""
+    odd = F.element_at(F.array(*[F.lit(float(x)) for x in ("nan", "inf", "-inf")]), (F.col("frame") % 7).cast("int"))
+    some = images(spark, sf_dir).withColumn("pixels", F.transform("pixels", lambda p, i: F.when((F.col("frame") % 7).between(1, 3) & (i == 5), odd).otherwise(p.cast("double"))))
+    return some.select("frame", P.has_nonfinite("pixels").alias("nonfinite"))
 
 
 @query(f"""SELECT frame, (i // 8 // 4)::INT AS cell_y, (i % 8 // 4)::INT AS cell_x, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS rms, round(min(value), 6) AS min, round(max(value), 6) AS max
   FROM ({FLAT}) AS f GROUP BY ALL""")
-def background_mesh(spark, sf_dir):
+def background_cells(spark, sf_dir):
     return rounded(P.background_cells(images(spark, sf_dir), "frame", "pixels", 8, 4), "mean", "rms", "min", "max")
 
 
@@ -316,11 +319,11 @@ def alias_int(spark, sf_dir):
     return maps(spark, sf_dir).select("file", H.first_integer("header", ["view", "click"]).alias("value"))
 
 
-@query(f"""SELECT file, card_index, keyword, value FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY card_index DESC) AS k FROM ({CARDS}) AS c WHERE keyword IN ('click', 'view') AND value IS NOT NULL) AS d WHERE k = 1""")
+@query(f"SELECT c.file, d.value FROM (SELECT DISTINCT file FROM ({CARDS}) AS a) AS c LEFT JOIN (SELECT file, arg_max(value, card_index) AS value FROM ({CARDS}) AS b WHERE keyword IN ('click', 'view') AND value IS NOT NULL GROUP BY file) AS d ON d.file = c.file")
 def xisf_dispatch(spark, sf_dir):
-    some = cards(spark, sf_dir).filter("keyword IN ('click', 'view') AND value IS NOT NULL")
-    last = some.groupBy("file").agg(F.max(F.struct("card_index", "keyword", "value")).alias("m"))
-    return last.select("file", "m.*")
+    """The last card of two keywords, in the document's order, of each file's cards as an array."""
+    some = F.filter(F.array_sort(F.collect_list(F.struct("card_index", "keyword", "value"))), lambda c: c["value"].isNotNull())
+    return cards(spark, sf_dir).groupBy("file").agg(some.alias("cards")).select("file", H.last_of("cards", ["click", "view"]).alias("value"))
 
 
 # part as headers of files: a keyword a column
@@ -333,6 +336,8 @@ def part_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "TELESCOP": s("p_name"), "FOCALLEN": s("p_size"), "APERTURE": F.when(F.col("p_size") % 5 == 0, F.lit("0")).otherwise(F.lit("80")), "INSTRUME": F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("reducer "), "p_brand")).otherwise(F.col("p_brand")),
         "NAXIS1": s("p_partkey"), "XBINNING": F.when(F.col("p_size") % 2 == 0, F.lit("2")), "FOCUSPOS": s("p_size"), "OBJECT": s("p_type"), "EXPTIME": s("p_size"), "RA": s("p_size"), "DEC": s("p_size"),
         "PIERSIDE": F.when(F.col("p_size") % 3 == 0, F.lit("West")), "MFLIP": F.when(F.col("p_size") % 3 == 1, F.lit("1")), "NINA-VERSION": F.when(F.col("p_size") % 7 == 0, s("p_size")), "EKOS-VERSION": F.when(F.col("p_size") % 7 == 1, s("p_size")), "SWCREATE": F.when(F.col("p_size") % 2 == 0, F.col("p_brand")), "SQM": F.when(F.col("p_size") % 7 == 2, F.lit("21")),
+        "FILTER": s("p_brand"), "FILTERID": F.when(F.col("p_size") % 3 == 0, F.lit("")), "FLTPOS": F.when(F.col("p_size") % 5 != 1, s("p_size")), "WAVELEN": F.when(F.col("p_size") % 2 == 0, F.concat(s("p_size"), F.lit(".5"))),
+        "CTYPE1": F.lit("RA---TAN"), "CRPIX1": F.when(F.col("p_size") % 4 == 0, s("p_size")), "CRVAL2": F.when(F.col("p_size") % 4 == 1, F.concat(F.lit("-"), s("p_size"), F.lit("e-1"))), "CD1_1": F.lit("0.25"), "crval1": F.lit("7"),
     }
     pairs = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in entries.items()])
     return p.select("p_partkey", F.map_from_entries(F.filter(pairs, lambda e: e["value"].isNotNull())).alias("header"))
@@ -357,6 +362,21 @@ def meta_exposure(spark, sf_dir):
     return made.select("p_partkey", "e.object_name", "e.ra", "e.dec", F.col("e.exposure_time").cast("double").alias("exposure_time"))
 
 
+@query(f"SELECT p_partkey, p_brand AS name, CASE WHEN p_size % 5 <> 1 THEN p_size END::BIGINT AS position, CASE WHEN p_size % 2 = 0 THEN p_size + 0.5 END::DOUBLE AS wavelength FROM ({PART}) AS p")
+def meta_filter(spark, sf_dir):
+    """An empty alias doesn't count, so the next one gives the position."""
+    made = part_headers(spark, sf_dir).select("p_partkey", M.fits_group("header", "filter").alias("f"))
+    return made.select("p_partkey", "f.name", "f.position", F.col("f.wavelength").cast("double").alias("wavelength"))
+
+
+@query(f"""SELECT p_partkey, p_size % 4 < 2 AS has_wcs, CASE WHEN p_size % 4 < 2 THEN 'RA---TAN' END AS ctype1, CASE WHEN p_size % 4 = 0 THEN p_size END::DOUBLE AS crpix1, CASE WHEN p_size % 4 = 1 THEN round(-p_size / 10.0, 6) END::DOUBLE AS crval2,
+  CASE WHEN p_size % 4 < 2 THEN 0.25 END::DOUBLE AS cd1_1, CASE WHEN p_size % 4 < 2 THEN 7 END::DOUBLE AS crval1 FROM ({PART}) AS p""")
+def meta_wcs(spark, sf_dir):
+    """The gate is in exact case, the lookup isn't."""
+    made = part_headers(spark, sf_dir).select("p_partkey", M.fits_group("header", "wcs").alias("w"))
+    return made.select("p_partkey", F.col("w").isNotNull().alias("has_wcs"), "w.ctype1", "w.crpix1", r6("w.crval2").alias("crval2"), "w.cd1_1", "w.crval1")
+
+
 @query(f"SELECT p_partkey, p_size % 3 <> 2 AS has_mount, CASE WHEN p_size % 3 = 0 THEN 'West' END AS pier_side, CASE WHEN p_size % 3 = 1 THEN true END AS meridian_flip FROM ({PART}) AS p")
 def gated_struct(spark, sf_dir):
     made = part_headers(spark, sf_dir).select("p_partkey", M.fits_group("header", "mount").alias("m"))
@@ -422,6 +442,21 @@ def plate_scale(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", r6(X.plate_scale("p_size", "p_retailprice")).alias("plate_scale"))
 
 
+@query("SELECT p_partkey, p_size % 3 <> 0 AND p_size % 5 <> 0 AS possible FROM part")
+def can_calculate_plate_scale(spark, sf_dir):
+    unless = lambda n: F.when(F.col("p_size") % n != 0, F.col("p_retailprice"))
+    return table(spark, sf_dir, "part").select("p_partkey", X.can_calculate_plate_scale(unless(3), unless(5)).alias("possible"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity AS median, l_discount AS rms, CASE WHEN l_linenumber % 2 = 0 THEN 0.0 ELSE least(l_quantity, l_tax) END AS min, CASE WHEN l_linenumber % 2 = 0 THEN 0.0 ELSE l_quantity END AS max,
+  round(CASE WHEN l_linenumber % 2 = 0 OR l_quantity <= 0 THEN 1.0 ELSE 1 - (l_quantity - least(l_quantity, l_tax)) / l_quantity END, 6) AS uniformity FROM lineitem""")
+def background_constructors(spark, sf_dir):
+    """A background of two figures, and one of a mesh."""
+    quantity, tax = F.col("l_quantity"), F.least("l_quantity", "l_tax")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.when(F.col("l_linenumber") % 2 == 0, Q_.background(quantity, F.col("l_discount"))).otherwise(Q_.background(quantity, F.col("l_discount"), tax, quantity)).alias("b"))
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "b.median", "b.rms", "b.min", "b.max", r6("b.uniformity").alias("uniformity"))
+
+
 @query("SELECT p_partkey, round(4096 * (p_size::DOUBLE / p_retailprice * 206.265) / 60, 6) AS width, round(2160 * (p_size::DOUBLE / p_retailprice * 206.265) / 60, 6) AS height FROM part")
 def field_of_view(spark, sf_dir):
     fov = X.field_of_view(F.lit(4096), F.lit(2160), X.plate_scale("p_size", "p_retailprice"))
@@ -469,13 +504,14 @@ def geometry(spark, sf_dir):
     return made.filter("g IS NOT NULL").select("p_partkey", "g.width", "g.height")
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'it''s ' || event_type ELSE event_type END AS value, CASE WHEN event_id % 3 = 0 THEN 'ESO ' || event_type ELSE upper(substr(event_type, 1, 8)) END AS keyword FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'it''s ' || event_type ELSE event_type END AS value,
+  CASE event_id % 3 WHEN 0 THEN 'HIERARCH ESO ' || event_type WHEN 1 THEN 'HIERARCH' ELSE upper(substr(event_type, 1, 8)) END AS keyword FROM events""")
 def card_fields(spark, sf_dir):
-    ev = table(spark, sf_dir, "events")
+    """Values with and without quotes; keywords of plain cards and of HIERARCH cards with and without a value."""
+    ev, kind = table(spark, sf_dir, "events"), F.col("event_id") % 3
     raw = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(" 'it''s "), "event_type", F.lit("   ' "))).otherwise(F.concat(F.lit("  "), "event_type", F.lit("  ")))
-    card = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("HIERARCH"), F.lit("="), F.lit(" 1"))).otherwise(F.rpad(F.upper("event_type"), 80, " "))
-    keyword = F.when(F.col("event_id") % 3 == 0, F.concat(F.regexp_replace(T.card_keyword(card), "HIERARCH", "ESO "), "event_type")).otherwise(T.card_keyword(card))
-    return ev.select("event_id", T.clean_card_value(raw).alias("value"), keyword.alias("keyword"))
+    card = F.when(kind == 0, F.concat(F.lit("HIERARCH ESO "), "event_type", F.lit(" = 1"))).when(kind == 1, F.concat(F.lit("HIERARCH "), "event_type")).otherwise(F.rpad(F.upper("event_type"), 80, " "))
+    return ev.select("event_id", T.clean_card_value(raw).alias("value"), T.card_keyword(card).alias("keyword"))
 
 
 # --- profiles: customer and part as metadata records
@@ -497,8 +533,9 @@ def flatten_long(spark, sf_dir):
 
 @query(f"SELECT element AS metadata_element, count(DISTINCT file) AS files, printf('%.6f', count(DISTINCT file)::DOUBLE / (SELECT count(*) FROM customer) * 100) AS percent_of_files FROM ({LONG_SQL}) AS l GROUP BY element")
 def element_presence(spark, sf_dir):
-    files = table(spark, sf_dir, "customer").count()
-    return R.element_presence(R.flatten(records(spark, sf_dir), "path"), files)
+    files = table(spark, sf_dir, "customer").agg(F.count(F.lit(1)).alias("all"))
+    long = R.flatten(records(spark, sf_dir), "path").join(F.broadcast(files))  # one row
+    return R.element_presence(long, "all")
 
 
 VALUES = f"SELECT element AS metadata_element, value, count(DISTINCT file) AS files FROM ({LONG_SQL}) AS l WHERE element <> 'exposure.ra' GROUP BY element, value"
@@ -514,6 +551,19 @@ def value_tracking_filter(spark, sf_dir):
     return R.tracked(R.flatten(records(spark, sf_dir), "path")).drop("first")
 
 
+@query("""SELECT * FROM (SELECT p_partkey AS file, 'v.price' AS element, CASE WHEN p_size % 5 > 1 THEN p_retailprice::VARCHAR END AS value FROM part UNION ALL SELECT p_partkey, 'v.text', CASE WHEN p_size % 2 = 0 THEN trim(p_name) END FROM part
+  UNION ALL SELECT p_partkey, 'v.blob', '<binary>' FROM part UNION ALL SELECT p_partkey, 'v.flag', CASE WHEN p_size % 3 = 0 THEN 'true' WHEN p_size % 3 = 1 THEN 'false' END FROM part
+  UNION ALL SELECT p_partkey, 'list[].k', p_brand FROM part UNION ALL SELECT p_partkey, 'map.' || p_brand, 'x' FROM part) AS l WHERE value IS NOT NULL""")
+def sanitize(spark, sf_dir):
+    """NaN, infinities and blank texts are left out, bytes are named, copies inside a list count once."""
+    p, size = table(spark, sf_dir, "part"), F.col("p_size")
+    price = F.when(size % 5 == 0, F.lit(float("nan"))).when(size % 5 == 1, F.lit(float("-inf"))).otherwise(F.col("p_retailprice"))
+    text = F.when(size % 2 == 0, F.concat(F.lit(" "), "p_name", F.lit("\t"))).otherwise(F.lit("  \n"))
+    flag = F.when(size % 3 == 0, F.lit(True)).when(size % 3 == 1, F.lit(False))
+    made = p.select(F.col("p_partkey").alias("path"), F.struct(price.alias("price"), text.alias("text"), F.col("p_name").cast("binary").alias("blob"), flag.alias("flag")).alias("v"), F.array(*[F.struct(F.col("p_brand").alias("k"))] * 2).alias("list"), F.create_map("p_brand", F.lit("x")).alias("map"), F.lit("z").alias("xml"))
+    return R.flatten(made, "path").drop("first")
+
+
 @query("SELECT o_orderstatus AS status, count(*) AS files FROM orders GROUP BY o_orderstatus")
 def run_summary(spark, sf_dir):
     return R.run_summary(table(spark, sf_dir, "orders"), "o_orderstatus")

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import re
 import sys
 from dataclasses import dataclass
-from typing import Any
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from nightglass.functions import scalars as X
@@ -116,36 +116,75 @@ def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias("json"))
 
 
-def dump(row: Row | dict[str, Any]) -> str:
-    """One file's metadata as text, in the schema's order; nulls are left out, and a binning of 1."""
-    record = row.asDict(recursive=True) if isinstance(row, Row) else row
-    lines = [f"File: {record['path']}"]
-    for group in M.S.METADATA:
-        value = record.get(group)
-        if not value:
+# The metadata report's sections, in order; of each its struct if it is left out without one, and its lines: text, columns.
+REPORT = (
+    ("Equipment Information", None, (("Telescope: {}", "equipment.telescope_name"), ("Focal Length: {} mm", "equipment.focal_length"), ("Aperture: {} mm", "equipment.aperture"), ("Focal Ratio: f/{:.1}", "equipment.focal_ratio"))),
+    ("Detector Information", None, (("Camera: {}", "detector.camera_name"), ("Image Dimensions: {}x{} pixels", "detector.width", "detector.height"), ("Binning: {}x{}", "binning.x", "binning.y"), ("Sensor Temperature: {:.1} °C", "detector.temperature"))),
+    ("Exposure Information", None, (("Object: {}", "exposure.object_name"), ("Exposure Time: {:.2} seconds", "exposure.exposure_time"), ("Frame Type: {}", "exposure.frame_type"), ("Observation Date: {} UTC", "exposure.date_obs"), ("Coordinates: RA={:.6}°, Dec={:.6}°", "exposure.ra", "exposure.dec"))),
+    ("Filter Information", None, (("Filter: {}", "filter.name"),)),
+    ("Mount Information", "mount", (("Pier Side: {}", "mount.pier_side"), ("Location: Lat={:.6}°, Long={:.6}°", "mount.latitude", "mount.longitude"), ("Guide RMS: {:.2} pixels", "mount.guide_rms"))),
+    ("Environment Information", "environment", (("Ambient Temperature: {:.1} °C", "environment.ambient_temp"), ("Humidity: {:.1}%", "environment.humidity"), ("Sky Quality: {:.2} mag/arcsec²", "environment.sqm"), ("Software Version: {}", "environment.software_version"))),
+    ("Calculated Values", None, (("Plate Scale: {:.3} arcsec/pixel", "scale"), ("Field of View: {:.2}' × {:.2}' (arcmin)", "view.width", "view.height"))),
+    ("XISF Information", "xisf", (("Format Version: {}", "xisf.version"), ("Creator: {}", "xisf.creator"), ("Creation Time: {} UTC", "xisf.creation_time"), ("Block Alignment: {} bytes", "xisf.block_alignment"))),
+    ("Color Management", "color_management", (("Color Space: {}", "color_management.color_space"), ("ICC Profile: {}", "icc"), ("Display Function: {}", "color_management.display_function.function_type"), ("Display Parameters: {}", "display"))),
+)
+_HOLE = re.compile(r"\{(?::\.([0-9]))?\}")
+
+
+def _shown(c: Column, kind: str) -> Column:
+    if kind == "timestamp":
+        return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return F.regexp_replace(c.cast("string"), r"\.0$", "") if kind in ("float", "double") else c.cast("string")
+
+
+def _filled(records: DataFrame, text: str, names: tuple[str, ...]) -> Column:
+    """The text with its holes filled; null if one of the columns is."""
+    parts: list[Column] = []
+    for k, piece in enumerate(_HOLE.split(text)):  # plain texts and digits in turn
+        if k % 2 == 0:
+            parts.append(F.lit(piece))
             continue
-        if isinstance(value, list):
-            for item in value:
-                lines.append(f"{group}:")
-                lines += [f"  {k}: {v}" for k, v in item.items() if v not in (None, {}, [])]
-            continue
-        shown = [(k, v) for k, v in value.items() if v is not None and not (k.startswith("binning") and v <= 1)]
-        if shown:
-            lines.append(f"{group}:")
-            for k, v in shown:
-                if isinstance(v, dict):
-                    lines.append(f"  {k}:")
-                    lines += [f"    {a}: {b}" for a, b in sorted(v.items()) if b not in (None, {})]
-                else:
-                    lines.append(f"  {k}: {v}")
-    return "\n".join(lines)
+        c = F.col(names[k // 2])
+        parts.append(F.format_string(f"%.{piece}f", c.cast("double")) if piece else _shown(c, records.select(c).dtypes[0][1]))
+        parts[-1] = F.when(c.isNotNull(), parts[-1])
+    return F.concat(*parts)
+
+
+def metadata_report(records: DataFrame) -> DataFrame:
+    """(path, status and error where they are there, report) of rows of metadata: sections, units and digits as fixed; nulls and a binning of 1 are left out."""
+    scale = X.plate_scale("detector.pixel_size", "equipment.focal_length")
+    binned, d = (F.col("detector.binning_x") > 1) | (F.col("detector.binning_y") > 1), F.col("color_management.display_function.parameters")
+    pairs = F.transform(F.array_sort(F.map_entries(d)), lambda e: F.concat(e["key"], F.lit("="), _shown(e["value"], "double")))
+    kind = F.upper("format")
+    df = records.withColumns(
+        {
+            "scale": scale, "view": X.field_of_view("detector.width", "detector.height", scale), "icc": F.when(F.col("color_management.icc_profile").isNotNull(), F.lit("present")), "display": F.when(F.size(d) > 0, F.array_join(pairs, ", ")),
+            "binning": F.when(binned, F.struct(F.col("detector.binning_x").alias("x"), F.col("detector.binning_y").alias("y"))),
+        }
+    )
+    lines = [F.array(F.concat(kind, F.lit(" Metadata for: "), F.col("path")))]
+    for title, gate, rows in REPORT:
+        made = F.array_compact(F.array(F.lit(f"\n=== {title} ==="), *[_filled(df, text, names) for text, *names in rows]))
+        lines.append(made if gate is None else F.when(F.col(gate).isNotNull(), made).otherwise(F.array().cast("array<string>")))
+    line = lambda c, name: F.when(c[name].isNotNull(), F.concat(F.lit(f"\n    {name.replace('_', ' ').title()}: "), c[name])).otherwise("")
+    label = lambda a, i: F.when(a["id"] == "", F.concat(F.lit("attachment"), i.cast("string"))).otherwise(a["id"])
+    attached = F.transform(
+        "attachments",
+        lambda a, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), label(a, i), F.lit(" | geometry="), a["geometry"], F.lit(" | sample="), a["sample_format"], F.lit(" | bits="), a["bits_per_sample"].cast("string"), *[line(a, n) for n in ("compression", "checksum_type", "checksum")]),
+    )
+    lines.append(F.when(F.size("attachments") > 0, F.concat(F.array(F.lit("\n=== XISF Attachments ===")), attached)).otherwise(F.array().cast("array<string>")))
+    body = lambda c: F.when(c["value"].isNotNull(), F.concat(c["keyword"], F.lit(" = "), c["value"], F.coalesce(F.concat(F.lit(" / "), c["comment"]), F.lit("")))).otherwise(F.coalesce(F.concat(c["keyword"], F.lit(" / "), c["comment"]), c["raw_card"], c["keyword"]))
+    cards = F.transform("cards", lambda c: F.concat(F.format_string("[HDU %d #%03d] ", c["hdu_index"], c["card_index"]), body(c)))
+    lines.append(F.concat(F.array(F.when(F.col("format") == "fits", F.lit("\n=== Raw FITS Header Cards ===")).otherwise(F.lit("\n=== Raw XISF FITS Keywords ==="))), F.coalesce(cards, F.array().cast("array<string>"))))
+    return df.select("path", *(c for c in ("status", "error") if c in df.columns), F.array_join(F.concat(*lines), "\n").alias("report"))
 
 
 def dump_file(spark: SparkSession, path: str) -> str:
-    rows = M.metadata(scan.read_headers(spark, path)).drop("cards", "xml").limit(1).collect()
+    """One file's metadata report."""
+    rows = metadata_report(M.metadata(scan.read_headers(spark, path))).limit(1).collect()
     if not rows or rows[0]["status"] != "ok":
         raise ReportError(f"{path}: {rows[0]['error'] if rows else 'not an image file'}")
-    return dump(rows[0])
+    return rows[0]["report"]
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -18,7 +18,7 @@ from nightglass.operators import detect as D
 from nightglass.operators import metadata as M
 from nightglass.operators import pixels as P
 from nightglass.plans import reports
-from nightglass.plans.bindings import query, r6, table
+from nightglass.plans.bindings import DEFAULT, NAMES, query, r6, scored_sql, table
 from nightglass.sources import scan
 
 
@@ -34,8 +34,8 @@ def _quoted(c: Column) -> Column:
     return F.concat(F.lit("'"), c, F.lit("'"))
 
 
-def fits_files(part: DataFrame) -> DataFrame:
-    """(path, content): a FITS file for each part, its columns as header cards, an image of 2 by 2 bytes."""
+def fits_files(part: DataFrame, second: bool = False) -> DataFrame:
+    """(path, content): a FITS file for each part, its columns as header cards, an image of 2 by 2 bytes; ``second``: another HDU follows."""
     cards = [
         _card("SIMPLE", F.lpad(F.lit("T"), 20, " ")), _card("BITPIX", _number(F.lit(8))), _card("NAXIS", _number(F.lit(2))), _card("NAXIS1", _number(F.lit(2))), _card("NAXIS2", _number(F.lit(2))),
         _card("OBJECT", F.concat(_quoted(F.col("p_type")), F.lit(" / the type"))), _card("EXPTIME", _number(F.col("p_size"))), _card("FILTER", _quoted(F.col("p_brand"))), _card("DUPKEY", _quoted(F.lit("one"))), _card("DUPKEY", _quoted(F.col("p_name"))),
@@ -44,7 +44,14 @@ def fits_files(part: DataFrame) -> DataFrame:
     header = F.rpad(F.concat(*cards), 2880, " ").cast("binary")
     pixels = F.unhex(F.lpad(F.hex(F.col("p_size").cast("bigint")), 2, "0"))
     data = F.concat(pixels, F.unhex(F.lit("00FF10")), F.unhex(F.lit("00" * 2876)))
-    return part.select(F.concat(F.lit("/data/"), F.col("p_partkey").cast("string"), F.lit(".fits")).alias("path"), F.concat(header, data).alias("content"))
+    more = [
+        _card("XTENSION", _quoted(F.lit("IMAGE   "))), _card("BITPIX", _number(F.lit(16))), _card("NAXIS", _number(F.lit(1))), _card("NAXIS1", _number(F.col("p_size") * 50)), _card("PCOUNT", _number(F.lit(0))), _card("GCOUNT", _number(F.lit(1))),
+        _card("EXTNAME", F.concat(_quoted(F.col("p_brand")), F.lit(" / it's a name"))), F.rpad(F.lit("END"), 80, " "),
+    ]
+    third = [_card("XTENSION", _quoted(F.lit("BINTABLE"))), _card("BITPIX", _number(F.lit(8))), _card("NAXIS", _number(F.lit(0))), _card("EXTNAME", _quoted(F.lit("last"))), F.rpad(F.lit("END"), 80, " ")]
+    body = F.unhex(F.repeat(F.lit("00"), (F.ceil(F.col("p_size") * 100 / 2880) * 2880).cast("int")))  # so many samples of 16 bits, in whole blocks
+    rest = [F.rpad(F.concat(*more), 2880, " ").cast("binary"), body, F.rpad(F.concat(*third), 2880, " ").cast("binary")] if second else []
+    return part.select(F.concat(F.lit("/data/"), F.col("p_partkey").cast("string"), F.lit(".fits")).alias("path"), F.concat(header, data, *rest).alias("content"))
 
 
 def xisf_files(part: DataFrame) -> DataFrame:
@@ -83,6 +90,21 @@ def fits_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards.filter(F.col("keyword").isin("OBJECT", "EXPTIME", "FILTER")).select(_key().alias("p_partkey"), "card_index", "keyword", "value")
 
 
+@query("SELECT p_partkey, hdu_index, card_index, value, comment FROM (SELECT p_partkey, 1 AS hdu_index, 7 AS card_index, p_brand AS value, 'it''s a name' AS comment FROM part UNION ALL SELECT p_partkey, 2, 4, 'last', NULL FROM part) AS c")
+def fits_all_hdus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of the second and third HDU, behind data of different sizes."""
+    cards = scan.card_table(_headers(fits_files(table(spark, sf_dir, "part"), second=True)))
+    return cards.filter("keyword = 'EXTNAME'").select(_key().alias("p_partkey"), "hdu_index", "card_index", "value", "comment")
+
+
+@query("""SELECT 'fits' AS format, p_partkey, p_type AS object_name, true AS has_headers FROM part UNION ALL SELECT 'xisf', p_partkey, p_type, true FROM part""")
+def format_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of both formats in one scan, each read by its own dialect."""
+    part = table(spark, sf_dir, "part")
+    meta = M.metadata(_headers(fits_files(part).unionByName(xisf_files(part))))
+    return meta.select("format", _key().alias("p_partkey"), "exposure.object_name", F.map_contains_key("raw_headers", F.lit("OBJECT")).alias("has_headers"))
+
+
 @query("SELECT p_partkey, least(p_size, 0)::DOUBLE AS min, 255.0::DOUBLE AS max, round((p_size + 255 + 16) / 4.0, 6) AS mean FROM part")
 def fits_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = _images(fits_files(table(spark, sf_dir, "part"))).select(_key().alias("p_partkey"), P.pixel_stats("pixels").alias("s"))
@@ -101,6 +123,60 @@ def xisf_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.select("p_partkey", *[r6(f"s.{c}").alias(c) for c in ("min", "max")])
 
 
+def rich_xml(part: DataFrame) -> DataFrame:
+    """(p_partkey, xml): an XISF header with colour management and two images for each part."""
+    size = F.col("p_size").cast("string")
+    xml = F.concat(
+        F.lit('<xisf version="1.0"><Image geometry="'), size, F.lit(':2:1" sampleFormat="Float32" bitsPerSample="'), F.when(F.col("p_size") % 3 == 0, F.lit("many")).otherwise(size), F.lit('" compression="zlib" compressionParameters="level=9;bad;item='), size,
+        F.lit('"'), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(' colorSpace="RGB" displayFunction="STF" displayParameters="m='), size, F.lit(';s=x;h=0.5;m=2.5"'))).otherwise(""), F.lit('></Image><Image id="second" geometry="1:1:1" checksumType="sha1" checksum="'), F.col("p_brand"),
+        F.lit('" yResolution="3" resolutionUnit="cm"></Image>'), F.when(F.col("p_size") % 5 == 0, F.lit('<Property id="ICCProfile" type="ByteArray">x</Property>')).otherwise(""), F.lit("</xisf>"),
+    )
+    return part.select("p_partkey", xml.alias("xml"))
+
+
+@query("""SELECT p_partkey, p_size % 2 = 0 OR p_size % 5 = 0 AS has_color, CASE WHEN p_size % 2 = 0 THEN 'RGB' END AS color_space, CASE WHEN p_size % 2 = 0 OR p_size % 5 = 0 THEN p_size % 5 = 0 END AS has_profile,
+  CASE WHEN p_size % 2 = 0 THEN 'STF' END AS function_type, CASE WHEN p_size % 2 = 0 THEN 2.5 END::DOUBLE AS m, CASE WHEN p_size % 2 = 0 THEN 0.5 END::DOUBLE AS h, CASE WHEN p_size % 2 = 0 THEN 2 END::INT AS parameters FROM part""")
+def color_management(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = rich_xml(table(spark, sf_dir, "part")).select("p_partkey", M.color_management("xml").alias("c"))
+    found, parameters = F.col("c").isNotNull(), F.col("c.display_function.parameters")
+    return made.select("p_partkey", found.alias("has_color"), "c.color_space", F.when(found, F.col("c.icc_profile").isNotNull()).alias("has_profile"), "c.display_function.function_type", F.try_element_at(parameters, F.lit("m")).alias("m"), F.try_element_at(parameters, F.lit("h")).alias("h"), F.when(parameters.isNotNull(), F.size(parameters)).alias("parameters"))
+
+
+@query("""SELECT p_partkey, 0 AS n, 'image0' AS id, p_size || ':2:1' AS geometry, 'Float32' AS sample_format, CASE WHEN p_size % 3 = 0 THEN 16 ELSE p_size END::BIGINT AS bits_per_sample, 'zlib' AS compression, p_size::VARCHAR AS item, 2::INT AS parameters, NULL AS checksum_type, NULL AS checksum, NULL::DOUBLE AS resolution_y FROM part
+  UNION ALL SELECT p_partkey, 1, 'second', '1:1:1', 'UInt16', 16, NULL, NULL, 0, 'sha1', p_brand, NULL FROM part""")
+def attachment_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = rich_xml(table(spark, sf_dir, "part")).select("p_partkey", F.posexplode(M.attachments("xml")).alias("n", "a"))
+    parameters = F.col("a.compression_parameters")
+    return made.select("p_partkey", "n", "a.id", "a.geometry", "a.sample_format", "a.bits_per_sample", "a.compression", F.try_element_at(parameters, F.lit("item")).alias("item"), F.size(parameters).alias("parameters"), "a.checksum_type", "a.checksum", "a.resolution_y")
+
+
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query("SELECT name || '.parquet' AS name, false AS nested FROM (VALUES " + ", ".join(f"('{t}')" for t in _TABLES) + ") AS t(name)")
+def discover_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables' own files, listed by extension without a look at what they hold."""
+    found = scan.discover(spark, sf_dir, recursive=True, extensions=("parquet",))
+    flat = scan.discover(spark, sf_dir, recursive=False, extensions=("parquet",)).select("path").withColumn("flat", F.lit(True))
+    return found.join(flat, "path", "left").filter("length > 0").select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("flat").isNull().alias("nested"))
+
+
+@query("""SELECT p_partkey, '{"p_partkey":' || p_partkey || ',"p_brand":"' || p_brand || '"' || CASE WHEN p_size % 2 = 0 THEN ',"size":' || p_size ELSE '' END || '}' AS json FROM part""")
+def serialized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.when(F.col("p_size") % 2 == 0, F.col("p_size")).alias("size"))
+    return reports.as_json(part).select(F.get_json_object("json", "$.p_partkey").cast("bigint").alias("p_partkey"), "json")
+
+
+@query("""SELECT p_partkey, 'FITS Metadata for: /data/' || p_partkey || '.fits' || chr(10) || chr(10) || '=== Equipment Information ===' || chr(10) || chr(10) || '=== Detector Information ===' || chr(10) || 'Image Dimensions: 2x2 pixels' || chr(10) || chr(10)
+  || '=== Exposure Information ===' || chr(10) || 'Object: ' || p_type || chr(10) || 'Exposure Time: ' || p_size || '.00 seconds' || chr(10) || chr(10) || '=== Filter Information ===' || chr(10) || 'Filter: ' || p_brand || chr(10) || chr(10) || '=== Calculated Values ===' || chr(10) || chr(10)
+  || '=== Raw FITS Header Cards ===' AS report, '[HDU 0 #006] OBJECT = ' || p_type || ' / the type' AS card FROM part""")
+def metadata_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's sections, and one of its cards."""
+    made = reports.metadata_report(M.metadata(_headers(fits_files(table(spark, sf_dir, "part")))))
+    lines = F.split("report", "\n")
+    return made.select(_key().alias("p_partkey"), F.substring_index("report", "\n[HDU", 1).alias("report"), F.element_at(F.filter(lines, lambda x: x.contains("] OBJECT")), 1).alias("card"))
+
+
 SIDE, GAP = 128, 32
 
 
@@ -133,7 +209,97 @@ def detect_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stars.select("frame_id", F.round("x").cast("bigint").alias("x"), F.round("y").cast("bigint").alias("y"))
 
 
-@query(f"SELECT l_suppkey || '.fits' AS frame_id, count(*) AS stars FROM ({PLANTED}) AS p GROUP BY l_suppkey")
+def exact_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two frames of one name for each supplier, in two folders: 100 everywhere, and stars of deviation 2 in the grid's places that its odd or even lines' parts pick."""
+    places = (SIDE // GAP) ** 2
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", (F.col("l_linenumber") % 2).alias("night"), (F.col("l_partkey") % places).alias("place")).agg(F.max("l_quantity").alias("quantity"))
+    frames = lines.filter("quantity > 40").groupBy("l_suppkey", "night").agg(F.array_sort(F.collect_list(F.struct("place", "quantity"))).alias("stars"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yy, xx = np.mgrid[0:SIDE, 0:SIDE]
+        for batch in batches:
+            for key, night, stars in zip(*(c.to_pylist() for c in batch.columns)):
+                image = np.full((SIDE, SIDE), 100.0)
+                for s in stars:
+                    y, x = (s["place"] // (SIDE // GAP) + 0.5) * GAP, (s["place"] % (SIDE // GAP) + 0.5) * GAP
+                    image += s["quantity"] * 20 * np.exp(-((xx - x) ** 2 + (yy - y) ** 2) / 8)
+                yield pa.RecordBatch.from_pydict({"path": [f"/night{night}/{key}.fits"], "width": pa.array([SIDE], pa.int32()), "height": pa.array([SIDE], pa.int32()), "pixels": pa.array([image.astype(np.float32).ravel()], pa.list_(pa.float32())), "status": ["ok"]})
+
+    return frames.mapInArrow(run, "path string, width int, height int, pixels array<float>, status string")
+
+
+EXACT = f"SELECT l_suppkey, l_linenumber % 2 AS night, l_partkey % {(SIDE // GAP) ** 2} AS place, max(l_quantity) AS quantity FROM lineitem GROUP BY ALL HAVING max(l_quantity) > 40"
+#: What a star of deviation 2 and height 1 measures on whole pixels: its deviation, its Kron radius within 6 deviations, its flux, and that within 2.5 Kron radii.
+IDEAL = """SELECT a, kron, flux, (SELECT sum(v) FROM g WHERE sqrt(i * i + j * j) / a <= 2.5 * kron) AS auto FROM (SELECT a, flux, (SELECT sum(sqrt(i * i + j * j) / a * v) / sum(v) FROM g WHERE sqrt(i * i + j * j) <= 6 * a) AS kron
+  FROM (SELECT sqrt(sum(i * i * v) / sum(v)) AS a, sum(v) AS flux FROM g) AS m) AS k"""
+GRID = "g AS (SELECT i, j, exp(-(i * i + j * j) / 8.0) AS v FROM range(-30, 31) AS x(i), range(-30, 31) AS y(j))"
+
+
+@query(f"""WITH {GRID}, c AS ({IDEAL}) SELECT '/night' || night || '/' || l_suppkey || '.fits' AS path, ((place % {SIDE // GAP} + 0.5) * {GAP})::BIGINT AS x, ((place // {SIDE // GAP} + 0.5) * {GAP})::BIGINT AS y, round(a, 2) AS a, round(a, 2) AS b, round(a, 2) AS fwhm, 1.0::DOUBLE AS elongation, 0::INT AS flag,
+  round(kron, 2) AS kron_radius, round(flux, 2) AS flux, round(auto, 2) AS flux_auto, round(sqrt(auto), 2) AS fluxerr_auto, round(20 * quantity + 100, 1) AS peak FROM ({EXACT}) AS p, c""")
+def star_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes, fluxes by height, Kron radii and flags of stars without noise."""
+    stars = D.star_table(D.detect_stars(exact_images(spark, sf_dir)))
+    height = F.round(F.col("peak") - 100)
+    r2 = lambda c: F.round(F.col(c).cast("double"), 2).alias(c)
+    return stars.select(
+        "path", F.round("x").cast("bigint").alias("x"), F.round("y").cast("bigint").alias("y"), *map(r2, ("a", "b", "fwhm", "elongation", "kron_radius")), "flag", F.round(F.col("flux") / height, 2).alias("flux"), F.round(F.col("flux_auto") / height, 2).alias("flux_auto"),
+        F.round(F.col("fluxerr_auto") / F.sqrt(height), 2).alias("fluxerr_auto"), F.round(F.col("peak").cast("double"), 1).alias("peak"),
+    )
+
+
+MEASURED = f"""SELECT l_suppkey, night, count(*) AS "count", any_value(a) AS median_fwhm, 0::DOUBLE AS fwhm_std_dev, 1::DOUBLE AS median_elongation, 1::DOUBLE AS bg_uniformity, 0::DOUBLE AS bg_rms, any_value(kron) AS median_kron_radius,
+  sqrt(any_value(auto) * 20 * (percentile_disc(0.5) WITHIN GROUP (ORDER BY quantity DESC))) AS median_snr, 0::DOUBLE AS flagged_fraction FROM ({EXACT}) AS p, c GROUP BY l_suppkey, night"""
+
+
+@query(f"""WITH {GRID}, c AS ({IDEAL}) SELECT '/night' || night || '/' || l_suppkey || '.fits' AS path, l_suppkey || '.fits' AS frame_id, "count" AS stars, round(median_fwhm, 2) AS median_fwhm, round(median_snr, 1) AS median_snr, {', '.join(f'round({n}, 3) AS {n}' for n in NAMES)}
+  FROM ({scored_sql(DEFAULT, MEASURED)}) AS s""")
 def score_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = reports.score_frames(planted_images(spark, sf_dir))
-    return scored.filter("scores.overall BETWEEN 0 AND 1").select("frame_id", F.col("star_stats.count").alias("stars"))
+    """Two files of each name; star counts, and all seven scores."""
+    scored = reports.score_frames(exact_images(spark, sf_dir))
+    r = lambda c, n: F.round(F.col(c).cast("double"), n)
+    return scored.select("path", "frame_id", F.col("star_stats.count").alias("stars"), r("star_stats.median_fwhm", 2).alias("median_fwhm"), r("star_stats.median_snr", 1).alias("median_snr"), *[r(f"scores.{n.removesuffix('_score')}", 3).alias(n) for n in NAMES])
+
+
+BOXES, BOX = 4, 64
+
+
+def boxed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame of 4 by 4 boxes of 64 pixels for each nation: a box's level is the most common size of its parts, and one pixel in it stands out."""
+    part = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 25).alias("nation"), (F.col("p_partkey") % 7 % BOXES).alias("y"), (F.col("p_partkey") % 11 % BOXES).alias("x")).agg(F.max("p_size").alias("level"))
+    frames = part.groupBy("nation").agg(F.array_sort(F.collect_list(F.struct("y", "x", "level"))).alias("boxes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for nation, boxes in zip(*(c.to_pylist() for c in batch.columns)):
+                image = np.zeros((BOXES * BOX, BOXES * BOX), np.float32)
+                for b in boxes:
+                    image[b["y"] * BOX : (b["y"] + 1) * BOX, b["x"] * BOX : (b["x"] + 1) * BOX] = b["level"]
+                    image[b["y"] * BOX + 5, b["x"] * BOX + 9] += 1000
+                mesh, spread = D.background_mesh(image)
+                level = D.background(image)
+                yield pa.RecordBatch.from_pydict({"nation": [nation], "mesh": [mesh.ravel().tolist()], "rms": [float(spread.max())], "median": [level["median"]], "min": [level["min"]], "max": [level["max"]], "uniformity": [level["uniformity"]]})
+
+    return frames.mapInArrow(run, "nation bigint, mesh array<double>, rms double, median double, min double, max double, uniformity double")
+
+
+@query(f"""WITH boxes AS (SELECT p_partkey % 25 AS nation, p_partkey % 7 % {BOXES} AS y, p_partkey % 11 % {BOXES} AS x, max(p_size) AS level FROM part GROUP BY ALL), nations AS (SELECT DISTINCT nation FROM boxes),
+  every AS (SELECT n.nation, a.y, b.x, coalesce(level, 0)::DOUBLE AS level FROM nations AS n CROSS JOIN range({BOXES}) AS a(y) CROSS JOIN range({BOXES}) AS b(x) LEFT JOIN boxes USING (nation, y, x)),
+  near AS (SELECT e.nation, e.y, e.x, quantile_cont(f.level, 0.5) AS level FROM every AS e, range(-1, 2) AS a(dy), range(-1, 2) AS b(dx), every AS f WHERE f.nation = e.nation AND f.y = least(greatest(e.y + dy, 0), {BOXES - 1}) AND f.x = least(greatest(e.x + dx, 0), {BOXES - 1}) GROUP BY e.nation, e.y, e.x)
+  SELECT nation, list(round(level, 4) ORDER BY y, x)::VARCHAR AS mesh, 0.0::DOUBLE AS rms, round(quantile_cont(level, 0.5), 4) AS median, round(min(level), 4) AS min, round(max(level), 4) AS max, round(CASE WHEN max(level) > 0 THEN 1 - (max(level) - min(level)) / max(level) ELSE 1.0 END, 4) AS uniformity FROM near GROUP BY nation""")
+def background_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels of boxes after the median filter, and the background's figures."""
+    r4 = lambda c: F.round(c, 4).alias(c)
+    made = boxed_images(spark, sf_dir)
+    mesh = F.concat(F.lit("["), F.array_join(F.transform("mesh", lambda m: F.round(m, 4).cast("string")), ", "), F.lit("]"))
+    return made.select("nation", mesh.alias("mesh"), *map(r4, ("rms", "median", "min", "max", "uniformity")))
+
+
+@query("SELECT s_suppkey, (1 + s_suppkey % 4)::INT AS width, 'ok' AS status, 0::INT AS stars FROM supplier WHERE 1 + s_suppkey % 4 < 3")
+def small_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of one or two pixels' width have no stars, however bright."""
+    side = (F.col("s_suppkey") % 4 + 1).cast("int")
+    pixels = F.transform(F.sequence(F.lit(1), side * 20), lambda i: F.when(i % 7 == 0, 1000.0).otherwise(1.0).cast("float"))
+    images = table(spark, sf_dir, "supplier").select(F.concat(F.lit("/data/"), F.col("s_suppkey").cast("string"), F.lit(".fits")).alias("path"), side.alias("width"), F.lit(20).alias("height"), pixels.alias("pixels"), F.lit("ok").alias("status"))
+    found = D.detect_stars(images.filter("width < 3"))
+    return found.select(_key().alias("s_suppkey"), ((_key() % 4) + 1).cast("int").alias("width"), "status", F.size("stars").alias("stars"))

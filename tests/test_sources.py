@@ -90,7 +90,9 @@ def test_scan_and_metadata(spark, collection):
     assert (c["xisf"]["creator"], str(c["xisf"]["creation_time"]), str(c["exposure"]["date_obs"])) == ("PixInsight 1.8.9-3", "2024-09-06 10:31:17", "2024-09-04 08:39:13.204000")
     assert c["color_management"]["color_space"] == "Gray" and len(c["attachments"]) == 1
     assert "OBJECT" in a["raw_headers"]
-    assert "M42" in reports.dump(a)
+    text = {r["path"].rsplit("/", 1)[-1]: r["report"] for r in reports.metadata_report(M.metadata(headers)).collect()}
+    assert "\n=== Exposure Information ===\nObject: M42\nExposure Time: 300.00 seconds\nObservation Date: 2023-05-15 02:00:00 UTC\n" in text["a.fits"] and "Focal Length: 1000 mm" in text["a.fits"] and "Plate Scale: 1.031 arcsec/pixel" in text["a.fits"]
+    assert "=== Color Management ===\nColor Space: Gray\n" in text["c.xisf"] and "[0] image0 | geometry=2:2:1 | sample=UInt16 | bits=16" in text["c.xisf"] and "Creation Time: 2024-09-06 10:31:17 UTC" in text["c.xisf"]
     assert any('"object_name":"M42"' in r["json"] for r in reports.as_json(M.metadata(headers.filter("status = 'ok'"))).collect())
 
 
