@@ -13,7 +13,9 @@ deletions in their edit distance, and 0 if they share no run of letters.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nightglass.llm import textcore as tc
+from nightglass.llm.packed import Places
 
 WINDOW, LETTERS, SMALLEST, RUN = 7, 64, 4, 4
 _BYTES = tc.seeds(1, 256)
@@ -145,6 +148,30 @@ def _edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
+def _ranges(rows: DataFrame, buckets: int | None) -> tuple[Column, int, list]:
+    """Of rows of (id, tie): the number of the range that a row goes to, how many ranges there are, and the ids that fill more than one.
+
+    Ranges are of ascending (id, tie), nulls first.  Their bounds are quantiles
+    of the ids; an id, or the nulls, that fills several is parted by tie.
+    """
+    n = buckets or Places.of(rows.sparkSession, rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0).partitions
+    marks = [i / n for i in range(1, n)]
+    found = rows.agg(F.percentile_approx("id", marks, 100 * n).alias("b") if marks else F.array().alias("b"), F.count("id").alias("some"), F.count(F.lit(1)).alias("every")).first()
+    shares = Counter(found["b"] or [])
+    bounds = sorted(shares)
+    nulls = n * (found["every"] - found["some"]) // max(1, found["every"])
+    parts = [max(1, nulls), *(shares[b] for b in bounds)]  # of the nulls, and of each bound's id
+    first = [0, *accumulate(parts)]
+    key, j = F.col("id"), _bucket(F.col("id"), bounds)
+    hot = ([None] if nulls > 1 else []) + [b for b in bounds if shares[b] > 1]
+    if not hot:
+        return j, len(parts), hot
+    at = lambda xs: F.get(F.array(*map(F.lit, xs)), j)
+    whole = key.isNull() if not bounds else F.when(j == 0, key.isNull()).otherwise(F.coalesce(key == F.get(F.array(*map(F.lit, bounds)), j - 1), F.lit(False)))
+    by_tie = F.least(F.floor((F.col("tie") / 2.0**64 + 0.5) * at(parts)), at(parts) - 1)
+    return (at(first[:-1]) + F.when(whole, by_tie).otherwise(at(parts) - 1)).cast("int"), first[-1], hot
+
+
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """Fingerprint each text and its edited text, and compare it with both and with the next document.
 
@@ -152,47 +179,48 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     first as many (or all) of the next document in ascending ``id_col``; the
     first document follows the last.  Texts cross the network once: rows go
     to ranges of ids, and the first document of each range also to the range
-    before it.  The ranges' bounds are quantiles, one for each shuffle
-    partition, as is all that the driver holds.
+    before it.  There are as many ranges as the bytes ask for, and the driver
+    holds a bound and a head for each.
 
     ``id_col`` is numeric.  Null texts count as empty; null ids come first;
     rows with equal ids are ordered by text hash, so that repeated rows follow
-    each other; a single document follows itself; an empty table gives none.
+    each other; an id that fills several ranges is parted by text hash, and its
+    equal rows are counted first and dealt out at the end; a single document
+    follows itself; an empty table gives none.
     """
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marks = [i / n for i in range(1, n)]
-    found = rows.agg(F.percentile_approx("id", marks, 100 * n).alias("b")).first()["b"] if marks else []
-    bounds = sorted(set(found or []))
-    keyed = rows.withColumns({"bucket": _bucket(F.col("id"), bounds), "tie": F.xxhash64("text")})
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    bucket, n, hot = _ranges(rows, buckets)
+    if hot:
+        is_hot = F.col("id").isin([h for h in hot if h is not None]) | (F.col("id").isNull() if None in hot else F.lit(False))
+        is_hot = F.coalesce(is_hot, F.lit(False))
+        rows = rows.filter(~is_hot).withColumn("copies", F.lit(1).cast("long")).unionByName(rows.filter(is_hot).groupBy("id", "text", "tie").agg(F.count(F.lit(1)).alias("copies")))
+    else:
+        rows = rows.withColumn("copies", F.lit(1).cast("long"))
+    keyed = rows.withColumn("bucket", bucket)
     firsts = keyed.groupBy("bucket").agg(F.min(F.struct(F.col("id").isNotNull().alias("some"), "id", "tie")).alias("m")).orderBy("bucket").collect()
     heads = [(firsts[i]["bucket"], firsts[i]["m"]["id"], firsts[i]["m"]["tie"], firsts[i - 1]["bucket"]) for i in range(len(firsts))]
     heads_df = F.broadcast(spark.createDataFrame(heads, f"bucket int, head {kind}, head_tie long, before int"))  # a row a bucket
     is_head = (heads_df["head"].eqNullSafe(keyed["id"])) & (heads_df["head_tie"] == keyed["tie"])
+    own, before = F.struct("bucket", F.lit(False).alias("follows")), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("follows"))
     dealt = (
         keyed.join(heads_df, (keyed["bucket"] == heads_df["bucket"]) & is_head, "left")
-        .select(keyed["bucket"], "id", "tie", "text", "before")
-        .select(
-            F.explode(F.when(F.col("before").isNull(), F.array(F.struct("bucket", F.lit(False).alias("follows")))).otherwise(F.array(F.struct("bucket", F.lit(False).alias("follows")), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("follows"))))).alias("to"),
-            "id",
-            "tie",
-            "text",
-        )
-        .select("to.bucket", "to.follows", "id", "tie", "text")
-        .repartitionById(len(bounds) + 1, F.col("bucket"))
+        .select(keyed["bucket"], "id", "tie", "text", "copies", "before")
+        .select(F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, before))).alias("to"), "id", "tie", "text", "copies")
+        .select("to.bucket", "to.follows", "id", "tie", "text", "copies")
+        .repartitionById(n, F.col("bucket"))
         .sortWithinPartitions("bucket", "follows", F.col("id").asc_nulls_first(), "tie")
     )
-    schema = f"`{id_col}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = f"`{id_col}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, times long"
 
     @tc.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # (bucket, id, text), not followers, still without their next
 
         def answer(pairs: list[tuple]) -> pa.RecordBatch:
-            texts = [t for _, t, _ in pairs]
-            edits = [_edited(t, after) for _, t, after in pairs]
-            afters = [after for _, _, after in pairs]
+            texts = [t for _, t, _, _ in pairs]
+            edits = [_edited(t, after) for _, t, after, _ in pairs]
+            afters = [after for _, _, after, _ in pairs]
             own, edit = fingerprints(texts), fingerprints(edits)
             # each next text but the last is the following pair's own text
             nexts = [own[k + 1] if k + 1 < len(pairs) and afters[k] is texts[k + 1] else None for k in range(len(pairs))]
@@ -201,13 +229,14 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 nexts[k] = x
             return pa.RecordBatch.from_pydict(
                 {
-                    id_col: pa.array([i for i, _, _ in pairs], id_type),
+                    id_col: pa.array([i for i, _, _, _ in pairs], id_type),
                     "n_chars": pa.array(list(map(len, texts)), pa.int64()),
                     "edited_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edits], pa.string()),
                     "fingerprint": pa.array(own, pa.string()),
                     "edited_fingerprint": pa.array(edit, pa.string()),
                     "near_edited": pa.array([likeness(a, b) for a, b in zip(own, edit)], pa.float64()),
                     "near_next": pa.array([likeness(a, b) for a, b in zip(own, nexts)], pa.float64()),
+                    "times": pa.array([n for _, _, _, n in pairs], pa.int64()),
                 }
             )
 
@@ -217,14 +246,21 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             pairs: list[tuple] = []
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                for bucket, follows, i, text in zip(*(tc.column(part, c).to_pylist() for c in ("bucket", "follows", "id", "text"))):
+                for bucket, follows, i, text, copies in zip(*(tc.column(part, c).to_pylist() for c in ("bucket", "follows", "id", "text", "copies"))):
                     if held and held[0][0] == bucket:
-                        pairs.append((held[0][1], held[0][2], text))
+                        pairs.append((held[0][1], held[0][2], text, 1))
                         held.clear()
                     if not follows:
+                        if copies > 1:  # each but the last is followed by another
+                            pairs.append((i, text, text, copies - 1))
                         held.append((bucket, i, text))
                 if pairs:
                     yield answer(pairs)
                     pairs = []
 
-    return dealt.mapInArrow(run, schema)
+    out = dealt.mapInArrow(run, schema)
+    if hot:  # in two steps, so that no list is long
+        step = 1 << 16
+        out = out.withColumn("_of", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / step))))
+        out = out.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(step), F.col("times") - F.col("_of") * step)))).drop("_of", "_k")
+    return out.drop("times")

@@ -86,6 +86,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def discard(*tables: DataFrame) -> None:
     """Delete materialised tables that nothing will read again."""
+    gone = {df._shared_path for df in tables}
+    for own in _OPEN:
+        own.tables = [df for df in own.tables if df._shared_path not in gone]
     for df in tables:
         sc = df.sparkSession.sparkContext
         path = sc._jvm.org.apache.hadoop.fs.Path(df._shared_path)

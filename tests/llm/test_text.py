@@ -64,12 +64,101 @@ def test_compare_with_next(spark):
             assert (got[i]["near_edited"], got[i]["near_next"]) == (ctph.likeness(own, edit), ctph.likeness(own, nxt))
 
 
+def plain_fingerprint(text):
+    """Context-triggered piecewise hashing byte by byte."""
+    full, data = (1 << 64) - 1, text.encode()
+    byte, base = [int(x) for x in ctph._BYTES], ctph.tc._POWERS.base
+
+    def mix(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * factor & full
+        return x ^ x >> 31
+
+    def polynomial(part):
+        return sum(byte[c] * pow(base, k, 1 << 64) for k, c in enumerate(part)) & full
+
+    if not data:
+        return "4::"
+    levels = {}  # of each boundary, how often the least block size may be doubled
+    for i in range(len(data)):
+        rolling = (polynomial(data[max(0, i - 6) : i + 1]) * 0x9E3779B97F4A7C15 & full) >> 24
+        if rolling % 4 == 0:
+            low = rolling // 4
+            levels[i + 1] = (low & -low).bit_length() - 1 if low else 38
+
+    def signature(k):
+        out, start = "", 0
+        for end in sorted({e for e, v in levels.items() if v >= k} | {len(data)}):
+            out += chr(ctph.ALPHABET[mix(polynomial(data[start:end])) >> 58])
+            start = end
+        return out
+
+    k = next(k for k in range(40) if sum(v >= k for v in levels.values()) < ctph.LETTERS)
+    return f"{4 << k}:{signature(k)}:{signature(k + 1)}"
+
+
+def test_fingerprints_by_hand():
+    r = random.Random(5)
+    texts = ["", "a", "abcdefg", "a" * 500] + ["".join(r.choices("abcdef ghé\n漢", k=r.choice((3, 40, 700, 3000)))) for _ in range(25)]
+    assert ctph.fingerprints(texts) == [plain_fingerprint(t) for t in texts]
+
+
+def plain_likeness(x, y):
+    """From the edit distance of insertions and deletions, by the whole table."""
+
+    def similar(a, b):
+        if a == b:
+            return 1.0
+        run = min(ctph.RUN, max(1, min(len(a), len(b)) // 2))
+        if not a or not b or not any(a[i : i + run] in b for i in range(len(a) - run + 1)):
+            return 0.0
+        row = list(range(len(b) + 1))
+        for i, p in enumerate(a, 1):
+            row, old = [i], row
+            for j, q in enumerate(b, 1):
+                row.append(old[j - 1] if p == q else 1 + min(old[j], row[-1]))
+        return 1 - row[-1] / (len(a) + len(b))
+
+    if x == y:
+        return 1.0
+    sizes = [{int(s): a, 2 * int(s): b} for s, a, b in (t.split(":") for t in (x, y))]
+    return max((similar(sizes[0][s], sizes[1][s]) for s in sizes[0].keys() & sizes[1].keys()), default=0.0)
+
+
+def test_likeness_by_hand():
+    r = random.Random(11)
+    texts = ["".join(r.choices("abcdef gh\n", k=r.choice((5, 60, 900, 2500)))) for _ in range(20)]
+    texts += [t[: len(t) // 3] + "XYZ" + t[len(t) // 2 :] for t in texts]
+    prints = ctph.fingerprints(texts)
+    for a in prints:
+        for b in prints:
+            assert ctph.likeness(a, b) == pytest.approx(plain_likeness(a, b))
+
+
 def test_compare_repeated_and_null_ids(spark):
     rows = [r for r in awkward()]
     got = ctph.compare_with_next(frame(spark, rows), buckets=5).collect()
     assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(i for i, _ in rows)
 
 
+def test_hot_ids_are_parted(spark):
+    """An id and the nulls fill several ranges each, with repeated and different texts."""
+    r = random.Random(4)
+    rows = [(i, f"text {i}") for i in range(30)] + [(7, f"other {k}") for k in range(40)] + [(7, "same")] * 30 + [(None, f"none {k}") for k in range(30)] + [(None, None)] * 5
+    r.shuffle(rows)
+    df = frame(spark, rows)
+    _, n, hot = ctph._ranges(df.selectExpr("doc_id AS id", "coalesce(text, '') AS text", "xxhash64(coalesce(text, '')) AS tie"), 8)
+    assert hot == [None, 7] and n >= 6
+    ties = {x["text"]: x["tie"] for x in df.selectExpr("text", "xxhash64(coalesce(text, '')) AS tie").collect()}
+    order = sorted(((-1 if i is None else i, ties[t], t or "") for i, t in rows), key=lambda x: x[:2])
+    want = collections.Counter()
+    for (i, _, t), (_, _, after) in zip(order, order[1:] + order[:1]):
+        half = len(t) // 2
+        want[i, hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()] += 1
+    got = collections.Counter((-1 if x["doc_id"] is None else x["doc_id"], x["edited_sha256"]) for x in ctph.compare_with_next(df, buckets=8).collect())
+    assert got == want
+
+
 def test_likeness():
     r = random.Random(1)
     text = " ".join("".join(r.choices("abcdefghij", k=r.randint(2, 9))) for _ in range(600))
