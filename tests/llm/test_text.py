@@ -16,6 +16,7 @@ from nightglass.llm import ctph
 from nightglass.llm import html_mincut as H
 from nightglass.llm import queries as Q
 from nightglass.llm import repetition
+from plain_quality import brute_score
 
 SF = "/root/testdata/sf0.01"
 
@@ -361,16 +362,6 @@ def test_scores_do_not_depend_on_neighbours():
     assert together[2] > together[3]
 
 
-def brute_score(net, raw):
-    codes = list(raw) + [C.PAD] * ((-len(raw)) % C.BLOCK if raw else C.BLOCK)
-    n = len(codes) // C.BLOCK
-    codes += [C.PAD] * C.WIDTH
-    seen = np.array([np.concatenate([net.embed[c] for c in codes[i : i + C.WIDTH]]) @ net.filters for i in range(n * C.BLOCK)])
-    blocks = np.maximum(seen.reshape(n, C.BLOCK, -1).max(1) + net.bias, 0)
-    chunks = np.array([np.maximum(blocks[k], blocks[k + 1]) for k in range(n - 1)]) if n > 1 else blocks
-    return 1 / (1 + np.exp(-(np.hstack((chunks.mean(0), chunks.max(0))) @ net.out + net.out_bias)))
-
-
 def test_score_by_hand():
     net = C.ByteCnn.new()
     net.out = np.linspace(-1, 1, 2 * C.FILTERS).astype(np.float32)
