@@ -1,4 +1,5 @@
 import os
+import signal
 import sys
 
 import pytest
@@ -23,3 +24,21 @@ def spark(tmp_path_factory):
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+#: Seconds that one test may take, its fixtures aside.
+LIMIT = int(os.environ.get("TEST_LIMIT", "600"))
+
+
+@pytest.hookimpl(wrapper=True)
+def pytest_runtest_call(item):
+    def stop(*_):
+        raise TimeoutError(f"{item.name} took more than {LIMIT} s")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.alarm(LIMIT)
+    try:
+        return (yield)
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
