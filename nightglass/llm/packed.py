@@ -69,14 +69,16 @@ class Places:
 RECORDS = "place int, sub int, names binary, ids binary, spots binary"
 
 
-def rows_of(where: tuple[np.ndarray, np.ndarray], names: np.ndarray, ids: np.ndarray, spots: np.ndarray) -> pa.RecordBatch:
-    """Records as a row for each place, packed; ``names`` is [records, 1 or 2 words]."""
+def rows_of(where: tuple[np.ndarray, np.ndarray], names: np.ndarray | None, ids: np.ndarray, spots: np.ndarray | None) -> pa.RecordBatch:
+    """Records as a row for each place, packed; ``names`` is [records, 1 or 2 words]; what isn't given is null."""
     place, sub = where
     order = np.lexsort((sub, place)) if sub.any() else np.argsort(place, kind="stable")
-    place, sub, names, ids, spots = place[order], sub[order], names[order], ids[order], spots[order]
+    place, sub, ids = place[order], sub[order], ids[order]
     at = np.flatnonzero((np.diff(place, prepend=-1) != 0) | (np.diff(sub, prepend=-1) != 0))
-    cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(at, np.append(at[1:], len(x)))], pa.binary())
-    return pa.RecordBatch.from_pydict({"place": pa.array(place[at], pa.int32()), "sub": pa.array(sub[at], pa.int32()), "names": cut(names), "ids": cut(ids), "spots": cut(spots)})
+    cuts = list(zip(at, np.append(at[1:], len(ids))))
+    cut = lambda x: pa.nulls(len(at), pa.binary()) if x is None else pa.array([x[i:j].tobytes() for i, j in cuts], pa.binary())
+    pick = lambda x: None if x is None else x[order]
+    return pa.RecordBatch.from_pydict({"place": pa.array(place[at], pa.int32()), "sub": pa.array(sub[at], pa.int32()), "names": cut(pick(names)), "ids": cut(ids), "spots": cut(pick(spots))})
 
 
 def unpacked(batch: pa.RecordBatch, *columns: str, words: int = 1) -> list[np.ndarray]:
@@ -144,11 +146,12 @@ def found_names(table: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.minimum(at, len(table) - 1), there
 
 
-def shared(records: DataFrame, places: Places, name: str, later: bool, hot: float = HOT, words: int = 1) -> DataFrame:
+def shared(records: DataFrame, places: Places, name: str, later: str = "", hot: float = HOT, words: int = 1) -> DataFrame:
     """Of the records (place, sub, names, ids, spots), placed by name: those whose name several ids have, placed by id.
 
-    ``later``: only those with an id over the name's least.  Names are of
-    ``words`` 64-bit words.  They are combined to their least and greatest id
+    ``later``: "mark" puts 1 for spots where the id is over the name's least,
+    and 0 elsewhere; "only" leaves the others out, and the names.  Rows without
+    spots only lend their names and ids.  Names are of ``words`` 64-bit words.  They are combined to their least and greatest id
     in each map batch before they are shuffled.  The names that several ids
     have are then looked up by the records as they stream by, so that no task
     holds the records of a name together.
@@ -160,7 +163,7 @@ def shared(records: DataFrame, places: Places, name: str, later: bool, hot: floa
             names, least, most, _ = _combined(*unpacked(batch, "names", "ids", words=words))
             two = np.flatnonzero(least != most)
             everything = np.concatenate((names, names[two]))
-            yield rows_of(places.of_names(everything), everything, np.concatenate((least, most[two])), np.zeros(len(everything), np.uint32))
+            yield rows_of(places.of_names(everything), everything, np.concatenate((least, most[two])), None)
             yield pa.RecordBatch.from_pydict({"place": pa.array([-1], pa.int32()), "sub": pa.array([0], pa.int32()), "names": [b""], "ids": [b""], "spots": [b""]})
 
     @tc.tidied
@@ -201,18 +204,20 @@ def shared(records: DataFrame, places: Places, name: str, later: bool, hot: floa
         order = np.argsort(hot_names[:, 0])
         hot_names, hot_least = hot_names[order], np.array([r["least"] for r in rows], np.int64)[order]
 
-        def wanted(names, ids, spots, table, least):
+        def wanted(batch: pa.RecordBatch, table: np.ndarray, least: np.ndarray) -> Iterator[pa.RecordBatch]:
+            names, ids, spots = unpacked(batch, "names", "ids", "spots", words=words)
             at, there = found_names(table, names)
             if later and len(table):
-                there &= ids > least[at]
-            return names[there], ids[there], spots[there]
+                over = ids > least[at]
+                there &= over | (later != "only")
+                spots = over.astype(np.uint32) if later == "mark" else spots
+            if there.any():
+                yield rows_of(places.of_ids(ids[there]), None if later == "only" else names[there], ids[there], spots[there])
 
         @tc.tidied
         def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                names, ids, spots = wanted(*unpacked(batch, "names", "ids", "spots", words=words), hot_names, hot_least)
-                if len(ids):
-                    yield rows_of(places.of_ids(ids), names, ids, spots)
+                yield from wanted(batch, hot_names, hot_least)
 
         @tc.tidied
         def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,15 +243,14 @@ def shared(records: DataFrame, places: Places, name: str, later: bool, hot: floa
                         names, ids = (np.concatenate(x) for x in zip(*held))
                         order = np.argsort(names[:, 0])
                         table, least, held = names[order], ids[order], []
-                    names, ids, spots = wanted(*unpacked(batch.slice(first), "names", "ids", "spots", words=words), table, least)
-                    if len(ids):
-                        yield rows_of(places.of_ids(ids), names, ids, spots)
+                    yield from wanted(batch.slice(first), table, least)
 
-        asked = records.mapInArrow(cold, RECORDS) if len(hot_names) else records
+        asking = records.filter("spots IS NOT NULL")
+        asked = asking.mapInArrow(cold, RECORDS) if len(hot_names) else asking
         both = known.withColumn("ask", F.lit(False)).unionByName(asked.withColumn("ask", F.lit(True)))
         out = places.deal(both, "ask").mapInArrow(look_up, RECORDS)
         if len(hot_names):
-            out = out.unionByName(records.mapInArrow(direct, RECORDS))
+            out = out.unionByName(asking.mapInArrow(direct, RECORDS))
         out = materialise(out, f"{name}-shared")
         own.keep(out)
         return out

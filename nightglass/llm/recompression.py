@@ -32,7 +32,11 @@ from nightglass.llm.packed import shared as shared_records
 from nightglass.llm.shared import discard, materialise, scratch
 
 WINDOW, ROUNDS, WIDE = 13, 4, 5
+#: Texts are parsed in blocks that fit a processor's own cache; records of so many are packed together.
+PARSED_BYTES, PACKED = 1 << 17, 1 << 17
 _FAR = 1 << 40
+#: In place of a spot: a window that no smaller id can have.
+LENT = np.uint32(0xFFFFFFFF)
 
 
 def parse(words: np.ndarray, edges: np.ndarray, rounds: int = ROUNDS, longest: int = WINDOW) -> Iterator[tuple[np.ndarray, ...]]:
@@ -167,6 +171,37 @@ class SubstringDedup:
     hot: float = HOT
 
 
+class _Held:
+    """Records (names, ids, spots) gathered until there are enough for a row of each place."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.n = 0
+
+    def add(self, *part: np.ndarray) -> None:
+        self.parts.append(part)
+        self.n += len(part[1])
+
+    def packed(self, places: Places, least: int) -> Iterator[pa.RecordBatch]:
+        """A batch if there are ``least`` records, which are then gone; records without a spot make rows of their own."""
+        if self.n < least:
+            return
+        names, ids, spots = (np.concatenate(x) for x in zip(*self.parts))
+        self.parts, self.n = [], 0
+        asks = spots != LENT
+        for some, kept in ((asks, spots[asks]), (~asks, None)):
+            if some.any():
+                yield rows_of(places.of_names(names[some]), names[some], ids[some], kept)
+
+
+def _greatest(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, in order, with the greatest of its values."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    at = np.flatnonzero(np.concatenate((keys[:1] == keys[:1], keys[1:] != keys[:-1])))
+    return keys[at], np.maximum.reduceat(values[order], at) if len(at) else values
+
+
 def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
@@ -209,16 +244,18 @@ def _remove_repeats(docs: DataFrame, id_col: str, text_col: str, how: SubstringD
 
     @tc.tidied
     def name_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held()
         for batch in batches:
             ids = tc.column(batch, "id").to_numpy()
-            for block in tc.blocks(tc.column(batch, "text")):
+            for block in tc.blocks(tc.column(batch, "text"), PARSED_BYTES):
                 s = Stretches.of(block, block.word_hashes(), window)
-                if len(s.name):
-                    yield rows_of(places.of_names(s.name[:, None]), s.name[:, None], ids[block.first + s.doc], np.zeros(len(s.name), np.uint32))
+                held.add(s.name[:, None], ids[block.first + s.doc], np.zeros(len(s.name), np.uint32))
+                yield from held.packed(places, PACKED)
+        yield from held.packed(places, 1)
 
     some = rows.filter("id IS NOT NULL")
     listed = materialise(some.select("id", "text").mapInArrow(name_stretches, RECORDS), "stretches")
-    shared = shared_records(listed, places, "stretches", later=False, hot=how.hot)
+    shared = shared_records(listed, places, "stretches", later="mark", hot=how.hot)
     discard(listed)
 
     # texts equal to one with a smaller id
@@ -228,9 +265,9 @@ def _remove_repeats(docs: DataFrame, id_col: str, text_col: str, how: SubstringD
     at = places.columns(F.col("id"))
     texts = some.withColumns(at | {"ask": F.lit(2)})
     dealt = (
-        texts.unionByName(shared.select("place", "sub", "names", F.col("ids"), F.lit(0).alias("ask")), allowMissingColumns=True)
+        texts.unionByName(shared.select("place", "sub", "names", "ids", "spots", F.lit(0).alias("ask")), allowMissingColumns=True)
         .unionByName(copies.withColumns(at | {"ask": F.lit(1)}), allowMissingColumns=True)
-        .select("place", "sub", "ask", "id", "text", "rest", "names", "ids")
+        .select("place", "sub", "ask", "id", "text", "rest", "names", "ids", "spots")
     )
     result = f"id long, rest {rest_kind}, n_words long, n_removed long, kept_sha256 string, kept_text string"
     judged = f"{result}, text string, {RECORDS}"
@@ -258,10 +295,14 @@ def _remove_repeats(docs: DataFrame, id_col: str, text_col: str, how: SubstringD
         cols = {"id": ids.slice(block.first, block.n).take(pick), "rest": rests.slice(block.first, block.n).take(pick), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests_, pa.string()), "kept_text": pa.array(texts_ if with_text else [None] * len(which), pa.string())}
         return pa.RecordBatch.from_arrays([cols[f.name] if f.name in cols else pa.nulls(len(which), f.type) for f in schema], schema=schema)
 
+    def whole(packed: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        for rows_ in packed:
+            yield pa.RecordBatch.from_arrays([rows_.column(rows_.schema.get_field_index(f.name)) if f.name in rows_.schema.names else pa.nulls(rows_.num_rows, f.type) for f in schema], schema=schema)
+
     @tc.tidied
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Finish documents without shared stretches, and copies; list the shared windows of the others."""
-        pairs, copied = [], set()
+        pairs, copied, held = [], set(), _Held()
         ready = None
         for new, batch in by_part(batches):
             if new:
@@ -270,49 +311,55 @@ def _remove_repeats(docs: DataFrame, id_col: str, text_col: str, how: SubstringD
             ask = tc.column(batch, "ask").to_numpy()
             a, b = np.searchsorted(ask, [1, 2])
             if a:
-                names, ids = unpacked(batch.slice(0, a), "names", "ids")
-                pairs.append(tc.mix(names[:, 0] ^ tc.mix(ids.view(np.uint64))))
+                names, ids, over = unpacked(batch.slice(0, a), "names", "ids", "spots")
+                pairs.append((tc.mix(names[:, 0] ^ tc.mix(ids.view(np.uint64))), over))
             if b > a:
                 copied.update(zip(tc.column(batch, "id").slice(a, b - a).to_pylist(), tc.column(batch, "names").slice(a, b - a).to_pylist()))
             if b == batch.num_rows:
                 continue
             if ready is None:
-                ready = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.uint64), np.unique(np.array([i for i, _ in copied], np.int64))
-                pairs = []
+                several, over = _greatest(*map(np.concatenate, zip(*pairs))) if pairs else (np.zeros(0, np.uint64),) * 2
+                ready, pairs = (several, np.unique(np.array([i for i, _ in copied], np.int64)), over), []
             part = batch.slice(b)
             id_col_, text_col_, rest_col = (tc.column(part, c) for c in ("id", "text", "rest"))
             all_ids = id_col_.to_numpy()
-            for block in tc.blocks(text_col_):
+            for block in tc.blocks(text_col_, PARSED_BYTES):
                 ids = all_ids[block.first : block.first + block.n]
                 words, at = block.word_hashes(), block.word_offsets
                 copy = found_in(ready[1], ids)[1]
                 for i in np.flatnonzero(copy):  # of the rows of an id only those with the text that an earlier one has
                     copy[i] = (int(ids[i]), hashlib.md5(block.data[block.offsets[i] : block.offsets[i + 1]]).digest()) in copied
                 s = Stretches.of(block, words, window)
-                hit = found_in(ready[0], tc.mix(s.name ^ tc.mix(ids[s.doc].view(np.uint64))))[1] & ~copy[s.doc]
+                place, hit = found_in(ready[0], tc.mix(s.name ^ tc.mix(ids[s.doc].view(np.uint64))))
+                hit &= ~copy[s.doc]
+                later = np.zeros(len(hit), bool)
+                later[hit] = ready[2][place[hit]] > 0
                 open_ = np.zeros(block.n, bool)
-                open_[s.doc[hit]] = True
+                open_[s.doc[later]] = True
                 long_enough = np.diff(at) >= window
                 done = np.flatnonzero(~open_)
                 yield finished(block, [np.zeros(at[i + 1] - at[i], bool) if copy[i] and long_enough[i] else None for i in range(block.n)], id_col_, rest_col, schema, done)
                 which = np.flatnonzero(open_)
-                if not len(which):
+                if len(which):
+                    pick = pa.array(which, pa.int64())
+                    cols = {"id": id_col_.slice(block.first, block.n).take(pick), "rest": rest_col.slice(block.first, block.n).take(pick), "text": text_col_.slice(block.first, block.n).take(pick)}
+                    yield pa.RecordBatch.from_arrays([cols[f.name] if f.name in cols else pa.nulls(len(which), f.type) for f in schema], schema=schema)
+                if not hit.any():
                     continue
-                pick = pa.array(which, pa.int64())
-                cols = {"id": id_col_.slice(block.first, block.n).take(pick), "rest": rest_col.slice(block.first, block.n).take(pick), "text": text_col_.slice(block.first, block.n).take(pick)}
-                yield pa.RecordBatch.from_arrays([cols[f.name] if f.name in cols else pa.nulls(len(which), f.type) for f in schema], schema=schema)
                 first_, last_ = s.first[hit], s.last[hit]
                 n = last_ - first_ + 1
                 starts = np.repeat(first_ - np.cumsum(n) + n, n) + np.arange(n.sum())
                 grams = np.stack([tc.ngram_hashes(w, window, k)[starts] for k, w in enumerate((words, block.word_hashes(1)))], axis=1)
                 doc = block.word_doc[starts]
-                packed = rows_of(places.of_names(grams), grams, ids[doc], (starts - at[doc]).astype(np.uint32))
-                yield pa.RecordBatch.from_arrays([packed.column(packed.schema.get_field_index(f.name)) if f.name in packed.schema.names else pa.nulls(packed.num_rows, f.type) for f in schema], schema=schema)
+                held.add(grams, ids[doc], np.where(np.repeat(later[hit], n), (starts - at[doc]).astype(np.uint32), LENT))
+                yield from whole(held.packed(places, PACKED), schema)
+        if held.n:
+            yield from whole(held.packed(places, 1), schema)
 
     table = materialise(places.deal(dealt, "ask").mapInArrow(judge, judged), "judged")
     discard(shared, digests, first)
     windows = table.filter("place IS NOT NULL").select("place", "sub", "names", "ids", "spots")
-    removed = shared_records(windows, places, "windows", later=True, hot=how.hot, words=2)
+    removed = shared_records(windows, places, "windows", later="only", hot=how.hot, words=2)
     keep(table, removed)
     open_docs = table.filter("text IS NOT NULL").select("id", "text", "rest").withColumns(at | {"ask": F.lit(1)})
     met = open_docs.unionByName(removed.select("place", "sub", "ids", "spots", F.lit(0).alias("ask")), allowMissingColumns=True).select("place", "sub", "ask", "id", "text", "rest", "ids", "spots")
