@@ -9,8 +9,11 @@ import numpy as np
 import pytest
 
 from files import hdu, xisf
+from nightglass.functions import scalars as X_
 from nightglass.operators import detect as D
+from nightglass.operators import headers as H
 from nightglass.operators import metadata as M
+from nightglass.operators import stars as ST
 from nightglass.plans import reports
 from nightglass.sources import fits, scan
 from nightglass.sources import xisf as X
@@ -192,6 +195,72 @@ def test_detection(spark, collection):
     assert {r["status"] for r in report} == {"ok", "failed"}
 
 
+def starry(places, side=96):
+    image = np.random.default_rng(len(places)).normal(100, 2, (side, side))
+    yy, xx = np.mgrid[0:side, 0:side]
+    for x, y, height in places:
+        image += height * np.exp(-((xx - x) ** 2 + (yy - y) ** 2) / 8)
+    return image.astype("f4")
+
+
+def test_frames_of_one_name(spark, tmp_path):
+    """Camera software reuses names every night; each file is a frame of its own."""
+    for night, places in (("n1", [(30, 40, 900)]), ("n2", [(20, 20, 900), (60, 30, 700), (40, 70, 500)])):
+        (tmp_path / night).mkdir()
+        (tmp_path / night / "L_001.fits").write_bytes(hdu(True, starry(places), [("OBJECT", night)]))
+    scored = {r["path"].split("/")[-2]: r for r in reports.score_frames(scan.read_images(spark, str(tmp_path))).collect()}
+    assert {k: (r["frame_id"], r["star_stats"]["count"]) for k, r in scored.items()} == {"n1": ("L_001.fits", 1), "n2": ("L_001.fits", 3)}
+    report = {r["path"].split("/")[-2]: r for r in reports.frame_report(spark, str(tmp_path), recursive=True).collect()}
+    for k, r in report.items():
+        assert (r["object_name"], r["star_stats"], r["scores"], r["background"]) == (k, scored[k]["star_stats"], scored[k]["scores"], scored[k]["background"])
+        assert min(r["header_seconds"], r["load_seconds"], r["detect_seconds"]) >= 0 and r["pixel_stats"]["max"] > 500
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_read_files_once(spark, collection):
+    assert "content" not in plan_of(M.metadata(scan.read_headers(spark, str(collection))))
+    plan = plan_of(reports.frame_report(spark, str(collection)))
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+
+
+def test_statistics_over_arrays(spark, collection):
+    found = D.detect_stars(scan.read_images(spark, str(collection))).filter("background IS NOT NULL")
+    stars = D.star_table(found).withColumn("snr", X_.star_snr("flux", "flux_auto", "fluxerr_auto"))
+    by_group = {r["path"]: r.asDict() for r in ST.with_starless(found, ST.star_stats(stars, "path"), "path").collect()}
+    by_array = {r["path"]: r.asDict() for r in found.select("path", *[v.alias(k) for k, v in ST.array_stats("stars").items()]).collect()}
+    assert by_group.keys() == by_array.keys()
+    for path, row in by_group.items():
+        assert {k: pytest.approx(v, rel=1e-6, abs=1e-9) for k, v in row.items() if k != "path"} == {k: v for k, v in by_array[path].items() if k != "path"}
+
+
+def test_cleaning_by_cells():
+    """As when each star is compared with all brighter ones."""
+    r, how = np.random.default_rng(7), D.Detection()
+    stars = []
+    for _ in range(600):
+        a = float(r.choice([1.0, 2.0, 3.0, 12.0], p=[0.5, 0.3, 0.19, 0.01]))
+        stars.append({"x": float(r.random() * 150), "y": float(r.random() * 150), "a": a, "peak": float(r.random() * 500), "flux": float(r.random() * 900), "npix": int(r.integers(5, 60)), "_form": (1 / a**2, 1 / a**2, 0.0)})
+    kept = []
+    for s in sorted(stars, key=lambda s: -s["flux"]):
+        def under(t):
+            r2 = ((s["x"] - t["x"]) ** 2 + (s["y"] - t["y"]) ** 2) / t["a"] ** 2
+            return r2 < 9 and (t["peak"] - 10.0) / (1 + how.clean * r2) ** 2.5 > s["flux"] / s["npix"]
+
+        if not any(map(under, kept)):
+            kept.append(s)
+    got = D._cleaned(stars, 10.0, how)
+    assert 50 < len(got) < 590 and [id(s) for s in got] == [id(s) for s in kept]
+
+
+def test_header_map_keeps_the_last(spark):
+    cards = [("A", "1"), ("B", "x"), ("A", None), ("A", "2"), ("C", None), ("B", "y"), (None, "z")]
+    df = spark.createDataFrame([([c for c in cards if c[0]],), ([],), (None,)], "cards array<struct<keyword:string,value:string>>")
+    assert [r[0] for r in df.select(H.header_map("cards")).collect()] == [{"A": "2", "B": "y"}, {}, None]
+
+
 def test_planted_stars():
     image = np.zeros((60, 60), np.float32) + 10
     yy, xx = np.mgrid[0:60, 0:60]
