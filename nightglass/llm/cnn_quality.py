@@ -92,8 +92,8 @@ class ByteCnn:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 12, batch: int = 64, rate: float = 0.01, seed: int = 5) -> ByteCnn:
-    """Train by Adam through the max-pooling; the same rows in the same order give the same model.
+def fit(texts: list[str], labels: list[int], epochs: int = 30, batch: int = 64, rate: float = 0.04, seed: int = 5) -> ByteCnn:
+    """Train by Adam, whose rate falls to nothing, through the max-pooling; the same rows in the same order give the same model.
 
     With one label only, or no rows, the result is a constant: the share of
     label 1, with one row added of each label.
@@ -116,7 +116,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 12, batch: int = 64,
     reach = np.arange(WIDTH)
     params = {k: getattr(net, k) for k in ("embed", "filters", "bias", "out")} | {"out_bias": np.array([net.out_bias])}
     m1, m2 = ({k: np.zeros(v.shape) for k, v in params.items()} for _ in range(2))
-    step = 0
+    step, steps = 0, epochs * -(-len(texts) // batch)
     for _ in range(epochs):
         order = r.permutation(len(texts))
         for lo in range(0, len(order), batch):
@@ -166,7 +166,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 12, batch: int = 64,
             for k, p in params.items():
                 m1[k] = 0.9 * m1[k] + 0.1 * g[k]
                 m2[k] = 0.99 * m2[k] + 0.01 * g[k] ** 2
-                p -= (rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)).astype(p.dtype)
+                p -= (rate * (1 - step / (steps + 1)) * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)).astype(p.dtype)
     net.out_bias = float(params["out_bias"][0])
     return net
 
