@@ -150,6 +150,53 @@ def attachment_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("p_partkey", "n", "a.id", "a.geometry", "a.sample_format", "a.bits_per_sample", "a.compression", F.try_element_at(parameters, F.lit("item")).alias("item"), F.size(parameters).alias("parameters"), "a.checksum_type", "a.checksum", "a.resolution_y")
 
 
+@query("""SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN '' ELSE '1.' || p_size END AS version, p_brand AS creator, CASE WHEN p_size % 3 <> 0 THEN TIMESTAMP '2024-09-06 10:31:17' + to_seconds(p_size) END AS creation_time, CASE WHEN p_size % 2 = 0 THEN p_size * 1024 END::BIGINT AS block_alignment FROM part""")
+def xisf_container(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container figures; a time that isn't one and an alignment that isn't a whole number are null."""
+    size = F.col("p_size")
+    time = F.when(size % 3 != 0, F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit("2024-09-06 10:31:17")) + size), "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.lit("yesterday"))
+    head = F.concat(F.lit("<xisf"), F.when(size % 4 != 0, F.concat(F.lit(' version="1.'), size.cast("string"), F.lit('"'))).otherwise(""), F.lit(' blockAlignment="'), F.when(size % 2 == 0, (size * 1024).cast("string")).otherwise("4k"), F.lit('">'))
+    xml = F.concat(head, F.lit('<Property id="XISF:CreatorApplication" type="String"> '), F.col("p_brand"), F.lit(' </Property><Property id="XISF:CreationTime" type="TimePoint">'), time, F.lit("</Property></xisf>"))
+    made = table(spark, sf_dir, "part").select("p_partkey", M.xisf_container(xml).alias("x"))
+    return made.select("p_partkey", "x.version", "x.creator", F.col("x.creation_time").cast("timestamp_ntz").alias("creation_time"), "x.block_alignment")
+
+
+_FAULTS = (  # what is changed in the XML, and what the decoder says of it
+    ("", "", None), ('geometry="2:1:1" ', "", "image has no geometry"), ("2:1:1", "2:1", "invalid geometry '2:1'"), ("2:1:1", "2:0:1", "geometry '2:0:1' has a zero"), ("UInt16", "Float32", "unsupported sampleFormat Float32"), ('id="main"', 'id="main" compression="zlib"', "compressed images are not supported"),
+    ("2:1:1", "2:1:3", "image has 3 channels"), (' location="attachment:2048:4"', "", "image has no location"), ("attachment:", "inline:", "unsupported location 'inline:2048:4'"), ("2048:4", "2048:6", "image data are truncated"), ("2:1:1", "3:1:1", "image data are truncated: 4 of 6 bytes"), ("<Image ", "<Picture ", "no <Image> element"),
+    ("<?xml", "<!xml", "XISF header has no XML declaration"),
+)
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN 'ok' ELSE 'failed' END AS status, CASE p_partkey % 13 " + " ".join(f"WHEN {k} THEN 'FormatError: {word.replace(chr(39), chr(39) * 2)}'" for k, (_, _, word) in enumerate(_FAULTS) if word) + " END AS error FROM part")
+def xisf_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with each fault that the image block's checks find, as rows; nothing fails."""
+    files = xisf_files(table(spark, sf_dir, "part"))
+    text, key = F.decode("content", "ISO-8859-1"), _key() % len(_FAULTS)
+    changed = text
+    for k, (old, new, _) in enumerate(_FAULTS):
+        if old:
+            # the header keeps its length
+            longer = F.replace(F.regexp_replace(text, r"</xisf>\x00*", "</xisf>"), F.lit(old), F.lit(new))
+            at = F.instr(longer, "</xisf>") + 6
+            whole = F.concat(F.rpad(F.substr(longer, F.lit(1), at), 2048, "\0"), F.substr(text, F.lit(2049)))
+            changed = F.when(key == k, whole).otherwise(changed)
+    rows = _images(files.select("path", F.encode(changed, "ISO-8859-1").alias("content")))
+    return rows.select(_key().alias("p_partkey"), "status", "error")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'ok' ELSE 'failed' END AS status, CASE p_partkey % 5 WHEN 1 THEN 'FormatError: not a FITS file' WHEN 2 THEN 'FormatError: FITS header has no END' WHEN 3 THEN 'FormatError: FITS image is truncated' WHEN 4 THEN 'FormatError: unknown BITPIX 9' END AS error FROM part""")
+def fits_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files without a signature, an end, all their pixels, or a known sample type."""
+    key, text = _key() % 5, F.decode("content", "ISO-8859-1")
+    wrong = F.concat(F.replace(F.substr(text, F.lit(1), F.lit(160)), F.lit(_PLAIN), F.lit(_OTHER)), F.substr(text, F.lit(161)))
+    cut = F.when(key == 1, F.lit("SIMPLY")).when(key == 2, F.rpad(F.replace(text, F.lit("END   "), F.lit("XND   ")), 2880, " ")).when(key == 3, F.substr(text, F.lit(1), F.lit(2882))).when(key == 4, wrong).otherwise(text)
+    files = fits_files(table(spark, sf_dir, "part"))
+    rows = _images(files.select("path", F.encode(cut, "ISO-8859-1").alias("content")))
+    return rows.select(_key().alias("p_partkey"), "status", "error")
+
+
+_PLAIN, _OTHER = f"BITPIX  = {'8':>20}", f"BITPIX  = {'9':>20}"
 _TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
