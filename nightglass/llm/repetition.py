@@ -86,8 +86,8 @@ def measure(block: tc.Block, rules: RepetitionRules) -> dict[str, np.ndarray]:
     breaks = np.flatnonzero(data == 10)
     line_starts = np.union1d(np.append(breaks + 1, 0), block.offsets[:-1])
     line_starts = line_starts[line_starts < len(data)]
-    line_ends = np.append(line_starts[1:], len(data))
-    line_ends = line_ends - (data[line_ends - 1] == 10) if len(line_ends) else line_ends
+    line_ends = np.append(line_starts[1:], len(data))[: len(line_starts)]
+    line_ends = line_ends - (data[line_ends - 1] == 10)
     first = np.searchsorted(block.starts, line_starts)
     after = np.searchsorted(block.starts, line_ends)
     kept = np.flatnonzero(after > first)
