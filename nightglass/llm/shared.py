@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -41,24 +42,31 @@ class Scratch:
         self.kept |= {df._shared_path for df in tables}
 
 
-_OPEN: list[Scratch] = []
+class _Open(threading.local):
+    """The blocks that a thread is in, the innermost last."""
+
+    def __init__(self) -> None:
+        self.blocks: list[Scratch] = []
+
+
+_OPEN = _Open()
 
 
 @contextmanager
 def scratch() -> Iterator[Scratch]:
     """When the block ends, delete the tables that were written in it, but for kept ones, which go to the block around it."""
     own = Scratch()
-    _OPEN.append(own)
+    _OPEN.blocks.append(own)
     try:
         yield own
     except BaseException:
         own.kept.clear()
         raise
     finally:
-        _OPEN.remove(own)
+        _OPEN.blocks.remove(own)
         discard(*(df for df in own.tables if df._shared_path not in own.kept))
-        if _OPEN:
-            _OPEN[-1].tables += [df for df in own.tables if df._shared_path in own.kept]
+        if _OPEN.blocks:
+            _OPEN.blocks[-1].tables += [df for df in own.tables if df._shared_path in own.kept]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -79,15 +87,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
             spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
-    if _OPEN:
-        _OPEN[-1].tables.append(out)
+    if _OPEN.blocks:
+        _OPEN.blocks[-1].tables.append(out)
     return out
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete materialised tables that nothing will read again."""
     gone = {df._shared_path for df in tables}
-    for own in _OPEN:
+    for own in _OPEN.blocks:
         own.tables = [df for df in own.tables if df._shared_path not in gone]
     for df in tables:
         sc = df.sparkSession.sparkContext

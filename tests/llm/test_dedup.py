@@ -106,6 +106,18 @@ def test_repeated_ids(spark):
         assert sorted((x["doc_id"], x["text"]) for x in B.keep_one(frame(spark, rows)).collect()) == [(5, first), (9, nine)]
 
 
+@pytest.mark.parametrize("bits", [1 << 26, 128])
+def test_by_bitmap(spark, monkeypatch, bits):
+    """The parts are the rows; ids that are asked for are all in the first, also where most bits are set."""
+    monkeypatch.setattr(B, "BITMAP", bits)
+    rows = spark.range(2000).selectExpr("id - 1000 AS key", "id AS word", "'x' AS mask")
+    ids = spark.range(0, 900, 3).selectExpr("id")
+    asked, others = B.by_bitmap(rows, "key", ids)
+    a, b = ({r["key"] for r in x.collect()} for x in (asked, others))
+    assert asked.columns == others.columns == rows.columns and not a & b and a | b == set(range(-1000, 1000)) and set(range(0, 900, 3)) <= a
+    assert len(a) < 320 or bits == 128
+
+
 def tables_left(spark):
     folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/nightglass"
     return set(os.listdir(folder)) if os.path.isdir(folder) else set()
