@@ -154,6 +154,8 @@ s = reports.metadata_statistics(spark, path, out)
 print("GOT", s.discovered, s.processed, s.failed, s.skipped)
 print("GOT", sorted((r["path"].rsplit("/", 1)[1], r["status"]) for r in scan.read_images(spark, path).select("path", "status").collect()))
 print("GOT", sorted((r["frame_id"], r["status"]) for r in reports.frame_report(spark, path).collect()))
+s = reports.metadata_statistics(spark, path + "/../all", out)
+print("GOT", s.discovered, s.processed, s.failed, s.skipped, s.text().splitlines()[1])
 """
 
 
@@ -162,6 +164,9 @@ def test_unreadable_file_and_folder(tmp_path):
     (root / "shut").mkdir(parents=True)
     for name in ("a.fits", "closed.fits", "shut/b.fits"):
         (root / name).write_bytes(hdu(True, np.zeros((20, 20), "f4"), [("OBJECT", "M42")]))
+    (tmp_path / "all").mkdir()
+    (tmp_path / "all" / "closed.fits").write_bytes(hdu(True))
+    (tmp_path / "all" / "closed.fits").chmod(0)
     (root / "closed.fits").chmod(0)
     (root / "shut").chmod(0)
 
@@ -174,7 +179,7 @@ def test_unreadable_file_and_folder(tmp_path):
     finally:
         (root / "shut").chmod(0o700)
     got = [line for line in done.stdout.splitlines() if line.startswith("GOT")]
-    assert got == ["GOT 3 1 0 2", "GOT [('a.fits', 'ok'), ('closed.fits', 'skipped'), ('shut', 'skipped')]", "GOT [('a.fits', 'ok'), ('closed.fits', 'skipped')]"], done.stderr[-3000:]
+    assert got == ["GOT 3 1 0 2", "GOT [('a.fits', 'ok'), ('closed.fits', 'skipped'), ('shut', 'skipped')]", "GOT [('a.fits', 'ok'), ('closed.fits', 'skipped')]", "GOT 1 0 0 1 Skipped 1 files without permission"], done.stderr[-3000:]
 
 
 def test_frames_prints_every_row(spark, monkeypatch, capsys):
