@@ -18,9 +18,9 @@ overlap may be large enough.  The overlap of two documents is at most the sum,
 over ``PARTS`` parts of the shingles, of the lesser of their numbers of
 shingles there that another document in question has too.  Two documents of a
 bucket that this leaves out can't be similar, and others that are never
-compared are already joined through a third.  In a bucket of over ``HOT_BUCKET``
-such members those are compared that share another bucket too, as documents of
-similarity 0.8 do with probability 0.9999, and closer ones more surely.
+compared are already joined through a third.  The members of a bucket of over
+``HOT_BUCKET`` such ones are put into chunks, and every two chunks are compared
+by themselves, but for those whose sizes, bounds or classes rule out all pairs.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nightglass.llm import textcore as tc
@@ -46,8 +46,10 @@ PARTS = 32
 _PACKS, _UNBOUND = [f"p{k}" for k in range(PARTS // 4)], 65_535
 #: Members that one copy of their head's text is sent along with.
 WITH_HEAD = 200
-#: Members of different classes in one bucket that are compared in pairs without a look at other buckets.
+#: Members of different classes in one bucket that one task compares; more are compared by chunks.
 HOT_BUCKET = 1000
+#: Members of such a bucket that are sent together.
+CHUNK = 8192
 #: Bits of a bitmap of ids, which is broadcast in words of 64.
 BITMAP = 1 << 26
 
@@ -254,46 +256,101 @@ def may_be_near(threshold: float, x: str, y: str) -> str:
     return f"least({x}.held, {y}.held) >= {need} AND (least({x}.n, {y}.n) >= {_UNBOUND} OR aggregate(zip_with({packs(x)}, {packs(y)}, (p, q) -> {four}), 0L, (s, v) -> s + v) >= {need})"
 
 
+_MEMBER = ["key", "id", "class", "n", "held", *_PACKS]
+
+
+def _near_members(x: np.ndarray, y: np.ndarray, threshold: float, within: bool) -> Iterator[pa.RecordBatch]:
+    """(a, b): the pairs between the rows ``x`` and ``y`` of ``_MEMBER`` of different classes that ``may_be_near``; ``within``: both are the same rows."""
+    ids, classes_, n, held = y[:, 1], y[:, 2], y[:, 3], y[:, 4]
+    parts, parts_x = (np.ascontiguousarray(z[:, 5:]).view("<u2") for z in (y, x))
+    for i in range(0, len(x), 32):
+        own = x[i : i + 32]
+        need = threshold / (1 + threshold) * (own[:, 3, None] + n) - 1e-6
+        apart = own[:, 2, None] < classes_ if within else own[:, 2, None] != classes_
+        a, b = np.nonzero(apart & (np.minimum(own[:, 4, None], held) >= need))
+        keep = []
+        for k in range(0, len(a), 65_536):
+            r, c = a[k : k + 65_536], b[k : k + 65_536]
+            overlap = np.minimum(parts_x[i + r], parts[c]).sum(1, dtype=np.int64)
+            keep.append((overlap >= need[r, c]) | (np.minimum(own[r, 3], n[c]) >= _UNBOUND))
+        if keep and len(near := np.flatnonzero(np.concatenate(keep))):
+            one, two = own[a[near], 1], ids[b[near]]
+            yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(one, two)), "b": pa.array(np.maximum(one, two))})
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[np.ndarray]:
+    """The rows of each key, of rows of ``_MEMBER`` sorted by it; a key of over ``most`` in several parts."""
+    carried: list[np.ndarray] = []
+    for batch in batches:
+        rows = np.stack([tc.column(batch, c).to_numpy() for c in _MEMBER], axis=1)
+        cuts = [0, *(np.flatnonzero(np.diff(rows[:, 0])) + 1).tolist(), len(rows)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi > lo:
+                if carried and (carried[0][0, 0] != rows[lo, 0] or most and sum(map(len, carried)) >= most):
+                    yield np.concatenate(carried)
+                    carried = []
+                carried.append(rows[lo:hi])
+    if carried:
+        yield np.concatenate(carried)
+
+
 def pairs_within(members: DataFrame, threshold: float) -> DataFrame:
     """(a, b): the pairs of members (key, id, class, n, held, p0, ...) of one key and different classes that ``may_be_near``.
 
     A key's members are held together, so the caller bounds their number.
     """
-    names = ["key", "id", "class", "n", "held", *_PACKS]
-
-    def near(x: np.ndarray) -> np.ndarray:
-        """[pairs, 2] ids among the rows ``x`` of one key."""
-        ids, classes_, n, held = x[:, 1], x[:, 2], x[:, 3], x[:, 4]
-        parts = np.ascontiguousarray(x[:, 5:]).view("<u2")
-        out = []
-        for i in range(0, len(x), 32):
-            j = slice(i, i + 32)
-            need = threshold / (1 + threshold) * (n[j, None] + n) - 1e-6
-            may = (classes_[j, None] < classes_) & (np.minimum(held[j, None], held) >= need)
-            if may.any():
-                overlap = np.minimum(parts[j, None], parts).sum(2, dtype=np.int64)
-                a, b = np.nonzero(may & ((overlap >= need) | (np.minimum(n[j, None], n) >= _UNBOUND)))
-                out.append(np.stack((ids[i + a], ids[b]), axis=1))
-        return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
     @tc.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried = np.zeros((0, len(names)), np.int64)
+        for rows in _by_key(batches):
+            yield from _near_members(rows, rows, threshold, True)
+
+    return members.select(*_MEMBER).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
 
-        def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            cuts = [0, *(np.flatnonzero(np.diff(rows[:, 0])) + 1).tolist(), len(rows)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if hi - lo > 1 and len(pairs := near(rows[lo:hi])):
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(pairs.min(1)), "b": pa.array(pairs.max(1))})
+def pairs_across(members: DataFrame, threshold: float) -> DataFrame:
+    """``pairs_within`` for keys of any number of members.
+
+    A key's members are cut into chunks by number of shingles, those of a
+    class of a chunk or more apart from the others.  Every two chunks of a key
+    are one row of work, unless both are of one class, or the bounds of one
+    allow none of the other's sizes.  Only figures of chunks are joined in
+    pairs by key; the members are sent as often as their chunk is compared.
+    """
+    chunk, share = CHUNK, threshold / (1 + threshold)
+
+    @tc.tidied
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_key(batches, 32 * chunk):
+            order = np.lexsort((rows[:, 3], rows[:, 2]))
+            _, at, count = np.unique(rows[order, 2], return_index=True, return_counts=True)
+            large = [order[i : i + c] for i, c in zip(at, count) if c >= chunk]
+            rest = np.setdiff1d(np.arange(len(rows)), np.concatenate(large)) if large else np.arange(len(rows))
+            for some in (*large, rest[np.argsort(rows[rest, 3], kind="stable")]):
+                for i in range(0, len(some), chunk):
+                    own = rows[some[i : i + chunk]]
+                    # the greatest number of shingles that another may have
+                    reach = ((own[:, 4] + 1e-3) / share - own[:, 3]).max()
+                    figures = {"key": own[0, 0], "first": own[0, 1], "low": own[:, 2].min(), "high": own[:, 2].max(), "least": own[:, 3].min()}
+                    yield pa.RecordBatch.from_pydict({c: pa.array([v], pa.int64()) for c, v in figures.items()} | {"reach": pa.array([reach]), "rows": pa.array([own.tobytes()], pa.binary())})
 
+    @tc.tidied
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.concatenate((carried, np.stack([tc.column(batch, c).to_numpy() for c in names], axis=1)))
-            last = int(np.searchsorted(rows[:, 0], rows[-1, 0])) if len(rows) else 0  # where the key begins that may go on
-            yield from found(rows[:last])
-            carried = rows[last:]
-        yield from found(carried)
+            for one, two, same in zip(tc.column(batch, "one"), tc.column(batch, "two"), tc.column(batch, "same").to_pylist()):
+                x, y = (np.frombuffer(z.as_buffer(), np.int64).reshape(-1, len(_MEMBER)) for z in (one, two))
+                yield from _near_members(x, y, threshold, same)
 
-    return members.select(*names).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    with scratch() as own:
+        dealt = members.select(*_MEMBER).repartitionByRange("key", "class", "id").sortWithinPartitions("key", "class")  # a large key is dealt to several tasks
+        chunks = materialise(dealt.mapInArrow(cut, "key long, first long, low long, high long, least long, reach double, rows binary"), "chunks")
+        own.keep(chunks)
+    figures = chunks.drop("rows")
+    allowed = "x.key = y.key AND x.first <= y.first AND x.reach >= y.least AND y.reach >= x.least AND NOT (x.low = x.high AND y.low = y.high AND x.low = y.low)"
+    # rows of work are small and much to do, so they are dealt to all tasks
+    work = figures.alias("x").join(figures.alias("y"), F.expr(allowed)).selectExpr("x.key", "x.first AS f1", "y.first AS f2").repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "f1", "f2")
+    held = lambda first, rows: chunks.select("key", F.col("first").alias(first), F.col("rows").alias(rows))
+    return work.join(held("f1", "one"), ["key", "f1"]).join(held("f2", "two"), ["key", "f2"]).select("one", "two", F.expr("f1 = f2").alias("same")).mapInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -373,32 +430,14 @@ def _several(members: DataFrame, *key: str) -> DataFrame:
         return out
 
 
-def _pairs_left(apart: DataFrame, firsts: DataFrame, bounds: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): the pairs of members of different classes in a bucket that may be similar; in hot buckets, those that share another one.
-
-    Keys of a bounded number of members are searched in numpy, others by a
-    join that Spark can split.
-    """
-
-    def small(members: DataFrame, key: Column) -> tuple[DataFrame, DataFrame, bool]:
-        """The pairs of keys of ``HOT_BUCKET`` members at most, the members of the others, and whether there are any."""
-        keyed = members.withColumn("key", key)
-        hot = materialise(keyed.groupBy("key").count().filter(f"count > {HOT_BUCKET}").select("key"), "hot")
-        some = not hot.isEmpty()
-        few = keyed.join(hot, "key", "left_anti") if some else keyed
-        return pairs_within(few.join(bounds, "id"), threshold), keyed.join(hot, "key", "left_semi"), some
-
-    out, many, some = small(apart, F.col("bucket"))
-    if not some:
-        return out
-    two = materialise(many.select("id", "class", "bucket"), "two")
-    others = firsts.join(two.select("id").distinct(), "id", "left_semi").select("id", F.explode("buckets").alias("other"))
-    more, many, some = small(_several(two.join(others, "id").filter("other != bucket"), "bucket", "other"), F.xxhash64("bucket", "other"))
-    out = out.union(more)
-    if some:
-        held = many.select("key", "id", "class").join(bounds, "id")
-        out = out.union(held.alias("x").join(held.alias("y"), F.expr(f"x.key = y.key AND x.class < y.class AND {may_be_near(threshold, 'x', 'y')}")).select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b")))
-    return out
+def _pairs_left(apart: DataFrame, bounds: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): all pairs of members of different classes in a bucket that may be similar; a task holds a bounded number of members."""
+    keyed = apart.withColumnRenamed("bucket", "key")
+    hot = materialise(keyed.groupBy("key").count().filter(f"count > {HOT_BUCKET}").select("key"), "hot")
+    if hot.isEmpty():
+        return pairs_within(keyed.join(bounds, "id"), threshold)
+    few, many = keyed.join(hot, "key", "left_anti"), keyed.join(hot, "key", "left_semi")
+    return pairs_within(few.join(bounds, "id"), threshold).union(pairs_across(many.join(bounds, "id"), threshold))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: NearDedup = NearDedup()) -> DataFrame:
@@ -468,7 +507,7 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, how: NearDedup
             picks = apart.groupBy("bucket", "class").agg(F.min_by("id", F.xxhash64("id", "bucket", F.lit(k))).alias("id"), F.min("low").alias("low")).join(bounds, "id")
             tried = picks.filter("class != low").alias("x").join(picks.filter("class = low").alias("y"), F.expr(f"x.bucket = y.bucket AND {near}")).selectExpr("least(x.id, y.id) AS a", "greatest(x.id, y.id) AS b")
         else:
-            tried = _pairs_left(apart, firsts, bounds, how.threshold)
+            tried = _pairs_left(apart, bounds, how.threshold)
         tried = materialise(tried.distinct(), "pairs")
         more = materialise(how.verify(tried, texts), "near")
         by_class = more.count()

@@ -94,6 +94,29 @@ def test_hot_buckets(spark, monkeypatch):
     assert got == classes(rows)
 
 
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_hot_buckets_without_another_one(spark, monkeypatch, rounds):
+    """Near documents that share one hot bucket and no other are joined, whatever chunks they are in."""
+    monkeypatch.setattr(B, "HOT_BUCKET", 2)
+    monkeypatch.setattr(B, "CHUNK", 3, raising=False)
+    r = random.Random(8)
+    rows = []
+    for g in range(12):
+        own = [f"t{i}" for i in range(60)] + [f"g{g}w{i}" for i in range(40 + 7 * (g % 5))]
+        for k in range(1 if g % 4 == 3 else 7):
+            w = list(own)
+            w[60 + r.randrange(40)] = f"new{g}.{k}"
+            rows.append((100 * g + k, " ".join(w)))
+    r.shuffle(rows)
+    how = B.NearDedup(bands=1, rows=1, star_rounds=rounds)
+    bucket = {x["id"]: x["buckets"][0] for x in how.sketch(frame(spark, rows).select(F.col("doc_id").alias("id"), "text")).collect()}
+    assert max(collections.Counter(bucket.values()).values()) > 6
+    near = B.components(spark.createDataFrame([(a, b) for a, b in ((a, b) for a, _ in rows for b, _ in rows if a < b and bucket[a] == bucket[b]) if len(set(classes([x for x in rows if x[0] in (a, b)]).values())) == 1], "a long, b long"))
+    want = {i: i for i, _ in rows} | {x["id"]: x["class"] for x in near.collect()}
+    got = {x["doc_id"]: x["class_id"] for x in B.near_duplicates(frame(spark, rows), how=how).collect()}
+    assert got == want
+
+
 def test_repeated_ids(spark):
     """Of an id with several texts that with the least digest counts, in whatever order the rows come."""
     a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
