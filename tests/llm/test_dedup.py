@@ -266,3 +266,20 @@ def test_equal_windows_have_one_representative():
             names = R.representatives(b.word_hashes(), b.word_offsets)
             for i in np.flatnonzero(tc.whole_ngrams(b.word_offsets, 13)):
                 assert seen.setdefault(tuple(flat[i : i + 13]), names[i]) == names[i]
+
+
+def test_keep_one_of_hot_buckets(spark, monkeypatch):
+    """``keep_one``, which the pipeline uses, drops near documents that share one hot bucket and no other."""
+    monkeypatch.setattr(B, "HOT_BUCKET", 2)
+    monkeypatch.setattr(B, "CHUNK", 3, raising=False)
+    shared = [f"t{i}" for i in range(60)]
+    rows = []
+    for g in range(8):  # each group is near itself alone
+        for k in range(5):
+            w = shared + [f"g{g}w{i}" for i in range(40)]
+            w[60 + 8 * k] = f"new{g}.{k}"
+            rows.append((10 * g + k, " ".join(w)))
+    # one bucket for all, as with a very common least point
+    monkeypatch.setattr(B, "band_names", lambda signature, bands, rows: np.zeros((len(signature), 1), np.uint64))
+    kept = B.keep_one(frame(spark, rows), how=B.NearDedup(bands=1, rows=1, star_rounds=0)).collect()
+    assert sorted(r["doc_id"] for r in kept) == [10 * g for g in range(8)]
