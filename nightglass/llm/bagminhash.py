@@ -19,8 +19,11 @@ over ``PARTS`` parts of the shingles, of the lesser of their numbers of
 shingles there that another document in question has too.  Two documents of a
 bucket that this leaves out can't be similar, and others that are never
 compared are already joined through a third.  The members of a bucket of over
-``HOT_BUCKET`` such ones are put into chunks, and every two chunks are compared
-by themselves, but for those whose sizes, bounds or classes rule out all pairs.
+``HOT_BUCKET`` such ones are dealt anew by their rarest shingles, so many that
+any two similar ones have one of them in common, and those that share one are
+compared.  The members that share a shingle, if they are over ``HOT_BUCKET``
+too, are put into chunks, and every two chunks are compared by themselves, but
+for those whose sizes, bounds or classes rule out all pairs.
 """
 
 from __future__ import annotations
@@ -48,8 +51,10 @@ _PACKS, _UNBOUND = [f"p{k}" for k in range(PARTS // 4)], 65_535
 WITH_HEAD = 200
 #: Members of different classes in one bucket that one task compares; more are compared by chunks.
 HOT_BUCKET = 1000
-#: Members of such a bucket that are sent together.
+#: Members of one key that are sent together.
 CHUNK = 8192
+#: Counts of shingles, by hash, that every worker holds.
+SLOTS = 1 << 18
 #: Bits of a bitmap of ids, which is broadcast in words of 64.
 BITMAP = 1 << 26
 
@@ -353,6 +358,47 @@ def pairs_across(members: DataFrame, threshold: float) -> DataFrame:
     return work.join(held("f1", "one"), ["key", "f1"]).join(held("f2", "two"), ["key", "f2"]).select("one", "two", F.expr("f1 = f2").alias("same")).mapInArrow(compare, "a long, b long")
 
 
+def rare_shingles(texts: DataFrame, threshold: float, size: int = SHINGLE) -> DataFrame:
+    """(key, id): the rarest shingles of each of ``texts`` (id, text), so many that two similar texts have one in common.
+
+    The shingles of all texts have one order, by how many texts have one of
+    their slot.  Texts of the similarity have at least that share of either
+    one's weight in common, so that the first common shingle comes, in both,
+    before the weight that is left has fallen below that share.  Slots of one
+    text have no common shingle and are left out.
+    """
+    slot = lambda gram: (tc.mix(gram) % np.uint64(SLOTS)).astype(np.int64)
+
+    @tc.tidied
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for block in tc.blocks(tc.column(batch, "text")):
+                held += np.bincount(slot(bags(block, size)[1]), minlength=SLOTS)
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_pydict({"slot": pa.array(some), "n": pa.array(held[some])})
+
+    counts = texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()  # at most SLOTS rows
+    often = np.zeros(SLOTS, np.int64)
+    often[counts["slot"].to_numpy()] = counts["n"].to_numpy()
+
+    @tc.tidied
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = tc.column(batch, "id").to_numpy()
+            for block in tc.blocks(tc.column(batch, "text")):
+                doc, gram, weight = bags(block, size)
+                order = np.lexsort((gram, often[slot(gram)], doc))
+                doc, gram, weight = doc[order], gram[order], weight[order]
+                total = np.bincount(doc, weights=weight, minlength=block.n)
+                ends = np.cumsum(total)
+                before = np.cumsum(weight) - weight - (ends - total)[doc]
+                pick = (before <= (total - np.ceil(threshold * total - 1e-6))[doc]) & (often[slot(gram)] > 1)
+                yield pa.RecordBatch.from_pydict({"key": pa.array(gram[pick].view(np.int64)), "id": pa.array(ids[block.first + doc[pick]])})
+
+    return texts.select("id", "text").mapInArrow(rarest, "key long, id long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, class): each end of ``edges`` (a, b) with the least id that it is connected with.
 
@@ -430,14 +476,32 @@ def _several(members: DataFrame, *key: str) -> DataFrame:
         return out
 
 
-def _pairs_left(apart: DataFrame, bounds: DataFrame, threshold: float) -> DataFrame:
+def _pairs_left(apart: DataFrame, texts: DataFrame, bounds: DataFrame, how: NearDedup) -> DataFrame:
     """(a, b): all pairs of members of different classes in a bucket that may be similar; a task holds a bounded number of members."""
     keyed = apart.withColumnRenamed("bucket", "key")
-    hot = materialise(keyed.groupBy("key").count().filter(f"count > {HOT_BUCKET}").select("key"), "hot")
+    few, many = _hot(keyed)
+    out = pairs_within(few.join(bounds, "id"), how.threshold)
+    if many is None:
+        return out
+    open_ = materialise(many.select("id", "class").distinct(), "open")
+    rare = materialise(rare_shingles(texts.join(open_, "id", "left_semi"), how.threshold, how.size), "rare")
+    dealt = _several(rare.join(open_, "id"), "key")
+    discard(rare, open_)
+    few, often = _hot(dealt)
+    found = pairs_within(few.join(bounds, "id"), how.threshold)
+    if often is not None:
+        found = found.union(pairs_across(often.join(bounds, "id"), how.threshold))
+    found = materialise(found.distinct(), "found")
+    end = lambda name: many.select(F.col("id").alias(name), "key")
+    return out.union(found.join(end("a"), "a").join(end("b"), ["b", "key"]).select("a", "b"))
+
+
+def _hot(members: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The members of keys of ``HOT_BUCKET`` at most, and those of the others, if there are any."""
+    hot = materialise(members.groupBy("key").count().filter(f"count > {HOT_BUCKET}").select("key"), "hot")
     if hot.isEmpty():
-        return pairs_within(keyed.join(bounds, "id"), threshold)
-    few, many = keyed.join(hot, "key", "left_anti"), keyed.join(hot, "key", "left_semi")
-    return pairs_within(few.join(bounds, "id"), threshold).union(pairs_across(many.join(bounds, "id"), threshold))
+        return members, None
+    return members.join(hot, "key", "left_anti"), members.join(hot, "key", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: NearDedup = NearDedup()) -> DataFrame:
@@ -507,7 +571,7 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, how: NearDedup
             picks = apart.groupBy("bucket", "class").agg(F.min_by("id", F.xxhash64("id", "bucket", F.lit(k))).alias("id"), F.min("low").alias("low")).join(bounds, "id")
             tried = picks.filter("class != low").alias("x").join(picks.filter("class = low").alias("y"), F.expr(f"x.bucket = y.bucket AND {near}")).selectExpr("least(x.id, y.id) AS a", "greatest(x.id, y.id) AS b")
         else:
-            tried = _pairs_left(apart, bounds, how.threshold)
+            tried = _pairs_left(apart, texts, bounds, how)
         tried = materialise(tried.distinct(), "pairs")
         more = materialise(how.verify(tried, texts), "near")
         by_class = more.count()

@@ -283,3 +283,42 @@ def test_keep_one_of_hot_buckets(spark, monkeypatch):
     monkeypatch.setattr(B, "band_names", lambda signature, bands, rows: np.zeros((len(signature), 1), np.uint64))
     kept = B.keep_one(frame(spark, rows), how=B.NearDedup(bands=1, rows=1, star_rounds=0)).collect()
     assert sorted(r["doc_id"] for r in kept) == [10 * g for g in range(8)]
+
+
+def test_pairs_of_a_hot_bucket(spark, monkeypatch):
+    """Where each text of a hot bucket is near one other, as many pairs are verified as there are, not all that the bounds allow."""
+    monkeypatch.setattr(B, "HOT_BUCKET", 20)
+    rows = []
+    for g in range(50):
+        own = [f"g{g}w{i}" for i in range(100)]
+        rows += [(2 * g, " ".join([f"t{i}" for i in range(300)] + own)), (2 * g + 1, " ".join([f"t{i}" for i in range(300)] + own[:30] + ["new"] + own[31:]))]
+    monkeypatch.setattr(B, "band_names", lambda signature, bands, rows: np.zeros((len(signature), 1), np.uint64))
+    asked, verify = [], B.NearDedup.verify
+
+    def counted(self, pairs, texts):
+        asked.append(pairs.count())
+        return verify(self, pairs, texts)
+
+    monkeypatch.setattr(B.NearDedup, "verify", counted)
+    got = {x["doc_id"]: x["class_id"] for x in B.near_duplicates(frame(spark, rows), how=B.NearDedup(bands=1, rows=1, star_rounds=0)).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+    assert asked[0] == 99 and asked[1] <= 60
+
+
+@pytest.mark.parametrize("slots", [1 << 18, 7])
+def test_rare_shingles(spark, monkeypatch, slots):
+    """Any two similar texts have a rare shingle in common, also those with repeated ones and where slots are shared."""
+    monkeypatch.setattr(B, "SLOTS", slots, raising=False)
+    r = random.Random(4)
+    texts = []
+    for g in range(12):
+        w = [f"v{r.randrange(3 if g % 3 == 0 else 40)}" for _ in range(r.randint(5, 90))] * (1 + g % 2)
+        for _ in range(5):
+            texts.append([f"n{r.randrange(9)}" if r.random() < 0.03 else x for x in w])
+    bag = [collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in texts]
+    keys = collections.defaultdict(set)
+    for x in B.rare_shingles(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "id long, text string").repartition(3), 0.8).collect():
+        keys[x["id"]].add(x["key"])
+    near = [(a, b) for a in range(60) for b in range(a) if (bag[a] & bag[b]).total() >= 0.8 * (bag[a] | bag[b]).total()]
+    assert len(near) > 20 and all(keys[a] & keys[b] for a, b in near)
+    assert slots == 7 or sum(map(len, keys.values())) < 0.5 * sum(map(len, bag))
