@@ -359,7 +359,7 @@ def pairs_across(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def rare_shingles(texts: DataFrame, threshold: float, size: int = SHINGLE) -> DataFrame:
-    """(key, id): the rarest shingles of each of ``texts`` (id, text), so many that two similar texts have one in common.
+    """(key, id): the rarest shingles of each of ``texts`` (id, text), so many that two similar texts have one in common; further columns stay.
 
     The shingles of all texts have one order, by how many texts have one of
     their slot.  Texts of the similarity have at least that share of either
@@ -368,6 +368,7 @@ def rare_shingles(texts: DataFrame, threshold: float, size: int = SHINGLE) -> Da
     text have no common shingle and are left out.
     """
     slot = lambda gram: (tc.mix(gram) % np.uint64(SLOTS)).astype(np.int64)
+    kinds = {c: t for c, t in texts.dtypes if c != "text"}
 
     @tc.tidied
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,7 +386,6 @@ def rare_shingles(texts: DataFrame, threshold: float, size: int = SHINGLE) -> Da
     @tc.tidied
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = tc.column(batch, "id").to_numpy()
             for block in tc.blocks(tc.column(batch, "text")):
                 doc, gram, weight = bags(block, size)
                 order = np.lexsort((gram, often[slot(gram)], doc))
@@ -394,9 +394,10 @@ def rare_shingles(texts: DataFrame, threshold: float, size: int = SHINGLE) -> Da
                 ends = np.cumsum(total)
                 before = np.cumsum(weight) - weight - (ends - total)[doc]
                 pick = (before <= (total - np.ceil(threshold * total - 1e-6))[doc]) & (often[slot(gram)] > 1)
-                yield pa.RecordBatch.from_pydict({"key": pa.array(gram[pick].view(np.int64)), "id": pa.array(ids[block.first + doc[pick]])})
+                row = pa.array(block.first + doc[pick], pa.int64())
+                yield pa.RecordBatch.from_pydict({"key": pa.array(gram[pick].view(np.int64))} | {c: tc.column(batch, c).take(row) for c in kinds})
 
-    return texts.select("id", "text").mapInArrow(rarest, "key long, id long")
+    return texts.mapInArrow(rarest, ", ".join(["key long", *(f"{c} {t}" for c, t in kinds.items())]))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -480,22 +481,28 @@ def _pairs_left(apart: DataFrame, texts: DataFrame, bounds: DataFrame, how: Near
     """(a, b): all pairs of members of different classes in a bucket that may be similar; a task holds a bounded number of members."""
     keyed = apart.withColumnRenamed("bucket", "key")
     few, many = _hot(keyed)
-    out = pairs_within(few.join(bounds, "id"), how.threshold)
+    out = pairs_within(_bounded(few, bounds), how.threshold)
     if many is None:
         return out
     open_ = materialise(many.select("id", "class").distinct(), "open")
-    rare = materialise(rare_shingles(texts.join(open_, "id", "left_semi"), how.threshold, how.size), "rare")
-    dealt = _several(rare.join(open_, "id"), "key")
+    rare = materialise(rare_shingles(texts.join(open_, "id"), how.threshold, how.size), "rare")
+    dealt = _several(rare, "key")
     discard(rare, open_)
     few, often = _hot(dealt)
-    found = pairs_within(few.join(bounds, "id"), how.threshold)
+    found = pairs_within(_bounded(few, bounds), how.threshold)
     if often is not None:
-        found = found.union(pairs_across(often.join(bounds, "id"), how.threshold))
+        found = found.union(pairs_across(_bounded(often, bounds), how.threshold))
     found = materialise(found.distinct(), "found")
     end = lambda name: many.select(F.col("id").alias(name), "key")
     return out.union(found.join(end("a"), "a").join(end("b"), ["b", "key"]).select("a", "b"))
 
 
+def _bounded(members: DataFrame, bounds: DataFrame) -> DataFrame:
+    """The members (key, id, class) with their ``bounds``, which meet an id once, not once for each key of it."""
+    of_id = members.groupBy("id").agg(F.min("class").alias("class"), F.collect_list("key").alias("keys"))
+    return of_id.join(bounds, "id").withColumn("key", F.explode("keys")).drop("keys")
+
+
 def _hot(members: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """The members of keys of ``HOT_BUCKET`` at most, and those of the others, if there are any."""
     hot = materialise(members.groupBy("key").count().filter(f"count > {HOT_BUCKET}").select("key"), "hot")

@@ -305,6 +305,31 @@ def test_pairs_of_a_hot_bucket(spark, monkeypatch):
     assert asked[0] == 99 and asked[1] <= 60
 
 
+@pytest.mark.parametrize("run", ["near_duplicates"])
+def test_rows_of_joins_by_id(spark, monkeypatch, run):
+    """Joins by id make rows for pairs and texts, not for each key of a text, of which there are many."""
+    monkeypatch.setattr(B, "HOT_BUCKET", 20)
+    rows = []
+    for g in range(50):
+        own = [f"g{g}w{i}" for i in range(100)]
+        rows += [(2 * g, " ".join([f"t{i}" for i in range(300)] + own)), (2 * g + 1, " ".join([f"t{i}" for i in range(300)] + own[:30] + ["new"] + own[31:]))]
+    monkeypatch.setattr(B, "band_names", lambda signature, bands, rows: np.zeros((len(signature), 1), np.uint64))
+    docs = frame(spark, rows)
+    made, join = [], type(docs).join
+
+    def counted(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if isinstance(on, str) and on == "id" and how is None:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(docs), "join", counted)
+    got = getattr(B, run)(docs, how=B.NearDedup(bands=1, rows=1, star_rounds=0))
+    kept = got.filter("doc_id = class_id") if run == "near_duplicates" else got
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2 * g for g in range(50)]
+    assert max(made) <= 200  # 99 members and a head; before, the rare shingles of all texts
+
+
 @pytest.mark.parametrize("slots", [1 << 18, 7])
 def test_rare_shingles(spark, monkeypatch, slots):
     """Any two similar texts have a rare shingle in common, also those with repeated ones and where slots are shared."""
