@@ -305,7 +305,7 @@ def test_pairs_of_a_hot_bucket(spark, monkeypatch):
     assert asked[0] == 99 and asked[1] <= 60
 
 
-@pytest.mark.parametrize("run", ["near_duplicates"])
+@pytest.mark.parametrize("run", ["near_duplicates", "keep_one"])
 def test_rows_of_joins_by_id(spark, monkeypatch, run):
     """Joins by id make rows for pairs and texts, not for each key of a text, of which there are many."""
     monkeypatch.setattr(B, "HOT_BUCKET", 20)
